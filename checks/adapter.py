@@ -108,11 +108,11 @@ def raw_cells_from(events: DataFrame, places: DataFrame) -> DataFrame:
         " N/A ",
         "Unknown",
         "<NA>",
-        "KahramanmaraÅ\u009f",
+        "Kahramanmara\u00c5\u009f",
         "Sanliurfa",
         "DiyarbakÄ±r ",
-        "Ã tek",
-        "Gaziantep �",
+        "\u00c3 tek",
+        "Gaziantep \ufffd",
         "Adıyaman",
         None,
     )
@@ -131,7 +131,7 @@ def raw_cells_from(events: DataFrame, places: DataFrame) -> DataFrame:
         "tweet_clean",
         created.alias("created_at"),
         province.alias("province"),
-        cycle(3, F.col("district"), F.concat(F.lit("\t"), F.col("district"), F.lit("　")), "None").alias("district"),
+        cycle(3, F.col("district"), F.concat(F.lit("\t"), F.col("district"), F.lit("\u3000")), "None").alias("district"),
         F.col("neighborhood"),
         *[v.alias(c) for c, v in dirty.items()],
         *[F.col(c).cast("string").alias(c) for c in kept],

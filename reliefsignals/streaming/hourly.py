@@ -16,7 +16,7 @@ from reliefsignals.operators.geocode import LEVELS
 def open_stream(
     spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Follow a folder (or file) of Parquet messages."""
+    """Follow a folder, or a path pattern, of Parquet messages."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
