@@ -15,8 +15,20 @@ CENTROIDS = {"MIDDLE EAST": (36.5, 38.25)}
 LABELS = fv.DEFAULT_LABELS
 
 
+# Stated, so that no job has to read them from the files.
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,49 +36,38 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.join(region, nation.n_regionkey == region.r_regionkey)
 
 
-def _unless(condition: str, value: Column) -> Column:
-    return F.when(F.expr(condition), F.lit("")).otherwise(value)
-
-
-def _texts() -> Column:
-    texts = [
-        "haber alamıyoruz, bilen var mı",
-        "ulaşılamıyor, telefon 05551234567",
-        "duyan bilen irtibat kursun",
-        "duyuru: yardım dağıtım noktası",
-        "çadıra ihtiyaç var",
-        "su ve gıda lazım",
-        None,
-        "",
-    ]
-    return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("event_id") % 8 + 1).cast("int"))
+_TEXTS = """element_at(array(
+  'haber alamıyoruz, bilen var mı',
+  'ulaşılamıyor, telefon 05551234567',
+  'duyan bilen irtibat kursun',
+  'duyuru: yardım dağıtım noktası',
+  'çadıra ihtiyaç var',
+  'su ve gıda lazım',
+  NULL,
+  ''), cast(event_id % 8 + 1 AS int))"""
 
 
 def signals_from(events: DataFrame, places: DataFrame) -> DataFrame:
     """The prediction table B1, typed, before post-processing.  ``events`` may be a stream."""
-    joined = events.join(places, F.col("n_nationkey") == F.col("user_id") % 25)
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    joined = joined.withColumn("k", k)
-    e = F.col("event_id")
-    local = F.col("ts") + F.expr("INTERVAL 3 HOURS")
-    probs = {
-        f"prob_{x}": ((F.col("k") * (2 * i + 3) + e * (i + 1)) % 100) / F.lit(100.0) for i, x in enumerate(LABELS)
-    }
-    base = joined.select(
-        e.cast("string").alias("id"),
-        F.concat(F.lit("raw "), e.cast("string")).alias("tweet"),
-        _texts().alias("tweet_clean"),
-        local.alias("created_at_local"),
-        F.date_format(local, "yyyy-MM-dd").alias("date"),
-        F.date_format(local, "HH:mm:ss").alias("time"),
-        _unless("event_id % 17 = 0", F.col("r_name")).alias("province"),
-        _unless("event_id % 13 = 0", F.col("n_name")).alias("district"),
-        _unless("event_id % 10 = 0", F.concat(F.lit("N"), (F.col("user_id") % 7).cast("string"))).alias("neighborhood"),
-        F.floor(F.col("value") / F.lit(50.0)).cast("double").alias("urgency_score"),
-        *[v.alias(c) for c, v in probs.items()],
+    joined = events.join(places, F.expr("n_nationkey = user_id % 25")).selectExpr(
+        "*", "cast(get_json_object(props, '$.k') AS bigint) AS k", "ts + INTERVAL 3 HOURS AS created_at_local"
+    )
+    base = joined.selectExpr(
+        "cast(event_id AS string) AS id",
+        "concat('raw ', event_id) AS tweet",
+        f"{_TEXTS} AS tweet_clean",
+        "created_at_local",
+        "date_format(created_at_local, 'yyyy-MM-dd') AS date",
+        "date_format(created_at_local, 'HH:mm:ss') AS time",
+        "if(event_id % 17 = 0, '', r_name) AS province",
+        "if(event_id % 13 = 0, '', n_name) AS district",
+        "if(event_id % 10 = 0, '', concat('N', user_id % 7)) AS neighborhood",
+        "cast(floor(value / 50D) AS double) AS urgency_score",
+        *[f"((k * {2 * i + 3} + event_id * {i + 1}) % 100) / 100D AS prob_{x}" for i, x in enumerate(LABELS)],
+    )
+    return base.selectExpr(
+        "*", *[f"cast(prob_{x} >= {fv.THRESHOLDS[x]!r}D AS int) AS pred_{x}" for x in LABELS]
     )
-    preds = {f"pred_{x}": (F.col(f"prob_{x}") >= F.lit(fv.THRESHOLDS[x])).cast("int") for x in LABELS}
-    return base.withColumns(preds)
 
 
 def finish(signals: DataFrame) -> DataFrame:

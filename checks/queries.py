@@ -436,7 +436,7 @@ def q_apply_thresholds(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_score_postprocess(spark: SparkSession, sf: str) -> DataFrame:
     scored = scoring.apply_thresholds(A.plain_signals(spark, sf))
-    final = scoring.score_postprocess(scored, "tweet_clean")
+    final = scoring.score_postprocess(scored, "tweet_clean", compose=True)
     return final.select("id", F.array_join("predicted", ",").alias("predicted"))
 
 

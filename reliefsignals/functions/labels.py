@@ -11,12 +11,9 @@ from reliefsignals.fixed_values import LABEL_NAMES
 from reliefsignals.schema import LabelSchema
 
 
-def total(columns: Iterable[Column]) -> Column:
-    """Sum of integer columns; 0 for none."""
-    result: Column | None = None
-    for c in columns:
-        result = c if result is None else result + c
-    return F.lit(0) if result is None else result
+def total(columns: Iterable[str]) -> Column:
+    """Sum of integer columns given by name; 0 for none."""
+    return F.expr(" + ".join(f"`{c}`" for c in columns) or "0")
 
 
 def label_name(label: Column) -> Column:

@@ -11,9 +11,10 @@ def number_or_null(c: Column) -> Column:
 
     The JVM also reads type suffixes ("1d", "2f") and the word NaN; both are refused.
     """
-    text = c.cast("string")
-    value = F.when(~text.rlike(r"(?i)[0-9.][df]\s*$"), text.try_cast("double"))
-    return F.nanvl(value, F.lit(None).cast("double"))
+    text = F.trim(c.cast("string"))
+    infinite = F.lower(text).endswith("inf")
+    suffixed = text.endswith("d") | text.endswith("D") | ((text.endswith("f") | text.endswith("F")) & ~infinite)
+    return F.nanvl(F.when(~suffixed, text).try_cast("double"), F.lit(None).cast("double"))
 
 
 def number_or_zero(c: Column) -> Column:

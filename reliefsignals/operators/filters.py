@@ -105,7 +105,7 @@ class Filters:
         picked = [schema.pred[x] for x in self.labels if schema.pred.get(x) in df.columns]
         if not picked:
             return []
-        hits = total(F.col(c) for c in picked)
+        hits = total(picked)
         return [hits == len(picked) if self.label_mode.upper() == "ALL" else hits > 0]
 
     def _text_terms(self, df: DataFrame) -> list[Column]:

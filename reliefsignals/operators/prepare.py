@@ -11,7 +11,7 @@ from pyspark.sql.types import NumericType, StringType, TimestampNTZType, Timesta
 
 from reliefsignals import fixed_values as fv
 from reliefsignals.functions.clock import DATE_FORMAT, TIME_FORMAT, parse_utc, to_local
-from reliefsignals.functions.labels import label_name, total
+from reliefsignals.functions.labels import name_of, total
 from reliefsignals.functions.numbers import count_or_zero, number_or_null
 from reliefsignals.functions.places import PLACE_COLUMNS
 from reliefsignals.functions.text import fix_mojibake, matches_info_rule, normalize_location, rule_text
@@ -111,7 +111,7 @@ def count_labels(df: DataFrame, schema: LabelSchema) -> DataFrame:
     """``pred_label_count`` and ``pred_any_need`` from the flags, else from existing columns."""
     flags = _flag_columns(df, schema)
     if flags:
-        df = df.withColumn("pred_label_count", total(F.col(c) for c in flags).cast("int"))
+        df = df.withColumn("pred_label_count", total(flags).cast("int"))
     elif "pred_label_count" in df.columns:
         df = df.withColumn("pred_label_count", as_count(df, "pred_label_count"))
     if "pred_label_count" in df.columns:
@@ -136,10 +136,10 @@ def labels_long(df: DataFrame, schema: LabelSchema, id_column: str = "id") -> Da
     entries = [
         F.struct(
             F.lit(x).alias("label"),
+            F.lit(name_of(x)).alias("label_name"),
             (F.col(schema.pred[x]) if x in schema.pred else F.lit(None)).cast("int").alias("pred"),
             (F.col(schema.prob[x]) if x in schema.prob else F.lit(None)).cast("double").alias("prob"),
         )
         for x in schema.labels
     ]
-    long = df.select(F.col(id_column).alias("id"), F.inline(F.array(*entries)))
-    return long.select("id", "label", label_name(F.col("label")).alias("label_name"), "pred", "prob")
+    return df.select(F.col(id_column).alias("id"), F.inline(F.array(*entries)))

@@ -98,8 +98,11 @@ def apply_thresholds(df: DataFrame, thresholds: Mapping[str, float] = fv.THRESHO
     return flagged.withColumn("predicted", F.array_compact(F.array(*names)))
 
 
-def score_postprocess(df: DataFrame, text_column: str = "scored_text", *, compose: bool = True) -> DataFrame:
-    """Append the information label last where score and text suggest it."""
+def score_postprocess(df: DataFrame, text_column: str = "scored_text", *, compose: bool = False) -> DataFrame:
+    """Append the information label last where score and text suggest it.
+
+    The text of ``score_batch`` is composed already; for raw text set ``compose``.
+    """
     label = fv.INFO_LABEL
     add = (
         ~F.array_contains("predicted", label)
