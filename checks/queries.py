@@ -41,7 +41,7 @@ from reliefsignals.schema import Dataset, discover_schema
 from reliefsignals.session import run_folder
 from reliefsignals.sources.gazetteer import load_gazetteer
 from reliefsignals.sources.predictions import load_predictions, publish_predictions, read_published
-from reliefsignals.streaming.hourly import append_to, hourly_signals, open_stream, with_closing_row
+from reliefsignals.streaming.hourly import append_to, open_stream, replay_hourly_signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -391,9 +391,7 @@ def q_stream_hourly_signals(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_folder(spark, "hourly")
     messages = A.finish(A.signals_from(_event_stream(spark, sf), A._places(spark, sf)))
     needed = ("created_at_local", "province", "pred_any_need", "urgency_score")
-    closing = with_closing_row(messages.select(*needed), f"{folder}/closing")
-    append_to(hourly_signals(closing), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return replay_hourly_signals(messages.select(*needed), folder)
 
 
 def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,20 +404,25 @@ def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
 # --- scoring ------------------------------------------------------------------
 
 
-def load_counting_model() -> scoring.Model:
-    """A stand-in classifier whose logits are small integers made from length and letters."""
+def counting_model(n_labels: int) -> Callable[[], scoring.Model]:
+    """Loader of a stand-in classifier: logits are small integers from length and letters.
 
-    def logits(texts: list[str], max_length: int) -> np.ndarray:
-        size = np.array([[len(t), t.count("a")] for t in texts], dtype=np.int64)
-        steps = np.arange(1, len(A.LABELS) + 1)
-        return (size[:, :1] * steps + size[:, 1:]) % 13 - 6.0
+    All parts are nested functions, so they reach the workers by value.
+    """
 
-    return logits
+    def load() -> scoring.Model:
+        def logits(texts: list[str], max_length: int) -> np.ndarray:
+            size = np.array([[len(t), t.count("a")] for t in texts], dtype=np.int64)
+            return (size[:, :1] * np.arange(1, n_labels + 1) + size[:, 1:]) % 13 - 6.0
+
+        return logits
+
+    return load
 
 
 def q_score_batch(spark: SparkSession, sf: str) -> DataFrame:
     docs = A.table(spark, sf, "documents").select("doc_id", "text")
-    scored = scoring.score_batch(docs, load_counting_model, A.LABELS, text_column="text")
+    scored = scoring.score_batch(docs, counting_model(len(A.LABELS)), A.LABELS, text_column="text")
     labelled = scoring.score_postprocess(scoring.apply_thresholds(scored))
     return labelled.select("doc_id", F.array_join("predicted", ",").alias("predicted"))
 

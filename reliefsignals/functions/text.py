@@ -88,15 +88,16 @@ def normalize_location(c: Column) -> Column:
     return blank_unknown(fix_mojibake(c))
 
 
-@F.pandas_udf(StringType())
-def _nfc_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
-
-
 def nfc(c: Column) -> Column:
     """NFC form.  Spark has no such function, so suspects - and only they - go to Python."""
+
+    # Nested, so that it travels to the workers by value and they need no package.
+    @F.pandas_udf(StringType())
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
     suspect = F.when(c.rlike(NFC_SUSPECTS), c)
-    return F.coalesce(_nfc_batch(suspect), c)
+    return F.coalesce(compose(suspect), c)
 
 
 def clean_text(c: Column, *, compose: bool = True) -> Column:

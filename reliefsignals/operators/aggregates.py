@@ -301,10 +301,20 @@ def options(dataset: Dataset) -> DataFrame:
         place["district"].alias("district"),
         date_value(df).alias("day"),
         urgency.alias("urgency"),
+        F.lit(1).cast("long").alias("weight"),
     )
+    # One weightless row keeps the overall group alive for an empty table.
+    nothing = df.sparkSession.range(1).select(
+        F.lit("").alias("province"),
+        F.lit("").alias("district"),
+        F.lit(None).cast("date").alias("day"),
+        F.lit(None).cast("double").alias("urgency"),
+        F.lit(0).cast("long").alias("weight"),
+    )
+    base = base.unionByName(nothing)
     grouped = base.groupingSets([["province"], ["district"], []], "province", "district").agg(
         F.grouping_id().alias("gid"),
-        F.count(F.lit(1)).alias("n"),
+        F.sum("weight").alias("n"),
         F.min("day").alias("first_day"),
         F.max("day").alias("last_day"),
         F.min("urgency").alias("low"),

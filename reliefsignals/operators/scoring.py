@@ -17,16 +17,6 @@ from reliefsignals.functions.text import clean_text, info_signal
 # A model turns texts into a (texts x labels) array of logits.
 Model = Callable[[Sequence[str], int], np.ndarray]
 
-_models: dict[str, Model] = {}
-
-
-def _worker_model(key: str, load: Callable[[], Model]) -> Model:
-    """The model of this Python worker, loaded at first use."""
-    if key not in _models:
-        _models[key] = load()
-    return _models[key]
-
-
 def sigmoid(x: Column) -> Column:
     """Logistic function that cannot overflow, as double."""
     small = F.exp(-F.abs(x))
@@ -42,19 +32,18 @@ def score_batch(
     clean: bool = True,
     max_length: int = fv.MODEL_MAX_LENGTH,
     batch_size: int = 256,
-    model_key: str | None = None,
 ) -> DataFrame:
     """Add ``scored_text`` and one ``prob_<label>`` column per label.
 
     Only the text travels to Python, in Arrow batches; all other columns stay on the
-    JVM.  Each Python worker loads the model once per ``model_key``.
+    JVM.  The model is loaded once per task; a loader that keeps its model in its own
+    module (``functools.cache``) loads it once per worker process.
     """
-    key = model_key or f"{load_model.__module__}.{load_model.__qualname__}"
     width = len(labels)
 
     @F.pandas_udf(ArrayType(FloatType()))
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _worker_model(key, load_model)
+        model = load_model()
         for texts in batches:
             parts = [
                 np.asarray(model(texts.iloc[i : i + batch_size].tolist(), max_length), dtype=np.float32)

@@ -45,21 +45,31 @@ def hourly_signals(messages: DataFrame, level: str = "province", *, delay: str =
     )
 
 
-def with_closing_row(messages: DataFrame, folder: str, at: str = "9998-12-31 00:00:00") -> DataFrame:
-    """Add one far-future message to a bounded replay, so that its last hours close too.
-
-    A replay ends with its last file, and the watermark then stops short of the final
-    hours.  The extra message moves it on; its own hour never closes.  Not for streams
-    that go on.
-    """
-    spark = messages.sparkSession
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in messages.schema if f.name != "created_at_local"]
-    row = spark.range(1).select(*nulls, F.lit(at).cast("timestamp_ntz").alias("created_at_local"))
-    row.select(*messages.columns).write.parquet(folder)
-    return messages.unionByName(open_stream(spark, folder, row.select(*messages.columns).schema))
-
-
 def append_to(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Write all input available now to Parquet, exactly once, and stop."""
     writer = stream.writeStream.format("parquet").outputMode("append")
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+
+
+def replay_hourly_signals(
+    messages: DataFrame, folder: str, level: str = "province", *, delay: str = "2 hours", at: str = "9998-12-31 00:00:00"
+) -> DataFrame:
+    """Run a bounded stream to its end, close its last hours too, and read the result.
+
+    At the end of its input a stream's watermark stops short of the final hours.  Once
+    all input is done, one far-future message is put beside it and the same query goes
+    on from its checkpoint; the hours close, and the extra one stays open for ever.
+    """
+    spark = messages.sparkSession
+    others = [f for f in messages.schema if f.name != "created_at_local"]
+    row = spark.range(1).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in others],
+        F.lit(at).cast("timestamp_ntz").alias("created_at_local"),
+    )
+    row.limit(0).write.parquet(f"{folder}/closing")
+    both = messages.unionByName(open_stream(spark, f"{folder}/closing", row.schema))
+    hourly = hourly_signals(both, level, delay=delay)
+    append_to(hourly, f"{folder}/out", f"{folder}/state").awaitTermination()
+    row.write.mode("append").parquet(f"{folder}/closing")
+    append_to(hourly, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
