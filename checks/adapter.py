@@ -20,6 +20,7 @@ TABLE_SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "region": "r_regionkey int, r_name string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
@@ -156,6 +157,21 @@ def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gazetteer that grows with the tables: every customer is a place in its nation.
+
+    Coordinates are multiples of 1/64, so their sums are exact; places repeat.
+    """
+    customers = table(spark, sf_dir, "customer")
+    return customers.join(_places(spark, sf_dir), F.expr("n_nationkey = c_nationkey")).selectExpr(
+        "r_name AS province",
+        "if(c_custkey % 9 = 0, '', n_name) AS district",
+        "lower(concat(c_mktsegment, ' ', c_custkey % 41)) AS neighborhood_clean",
+        "36D + (c_custkey % 64) / 64D AS lat",
+        "35D + (c_custkey % 96) / 64D AS lon",
+    )
+
+
 def geo_index(spark: SparkSession, sf_dir: str, **options: bool) -> GeoIndex:
     return GeoIndex.build(gazetteer(spark, sf_dir), CENTROIDS, **options)
 

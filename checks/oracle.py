@@ -121,6 +121,16 @@ gn AS (SELECT DISTINCT * FROM gaz),
 gd AS (SELECT province, district, avg(lat) AS lat, avg(lon) AS lon FROM gaz GROUP BY ALL),
 gp AS (SELECT province, avg(lat) AS lat, avg(lon) AS lon FROM gaz GROUP BY ALL)"""
 
+CUSTOMER_GAZ = """
+gaz AS (
+  SELECT r_name AS province, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE n_name END AS district,
+    lower(c_mktsegment || ' ' || (c_custkey % 41)) AS neighborhood_clean,
+    36 + (c_custkey % 64) / CAST(64 AS DOUBLE) AS lat, 35 + (c_custkey % 96) / CAST(64 AS DOUBLE) AS lon
+  FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON n_regionkey = r_regionkey),
+gn AS (SELECT DISTINCT * FROM gaz),
+gd AS (SELECT province, district, avg(lat) AS lat, avg(lon) AS lon FROM gaz GROUP BY ALL),
+gp AS (SELECT province, avg(lat) AS lat, avg(lon) AS lon FROM gaz GROUP BY ALL)"""
+
 PICKED = """date BETWEEN '2024-01-04' AND '2024-01-20' AND province IN ('ASIA', 'EUROPE', 'MIDDLE EAST')
   AND urgency_score >= 1 AND pred_saglik + pred_altyapi + pred_guvenlik > 0"""
 
@@ -210,7 +220,7 @@ def over_raw(select: str) -> str:
 
 
 def over_gaz(select: str) -> str:
-    return f"WITH {GAZ} {select}"
+    return f"WITH {CUSTOMER_GAZ} {select}"
 
 
 def located_sql(level: str) -> str:
@@ -442,7 +452,7 @@ ORACLE: dict[str, str] = {
         "nullif(tweet_clean, chr(0))", "nullif(tweet_clean, '')"
     ),
     "load_gazetteer": over_gaz(
-        "SELECT province, district, neighborhood_clean, lat, lon FROM gaz WHERE neighborhood_clean > 'n1'"
+        "SELECT province, district, neighborhood_clean, lat, lon FROM gaz WHERE lat > CAST('36.25' AS DOUBLE)"
     ),
     "publish_predictions": over_signals(DAILY.format(where="date BETWEEN '2024-01-04' AND '2024-01-20'")),
     "labels_long": over_signals(
@@ -504,6 +514,10 @@ UNION ALL SELECT '1999-01-01T00:00:00', hour, province, count(*) FROM signals
   WHERE hour = (SELECT hour FROM busiest) GROUP BY hour, province""",
         busiest_cte(),
     ),
+    "filter_during": over_signals(
+        """SELECT id, province FROM signals
+  WHERE local >= TIMESTAMP '2024-01-10 05:00:00' AND local < TIMESTAMP '2024-01-10 06:00:00'"""
+    ),
     "filter_combined": over_signals(
         f"""SELECT id, date, province, district, urgency_score FROM signals WHERE {PICKED}
   AND district IN ('NATION_3', 'NATION_8', 'NATION_12', 'NATION_19')

@@ -20,7 +20,7 @@ from reliefsignals.operators import aggregates as agg
 from reliefsignals.operators import hotspots as hot
 from reliefsignals.operators import messages as msg
 from reliefsignals.operators import scoring
-from reliefsignals.operators.filters import Filters, apply_filters
+from reliefsignals.operators.filters import Filters, apply_filters, during
 from reliefsignals.operators.geocode import (
     LEVELS,
     gazetteer_districts,
@@ -100,15 +100,16 @@ def _prepared_view(df: DataFrame) -> DataFrame:
 
 def q_load_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
     folder = run_folder(A.configure(spark), "gazetteer")
-    # Half of the longitudes are unreadable; names carry blanks and capitals.
-    raw = A.gazetteer(spark, sf).select(
+    # Some longitudes are unreadable; names carry blanks and capitals.
+    raw = A.customer_gazetteer(spark, sf).select(
         F.concat(F.lit(" "), "province").alias("province"),
         "district",
-        F.upper("neighborhood_clean").alias("neighborhood_clean"),
+        F.initcap("neighborhood_clean").alias("neighborhood_clean"),
         F.col("lat").cast("string").alias("lat"),
-        F.when(F.col("neighborhood_clean") > "n1", F.col("lon").cast("string")).otherwise("?").alias("lon"),
+        F.when(F.col("lat") > 36.25, F.col("lon").cast("string")).otherwise("?").alias("lon"),
     )
-    raw.write.option("header", True).csv(folder)
+    writer = raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+    writer.csv(folder)
     return load_gazetteer(spark, folder)
 
 
@@ -279,6 +280,10 @@ def q_filter_hour(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def q_filter_during(spark: SparkSession, sf: str) -> DataFrame:
+    return during(A.signals(spark, sf), "2024-01-10T05:00:00").frame.select("id", "province")
+
+
 # --- places -------------------------------------------------------------------
 
 
@@ -303,7 +308,7 @@ def q_geocode_level_used(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_gazetteer(build: Callable[[DataFrame], DataFrame], spark: SparkSession, sf: str) -> DataFrame:
-    return build(A.gazetteer(spark, sf))
+    return build(A.customer_gazetteer(spark, sf))
 
 
 # --- aggregates ---------------------------------------------------------------
@@ -482,6 +487,7 @@ QUERIES: dict[str, Query] = {
     "filter_search_regex": q_filter_search_regex,
     "filter_any_need": filtered(Filters(any_need=True)),
     "filter_hour": q_filter_hour,
+    "filter_during": q_filter_during,
     "filter_combined": filtered(COMBINED, "date", "province", "district", "urgency_score"),
     # places
     "geocode_province": located("province"),

@@ -1,6 +1,6 @@
 """Crisis-message analytics on Spark DataFrames."""
 
-from reliefsignals.operators.filters import Filters
+from reliefsignals.operators.filters import Filters, during
 from reliefsignals.operators.geocode import GeoIndex
 from reliefsignals.operators.prepare import prepare
 from reliefsignals.plans.overview import overview
@@ -15,6 +15,7 @@ __all__ = [
     "GeoIndex",
     "configure",
     "discover_schema",
+    "during",
     "load_gazetteer",
     "load_predictions",
     "overview",

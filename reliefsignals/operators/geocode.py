@@ -17,8 +17,8 @@ LEVELS = {
     "neighborhood": ("province", "district", "neighborhood"),
 }
 
-# Gazetteers with at most this many rows are broadcast (some 50 MB at 100 bytes a row).
-BROADCAST_ROWS = 500_000
+# Gazetteers of at most this size are broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def gazetteer_neighborhoods(gazetteer: DataFrame) -> DataFrame:
@@ -40,9 +40,9 @@ def gazetteer_provinces(gazetteer: DataFrame) -> DataFrame:
 class GeoIndex:
     """A gazetteer and the centroids used where it has no answer.
 
-    ``small`` states that the gazetteer was counted and fits the broadcast bound; the
-    derived tables have at most as many rows.  If it is false the joins carry no hint
-    and Spark picks the strategy from the sizes it measures while running.
+    ``small`` states that the gazetteer was measured and fits the broadcast bound; the
+    derived tables are no larger.  If it is false the joins carry no hint: Spark picks
+    the strategy from the sizes it measures while running, and splits skewed provinces.
     """
 
     gazetteer: DataFrame
@@ -57,10 +57,13 @@ class GeoIndex:
         centroids: Centroids | None = None,
         *,
         dedupe: bool = False,
-        broadcast_rows: int = BROADCAST_ROWS,
+        broadcast_bytes: int = BROADCAST_BYTES,
     ) -> GeoIndex:
-        """Count the gazetteer (up to the bound) and set up the index."""
-        small = gazetteer.limit(broadcast_rows + 1).count() <= broadcast_rows
+        """Measure the gazetteer (one aggregation) and set up the index."""
+        texts = sum((F.octet_length(c) for c in ("province", "district", "neighborhood_clean")), F.lit(0))
+        # Beside its texts a row takes two coordinates and the row's own overhead.
+        size = gazetteer.agg(F.sum(F.coalesce(texts, F.lit(0)) + F.lit(64)).alias("bytes")).first()["bytes"] or 0
+        small = size <= broadcast_bytes
         return cls(gazetteer, small, dict(fv.PROVINCE_CENTROIDS if centroids is None else centroids), dedupe)
 
     def _side(self, table: DataFrame) -> DataFrame:

@@ -11,14 +11,16 @@ from reliefsignals.operators.prepare import prepare
 from reliefsignals.schema import Dataset, Metadata
 
 
-def read_cells(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_cells(
+    spark: SparkSession, path: str, schema: StructType | None = None, *, multi_line: bool = True
+) -> DataFrame:
     """Read a CSV with header; every cell is text and missing-value marks are null.
 
-    Quoted cells may hold line breaks, so one file is read by one task; write large
-    tables as many files, or ``publish_predictions`` them once and query Parquet.
-    A ``schema`` of strings spares the job that reads the header.
+    Quoted cells may hold line breaks, so one file is read by one task; hand over large
+    tables as many files, or with ``multi_line=False`` if no cell holds a line break:
+    then files are split.  A ``schema`` of strings spares the job that reads the header.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     cells = reader.csv(path)
@@ -32,11 +34,16 @@ def load_predictions(
     path: str,
     metadata: Metadata | None = None,
     *,
+    schema: StructType | None = None,
+    multi_line: bool = True,
     info_rule: bool = True,
     name: str | None = None,
 ) -> Dataset:
     """Read raw predictions (CSV, or Parquet when the path ends so) and prepare them."""
-    raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_cells(spark, path)
+    if path.rstrip("/").endswith(".parquet"):
+        raw = spark.read.parquet(path)
+    else:
+        raw = read_cells(spark, path, schema, multi_line=multi_line)
     return Dataset.of(prepare(raw, metadata, info_rule=info_rule), metadata, name or path)
 
 

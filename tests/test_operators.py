@@ -9,7 +9,7 @@ from reliefsignals import Dataset, Filters, GeoIndex, overview, prepare
 from reliefsignals.operators import aggregates as agg
 from reliefsignals.operators import hotspots as hot
 from reliefsignals.operators import messages as msg
-from reliefsignals.operators.filters import apply_filters
+from reliefsignals.operators.filters import apply_filters, during
 
 RAW = "id string, tweet string, tweet_clean string, created_at string, province string, district string," \
       " neighborhood string, urgency_score string, pred_saglik string, prob_saglik string," \
@@ -177,7 +177,7 @@ def test_geocode_chain_and_fan_out(make, index):
 
 def test_large_gazetteer_is_not_broadcast(make, index):
     ds = make(dict(), dict(district="Samandağ", neighborhood="Sahil"), dict(province="Adana"))
-    small, large = index(), index(broadcast_rows=1)
+    small, large = index(), index(broadcast_bytes=300)
     assert small.small and not large.small
 
     def points(ix):
@@ -217,6 +217,16 @@ def test_hotspot_properties(make, index):
     assert {r.s for r in levels} == {float(len(items))}
 
 
+def test_during_reads_one_hour(make, index):
+    ds = make(dict(created_at="2023-02-06 01:00:00"), dict(created_at="2023-02-06 01:59:59"),
+              dict(created_at="2023-02-06 02:00:00"), dict(created_at="bad"))
+    one = during(ds, "2023-02-06T04:00:00")
+    assert sorted(r.id for r in one.frame.collect()) == ["0", "1"]
+    hour = "2023-02-06T04:00:00"
+    assert hot.hotspots(one, index()).collect() == hot.hotspots(ds, index(), hour=hour).collect()
+    assert hot.hotspots(during(ds, "2023-02-07T04:00:00"), index()).collect() == []
+
+
 def test_invalid_level_and_mode_fall_back(make, index):
     ds = make(dict(), dict(pred_saglik="0"))
     p = hot.hotspots(ds, index(), level="planet", mode="mood").collect()

@@ -8,7 +8,7 @@ from checks.queries import QUERIES
 from reliefsignals import Filters
 from reliefsignals.operators import aggregates as agg
 from reliefsignals.operators import hotspots as hot
-from reliefsignals.operators.filters import apply_filters
+from reliefsignals.operators.filters import apply_filters, during
 from reliefsignals.schema import Dataset
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,11 @@ def test_messages_are_summed_before_any_window(spark, tmp_path):
 def test_row_operators_do_not_shuffle(spark):
     for name in ("labels_long", "score_detail", "row_labels", "fix_mojibake", "coerce_numeric", "filter_combined"):
         assert "Exchange hashpartitioning" not in initial(QUERIES[name](spark, SF)), name
+
+
+def test_a_known_hour_is_pushed_to_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10000)
+    one = during(published(spark, tmp_path), "2024-01-10T05:00:00")
+    plan = initial(hot.hotspots(one, A.geo_index(spark, SF)))
+    assert "GreaterThanOrEqual(created_at_local,2024-01-10T05:00)" in plan
+    assert "LessThan(created_at_local,2024-01-10T06:00)" in plan
