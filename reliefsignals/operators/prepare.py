@@ -111,23 +111,26 @@ def count_labels(df: DataFrame, schema: LabelSchema) -> DataFrame:
     """``pred_label_count`` and ``pred_any_need`` from the flags, else from existing columns."""
     flags = _flag_columns(df, schema)
     if flags:
-        df = df.withColumn("pred_label_count", total(flags).cast("int"))
+        count = total(flags).cast("int")
     elif "pred_label_count" in df.columns:
-        df = df.withColumn("pred_label_count", as_count(df, "pred_label_count"))
-    if "pred_label_count" in df.columns:
-        return df.withColumn("pred_any_need", (F.col("pred_label_count") > 0).cast("int"))
-    if "pred_any_need" in df.columns:
+        count = as_count(df, "pred_label_count")
+    elif "pred_any_need" in df.columns:
         return df.withColumn("pred_any_need", as_count(df, "pred_any_need"))
-    return df
+    else:
+        return df
+    return df.withColumns({"pred_label_count": count, "pred_any_need": (count > 0).cast("int")})
 
 
 def prepare(
     raw: DataFrame, metadata: Metadata | None = None, *, info_rule: bool = True, compose: bool = False
 ) -> DataFrame:
-    """The whole cleaning chain.  ``compose=True`` also NFC-normalises the rule text."""
+    """The whole cleaning chain.  ``compose=True`` also NFC-normalises the rule text.
+
+    The steps are ordered so that Spark can merge them into few projections.
+    """
     schema = discover_schema(raw.columns, metadata)
-    df = add_date_time(add_timestamps(normalize_places(raw)))
-    df = apply_info_rule(coerce_numbers(df, schema), enabled=info_rule, compose=compose)
+    df = add_timestamps(coerce_numbers(normalize_places(raw), schema))
+    df = add_date_time(apply_info_rule(df, enabled=info_rule, compose=compose))
     return count_labels(df, schema)
 
 
