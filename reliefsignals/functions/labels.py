@@ -12,8 +12,8 @@ from reliefsignals.schema import LabelSchema
 
 
 def total(columns: Iterable[str]) -> Column:
-    """Sum of integer columns given by name; 0 for none."""
-    return F.expr(" + ".join(f"`{c}`" for c in columns) or "0")
+    """Sum of integer columns given by name, as bigint; 0 for none."""
+    return F.expr(" + ".join(f"cast(`{c}` AS bigint)" for c in columns) or "0L")
 
 
 def label_name(label: Column) -> Column:

@@ -111,7 +111,9 @@ def count_labels(df: DataFrame, schema: LabelSchema) -> DataFrame:
     """``pred_label_count`` and ``pred_any_need`` from the flags, else from existing columns."""
     flags = _flag_columns(df, schema)
     if flags:
-        count = total(flags).cast("int")
+        # Damaged cells may hold any integer: the sum is kept inside the type's range.
+        low, high = -(2**31), 2**31 - 1
+        count = F.greatest(F.least(total(flags), F.lit(high)), F.lit(low)).cast("int")
     elif "pred_label_count" in df.columns:
         count = as_count(df, "pred_label_count")
     elif "pred_any_need" in df.columns:

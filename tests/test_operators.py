@@ -67,6 +67,13 @@ def test_prepare_optional_columns(spark):
     assert df.collect()[0].flag == 1 and dict(df.dtypes)["flag"] == "int"
 
 
+def test_damaged_flags_do_not_overflow(make):
+    row = make(dict(pred_saglik="2147483647", pred_bilgi_paylasimi="2147483647")).frame.first()
+    assert (row.pred_saglik, row.pred_label_count, row.pred_any_need) == (2**31 - 1, 2**31 - 1, 1)
+    row = make(dict(pred_saglik="9999999999999")).frame.first()
+    assert (row.pred_saglik, row.pred_label_count, row.pred_any_need) == (0, 0, 0)
+
+
 def test_given_dates_are_kept(spark):
     raw = spark.createDataFrame([("2023-02-06 23:30:00", " 2023-01-01 "), ("bad", None)], "created_at string, date string")
     assert [r.date for r in prepare(raw).collect()] == ["2023-01-01", ""]
