@@ -95,7 +95,8 @@ def _matcher(spark: SparkSession, ids: list, texts: list, threshold: float, widt
             kept["index"] = _Index(*sent.value, width, permutations)
         return pa.array([kept["index"].matches(x, threshold) for x in _sets(column, width)], kind)
 
-    return F.arrow_udf(match, MATCH)
+    # Spark would evaluate a deterministic function a second time, to filter before exploding.
+    return F.arrow_udf(match, MATCH).asNondeterministic()
 
 
 def matches(

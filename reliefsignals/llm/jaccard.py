@@ -1,5 +1,254 @@
-"""N-gram Jaccard join (in progress)."""
+"""N-gram Jaccard join by count vectors, exact, with connected components.
 
+A document's set holds its distinct shingles of five words (runs of anything but ASCII white
+space, A-Z lower-cased); with fewer words, the whole sequence as one shingle; without words it
+is empty and linked with nothing. Two documents link when
+``100 * intersection >= 75 * union``.
 
-def representatives(spark, documents):
-    raise NotImplementedError
+1. Sets are hashed. Documents with equal sets form a class; classes are the nodes below.
+2. Corpus counts of all shingles become two bitmaps (``repeats``): shingles that occur in two
+   sets or more, and frequent ones. A document that shares less than 75 % of its shingles with
+   any other set cannot have a link and goes no further.
+3. Shingles have one global order: unshared, shared, frequent, each by hash. Two linked sets
+   have a common shingle among the first ``n - ceil(0.75 n) + 1`` of each, so these are the
+   keys; documents meet in the blocks of their keys.
+4. A node is first compared with the smallest node of its fullest blocks only, and components
+   are formed. What is left are blocks that hold several components.
+5. In each of those, shingles are hashed into ``GROUPS`` groups; the counts per group are a
+   point, and a packed R-tree holds the points. The summed coordinate minima of two points or
+   boxes bound the overlap from above; pairs of boxes that cannot reach the threshold, or lie
+   in one component, are pruned together.
+6. Surviving pairs are verified on whole sets and components joined.
+
+The R-tree is built per block because over a whole corpus its boxes overlap too much in
+``GROUPS`` dimensions to prune anything. No step limits partners or candidates.
+
+Null texts are empty. Repeated rows and equal sets share a class. A null id takes part and is
+never a component's id unless all its ids are null. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reliefsignals.llm import blocks, repeats
+from reliefsignals.llm.bounds import free_name, written
+from reliefsignals.llm.components import components
+
+WIDTH = 5
+PERCENT = 75
+#: A shingle of so many sets is frequent; it only comes later in the global order.
+FREQUENT = 64
+GROUPS = 32
+LEAF = 16
+#: Blocks are dealt to tasks by ranges of their keys' hashes.
+BLOCK_RANGES = 512
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    data, offsets = blocks.text_bytes(texts)
+    data = blocks.ascii_lower()[data]
+    classes, powers = blocks.byte_classes("space"), blocks.Powers()
+    for first, last in blocks.spans_of_documents(offsets):
+        start = offsets[first]
+        words, at = blocks.tokens(data[start : offsets[last]], offsets[first : last + 1] - start, classes, powers)
+        values, bounds = blocks.shingles(words, at, WIDTH)
+        for low, high in zip(bounds[:-1], bounds[1:]):
+            yield np.unique(values[low:high])
+
+
+def node_of(values: np.ndarray) -> int:
+    """A signed 64-bit name of a set."""
+    total = blocks.mixed(values ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(values))
+    return int(blocks.mixed(np.array([total], np.uint64)).view(np.int64)[0])
+
+
+def _marks(documents: DataFrame, ranges: int) -> DataFrame:
+    """A row per document (id, set size, node), and rows with packed shingles."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("range", pa.int32()), ("packed", pa.binary())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(1)))
+            sizes, nodes = [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]
+            none = [None] * len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())],
+                schema=schema,
+            )
+            once = {k: s for k, s in zip(nodes, sets) if k is not None}
+            if once:
+                for r, packed in repeats.split(np.concatenate(list(once.values())), ranges):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x], t) for x, t in zip((None, None, None, r, packed), schema.types)], schema=schema
+                    )
+
+    return documents.mapInArrow(run, "doc_id bigint, n bigint, node bigint, range int, packed binary")
+
+
+def _candidate_sets(spark: SparkSession, documents: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> DataFrame:
+    """Nodes that can have links: shingles in the global order, number of unshared ones, count vector."""
+    sent = spark.sparkContext.broadcast((shared, frequent))
+    kind = pa.schema(
+        [("node", pa.int64()), ("n", pa.int32()), ("unshared", pa.int32()), ("counts", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_shared, is_frequent = sent.value
+        for batch in batches:
+            rows: dict[int, tuple] = {}
+            for s in shingle_sets(batch.column(0)):
+                known = repeats.contains(is_shared, s)
+                if not len(s) or 100 * int(known.sum()) < PERCENT * len(s):
+                    continue
+                node = node_of(s)
+                if node not in rows:
+                    order = np.argsort(known.astype(np.int8) + repeats.contains(is_frequent, s), kind="stable")
+                    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                    rows[node] = (node, len(s), int((~known).sum()), counts.tolist(), s[order].view(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows.values()), kind.types)], schema=kind)
+
+    found = documents.select("text").mapInArrow(
+        run, "node bigint, n int, unshared int, counts array<int>, shingles array<bigint>"
+    )
+    return found.dropDuplicates(["node"])
+
+
+def linked(shared: Column, n: Column, m: Column) -> Column:
+    return F.lit(100) * shared >= F.lit(PERCENT) * (n + m - shared)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that link, decided on whole sets."""
+    side = {x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"}
+    joined = pairs.join(side["a"], "a").join(side["b"], "b")
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return joined.withColumn("shared", shared).filter(linked(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def overlapping(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of rows of different groups whose bound reaches the threshold, by a packed R-tree.
+
+    A link needs an intersection of ``PERCENT / (100 + PERCENT)`` of both sizes together; the
+    summed minima of two count vectors are at least the intersection.
+    """
+    order = np.lexsort([*counts.T[:4], sizes])
+
+    def build(rows: np.ndarray) -> tuple:
+        box = (counts[rows].max(axis=0), int(sizes[rows].min()), int(sizes[rows].max()))
+        one = groups[rows[0]] if (groups[rows] == groups[rows[0]]).all() else None
+        if len(rows) <= LEAF:
+            return (*box, one, rows, None)
+        spread = np.argmax(counts[rows].max(axis=0) - counts[rows].min(axis=0))
+        by = rows[np.argsort(sizes[rows], kind="stable")]
+        if box[2] * PERCENT <= box[1] * 100:
+            by = rows[np.argsort(counts[rows, spread], kind="stable")]
+        half = len(by) // 2
+        return (*box, one, rows, (build(by[:half]), build(by[half:])))
+
+    def may(least_a: int, most_a: int, least_b: int, most_b: int, bound: int) -> bool:
+        if 100 * most_a < PERCENT * least_b or 100 * most_b < PERCENT * least_a:
+            return False
+        return (100 + PERCENT) * bound >= PERCENT * (least_a + least_b)
+
+    if len(order) < 2:
+        return
+    tree = build(order)
+    stack = [(tree, tree)]
+    while stack:
+        x, y = stack.pop()
+        if x[3] is not None and x[3] == y[3]:
+            continue
+        if x is not y and not may(x[1], x[2], y[1], y[2], int(np.minimum(x[0], y[0]).sum())):
+            continue
+        if x[5] is None and y[5] is None:
+            r, s = x[4], y[4]
+            bound = np.minimum(counts[r][:, None, :], counts[s][None, :, :]).sum(axis=2)
+            n, m = sizes[r][:, None], sizes[s][None, :]
+            good = ((100 + PERCENT) * bound >= PERCENT * (n + m)) & (groups[r][:, None] != groups[s][None, :])
+            if x is y:
+                good = np.triu(good, 1)
+            for i, j in zip(*np.nonzero(good)):
+                yield int(r[i]), int(s[j])
+        elif x is y:
+            a, b = x[5]
+            stack += [(a, a), (b, b), (a, b)]
+        elif y[5] is None or (x[5] is not None and len(x[4]) >= len(y[4])):
+            stack += [(c, y) for c in x[5]]
+        else:
+            stack += [(x, c) for c in y[5]]
+
+
+def _surviving_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of different components from blocks of ``key, node, component, n, counts``."""
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "node"], kind="stable")
+        nodes, found = group["node"].to_numpy(np.int64), set()
+        counts = np.stack(group["counts"].to_list()).astype(np.int32)
+        sizes, parts = group["n"].to_numpy(np.int64), group["component"].to_numpy(np.int64)
+        keys = group["key"].to_numpy(np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        for low, high in zip(edges[:-1], edges[1:]):
+            for i, j in overlapping(counts[low:high], sizes[low:high], parts[low:high]):
+                a, b = nodes[low + i], nodes[low + j]
+                found.add((min(a, b), max(a, b)))
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
+
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(BLOCK_RANGES)))
+    return dealt.groupBy("block").applyInPandas(join, "a bigint, b bigint").distinct()
+
+
+def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document."""
+    slim = documents.select(F.col(id_column).cast("long").alias("doc_id"), "text")
+    ranges = repeats.ranges_for(slim)
+    passed = written(spark, _marks(slim, ranges), "marks")
+    marks = passed.filter("range is null").select("doc_id", "n", "node")
+    shared, frequent = repeats.bitmaps(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT))
+    sets = written(spark, _candidate_sets(spark, slim, shared, frequent), "sets")
+
+    first = F.col("n") - F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100).cast("int") + 1 - F.col("unshared")
+    keyed = sets.filter(first > 0).select("node", "n", F.explode(F.slice("shingles", F.col("unshared") + 1, first)).alias("key"))
+    keys = written(spark, keyed, "keys")
+    block = keys.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    meets = keys.join(block, "key").filter("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
+    centre = meets.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+    near = written(spark, _verified(centre, sets), "near")
+    parts = written(spark, components(spark, near), "parts")
+
+    of_node = sets.select("node", "counts").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = keys.join(of_node.select("node", "component"), "node")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    members = placed.join(several, "key").join(of_node.select("node", "counts"), "node")
+    pairs = written(spark, _surviving_pairs(members), "pairs")
+    links = near.union(_verified(pairs, sets))
+    whole = components(spark, links)
+
+    least = marks.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
+    least = least.withColumn("component", F.coalesce("component", "node"))
+    of_component = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = least.join(of_component, "component").select("node", "component_id")
+    empty = marks.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    full = marks.filter("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.union(empty)
+
+
+def representatives(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The documents, all columns, that have the smallest id of their component.
+
+    Rows that share that id all stay, as do rows without words and rows without an id.
+    """
+    other, part = free_name(documents, "other_id"), free_name(documents, "part")
+    found = classes(spark, documents, id_column).select(F.col("doc_id").alias(other), F.col("component_id").alias(part))
+    gone = found.filter(F.col(other) != F.col(part)).select(other).distinct()
+    return documents.join(gone, F.col(id_column) == F.col(other), "left_anti")

@@ -1,5 +1,100 @@
-"""DuckDB SQL for the registered queries that SQL can express."""
+"""DuckDB SQL for the registered queries that SQL can express.
+
+The others are tested against brute force, exact round trips or held-out accuracy
+(``tests/llm``): trained models, sketches, checksums and passages byte by byte are not for SQL.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from reliefsignals.llm import licences, mixing
+
+_RATES = f"""
+counts AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {mixing.TEMPERATURE}::DOUBLE) AS weight FROM documents GROUP BY source),
+sums AS (SELECT sum(weight) AS weights, sum(n)::DOUBLE AS total FROM counts),
+rates AS (SELECT source, total * weight / weights / n::DOUBLE AS rate FROM counts, sums),
+parts AS (SELECT source, ceil(rate / {mixing.PART})::INT AS parts, rate / ceil(rate / {mixing.PART}) AS r FROM rates),
+cdf AS (
+  SELECT source, parts, list_transform(range(0, (ceil(r + 10 * sqrt(r) + 20))::BIGINT + 1), lambda k: list_sum(
+    list_transform(range(0, k + 1), lambda j: exp(-r + j * ln(r) - lgamma(j + 1))))) AS c FROM parts)
+"""
+
+_MIXING = f"""
+WITH {_RATES},
+drawn AS (
+  SELECT d.*, list_sum(list_transform(range(1, parts + 1), lambda p: len(list_filter(c, lambda x:
+    x <= ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || p), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+  )))) AS m
+  FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source),
+rows AS (SELECT doc_id, source, unnest(range(1, m::BIGINT + 1))::INT AS copy, lang, n_chars, text FROM drawn WHERE m > 0)
+SELECT doc_id, source, copy, md5('{mixing.SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy) AS mix_key, lang, n_chars, text FROM rows
+"""
+
+_CONTAMINATION = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark),
+shingles AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE side = 'i' GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
+  FROM shingles d JOIN shingles i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n_item, n_shared::DOUBLE / n_item::DOUBLE AS containment
+FROM shared JOIN sizes ON item_id = sizes.id WHERE n_shared >= 0.75 * n_item
+"""
+
+_JACCARD = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(s) AS n FROM (SELECT doc_id FROM documents) d LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * m >= 75 * (x.n + y.n - m)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sizes
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sizes
+"""
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(repr(x) for x in r) + ")" for r in rows)
+
+
+_LICENCES = rf"""
+WITH known(id, sentence) AS (VALUES {_values(list(licences.SENTENCES.items()))}),
+rules(rule, licence, pattern, n_sentences, head) AS (
+  VALUES {_values([(n, x, f",{','.join(map(str, ids))},", len(ids), ids[0]) for n, x, ids in licences.RULES])}),
+cut AS (
+  SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;:])\s+', '\1' || chr(1), 'g'), '\x01|\n\s*\n') AS all_s FROM documents),
+numbered AS (SELECT doc_id, unnest(range(0, len(all_s))) AS i, unnest(all_s) AS s FROM cut),
+lined AS (SELECT doc_id, i, CASE WHEN contains(s, chr(10)) THEN list_concat([s], string_split(s, chr(10))) ELSE [s] END AS l FROM numbered),
+lines AS (SELECT doc_id, i, unnest(range(0, len(l))) AS j, unnest(l) AS s FROM lined),
+plain AS (
+  SELECT doc_id, i, j, regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{licences.COPYRIGHT}', 'copyright notice') AS sentence
+  FROM lines),
+hits AS (SELECT DISTINCT doc_id, i, j, id FROM plain JOIN known USING (sentence)),
+stepped AS (SELECT *, lag(id) OVER (PARTITION BY doc_id ORDER BY i, j, id) AS before FROM hits),
+sequences AS (
+  SELECT doc_id, ',' || string_agg(id::VARCHAR, ',' ORDER BY i, j, id) || ',' AS sequence
+  FROM stepped WHERE before IS DISTINCT FROM id GROUP BY doc_id),
+firsts AS (SELECT doc_id, id, min(i) AS first_sentence FROM hits GROUP BY ALL),
+matched AS (
+  SELECT s.doc_id, r.*, f.first_sentence::INT AS first_sentence FROM sequences s JOIN rules r ON contains(s.sequence, r.pattern)
+  JOIN firsts f ON f.doc_id = s.doc_id AND f.id = r.head)
+SELECT doc_id, rule, licence, n_sentences::INT AS n_sentences, first_sentence FROM matched m
+WHERE NOT EXISTS (
+  SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND o.n_sentences > m.n_sentences AND contains(o.pattern, m.pattern))
+"""
+
+ORACLE: dict[str, str] = {
+    "op3_licence_scan": _LICENCES,
+    "op7_source_mixing": _MIXING,
+    "op8_jaccard_join": _JACCARD,
+    "op10_decontamination": _CONTAMINATION,
+}
