@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefsignals.session import run_folder
-
 BROADCAST_ROWS = 1_000_000
 
 
@@ -18,6 +19,17 @@ def broadcast_if_few(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder all executors share")
+        base = tempfile.mkdtemp(prefix="training-data-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     """The frame as a table in the shared folder: cuts its lineage and survives lost executors."""
     path = run_folder(spark, name)
