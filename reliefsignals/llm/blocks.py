@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+#: Text bytes that a task turns into hashes before it passes them on.
+SLICE_BYTES = 8_000_000
 _ODD = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -65,6 +67,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``SLICE_BYTES`` each, which bounds what a task holds at once."""
+    held, size = [], 0
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
+        for first in range(0, batch.num_rows, rows):
+            held.append(batch.slice(first, rows))
+            size += held[-1].nbytes
+            if size >= SLICE_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def spans_of_documents(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Runs of whole documents of about ``size`` bytes; a longer document is a run by itself."""
     first, n = 0, len(offsets) - 1

@@ -12,8 +12,10 @@ is empty and linked with nothing. Two documents link when
 3. Shingles have one global order: unshared, shared, frequent, each by hash. Two linked sets
    have a common shingle among the first ``n - ceil(0.75 n) + 1`` of each, so these are the
    keys; documents meet in the blocks of their keys.
-4. A node is first compared with the smallest node of its fullest blocks only, and components
-   are formed. What is left are blocks that hold several components.
+4. A node is first compared with one other node only: of the hubs of its blocks, the one it
+   shares most keys with. A block's hub is its node with the smallest share of unshared
+   shingles, for copies with edits resemble their origin more than each other. Components are
+   formed; what is left are blocks that hold several.
 5. In each of those, shingles are hashed into ``GROUPS`` groups; the counts per group are a
    point, and a packed R-tree holds the points. The summed coordinate minima of two points or
    boxes bound the overlap from above; pairs of boxes that cannot reach the threshold, or lie
@@ -34,18 +36,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefsignals.llm import blocks, repeats
-from reliefsignals.llm.bounds import free_name, written
+from reliefsignals.llm.bounds import broadcast_if_few, free_name, with_small_batches, written
 from reliefsignals.llm.components import components
 
 WIDTH = 5
 PERCENT = 75
 #: A shingle of so many sets is frequent; it only comes later in the global order.
 FREQUENT = 64
-GROUPS = 32
+#: Size of each of the two bitmaps, 8 MB.
+BITS = 26
+GROUPS = 256
 LEAF = 16
 #: Blocks are dealt to tasks by ranges of their keys' hashes.
 BLOCK_RANGES = 512
@@ -76,7 +81,7 @@ def _marks(documents: DataFrame, ranges: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks.slices(batches):
             sets = list(shingle_sets(batch.column(1)))
             sizes, nodes = [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]
             none = [None] * len(sets)
@@ -94,16 +99,15 @@ def _marks(documents: DataFrame, ranges: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id bigint, n bigint, node bigint, range int, packed binary")
 
 
-def _candidate_sets(spark: SparkSession, documents: DataFrame, shared: np.ndarray, frequent: np.ndarray) -> DataFrame:
+def _candidate_sets(documents: DataFrame, sent: Broadcast) -> DataFrame:
     """Nodes that can have links: shingles in the global order, number of unshared ones, count vector."""
-    sent = spark.sparkContext.broadcast((shared, frequent))
     kind = pa.schema(
-        [("node", pa.int64()), ("n", pa.int32()), ("unshared", pa.int32()), ("counts", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64()))]
+        [("node", pa.int64()), ("n", pa.int32()), ("unshared", pa.int32()), ("counts", pa.binary()), ("shingles", pa.list_(pa.int64()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_shared, is_frequent = sent.value
-        for batch in batches:
+        for batch in blocks.slices(batches):
             rows: dict[int, tuple] = {}
             for s in shingle_sets(batch.column(0)):
                 known = repeats.contains(is_shared, s)
@@ -113,14 +117,14 @@ def _candidate_sets(spark: SparkSession, documents: DataFrame, shared: np.ndarra
                 if node not in rows:
                     order = np.argsort(known.astype(np.int8) + repeats.contains(is_frequent, s), kind="stable")
                     counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                    rows[node] = (node, len(s), int((~known).sum()), counts.tolist(), s[order].view(np.int64))
+                    rows[node] = (node, len(s), int((~known).sum()), counts.astype(np.uint32).tobytes(), s[order].view(np.int64))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows.values()), kind.types)], schema=kind)
 
     found = documents.select("text").mapInArrow(
-        run, "node bigint, n int, unshared int, counts array<int>, shingles array<bigint>"
+        run, "node bigint, n int, unshared int, counts binary, shingles array<bigint>"
     )
-    return found.dropDuplicates(["node"])
+    return found
 
 
 def linked(shared: Column, n: Column, m: Column) -> Column:
@@ -128,9 +132,13 @@ def linked(shared: Column, n: Column, m: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` that link, decided on whole sets."""
+    """Those of the pairs ``a, b`` that link, decided on whole sets.
+
+    Few pairs are sent to the sets, rather than the sets shuffled to them.
+    """
     side = {x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab"}
-    joined = pairs.join(side["a"], "a").join(side["b"], "b")
+    wanted = broadcast_if_few(pairs.select("b").distinct())
+    joined = side["a"].join(broadcast_if_few(pairs), "a").join(side["b"].join(wanted, "b", "left_semi"), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return joined.withColumn("shared", shared).filter(linked(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
@@ -194,7 +202,7 @@ def _surviving_pairs(members: DataFrame) -> DataFrame:
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "node"], kind="stable")
         nodes, found = group["node"].to_numpy(np.int64), set()
-        counts = np.stack(group["counts"].to_list()).astype(np.int32)
+        counts = np.frombuffer(b"".join(group["counts"]), np.uint32).reshape(-1, GROUPS).astype(np.int32)
         sizes, parts = group["n"].to_numpy(np.int64), group["component"].to_numpy(np.int64)
         keys = group["key"].to_numpy(np.int64)
         edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -210,17 +218,30 @@ def _surviving_pairs(members: DataFrame) -> DataFrame:
 
 def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
+    with_small_batches(spark)
     slim = documents.select(F.col(id_column).cast("long").alias("doc_id"), "text")
     ranges = repeats.ranges_for(slim)
     passed = written(spark, _marks(slim, ranges), "marks")
     marks = passed.filter("range is null").select("doc_id", "n", "node")
-    shared, frequent = repeats.bitmaps(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT))
-    sets = written(spark, _candidate_sets(spark, slim, shared, frequent), "sets")
+    shared, frequent = repeats.bitmaps(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT), BITS)
+    sent = spark.sparkContext.broadcast((shared, frequent))
+    del shared, frequent
+    firsts = marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")).filter("node IS NOT NULL AND m > 1")
+    shared_nodes = marks.join(firsts, "node").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    copies = written(spark, shared_nodes.filter("copy").select("doc_id"), "copies")
+    one_each = slim.join(broadcast_if_few(copies), "doc_id", "left_anti")
+    found = _candidate_sets(one_each, sent)
+    # Rows that repeat an id, or have none, are still there; only then is a shuffle of sets needed.
+    if not shared_nodes.filter("NOT copy").groupBy("node").count().filter("count > 1").isEmpty():
+        found = found.dropDuplicates(["node"])
+    sets = written(spark, found, "sets")
+    sent.destroy()
 
     first = F.col("n") - F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100).cast("int") + 1 - F.col("unshared")
-    keyed = sets.filter(first > 0).select("node", "n", F.explode(F.slice("shingles", F.col("unshared") + 1, first)).alias("key"))
+    apart = F.col("unshared").cast("double") / F.col("n")
+    keyed = sets.filter(first > 0).select("node", "n", apart.alias("apart"), F.explode(F.slice("shingles", F.col("unshared") + 1, first)).alias("key"))
     keys = written(spark, keyed, "keys")
-    block = keys.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    block = keys.groupBy("key").agg(F.min(F.struct("apart", "node"))["node"].alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     meets = keys.join(block, "key").filter("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
     centre = meets.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
     near = written(spark, _verified(centre, sets), "near")

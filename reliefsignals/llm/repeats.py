@@ -54,9 +54,10 @@ def split(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
         yield int(r), planes(np.diff(run, prepend=np.uint32(0)))
 
 
-def bitmaps(runs: DataFrame, ranges: int, levels: tuple[int, ...]) -> list[np.ndarray]:
+def bitmaps(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int = BITS) -> list[np.ndarray]:
     """For each level, the bitmap of hashes that occur so often at least. ``runs``: ``range, packed``."""
-    width = BITS - (ranges.bit_length() - 1)
+    width = max(3, bits - (ranges.bit_length() - 1))
+    bits = width + ranges.bit_length() - 1
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         names = np.sort(np.concatenate([np.cumsum(from_planes(p, np.uint32), dtype=np.uint32) for p in group["packed"]]))
@@ -64,19 +65,20 @@ def bitmaps(runs: DataFrame, ranges: int, levels: tuple[int, ...]) -> list[np.nd
         many = np.diff(np.append(first, len(names)))
         slices = []
         for level in levels:
-            bits = np.zeros(1 << width, np.uint8)
-            bits[names[first[many >= level]] >> np.uint32(32 - width)] = 1
-            slices.append(np.packbits(bits).tobytes())
+            marks = np.zeros(1 << width, np.uint8)
+            marks[names[first[many >= level]] >> np.uint32(32 - width)] = 1
+            slices.append(np.packbits(marks).tobytes())
         return pd.DataFrame({"range": [int(group["range"].iloc[0])], "slices": [slices]})
 
-    whole = [np.zeros(1 << (BITS - 3), np.uint8) for _ in levels]
+    whole = [np.zeros(1 << (bits - 3), np.uint8) for _ in levels]
     size = 1 << (width - 3)
-    for row in runs.groupBy("range").applyInPandas(count, "range int, slices array<binary>").toLocalIterator():
+    for row in runs.groupBy("range").applyInPandas(count, "range int, slices array<binary>").collect():
         for bitmap, part in zip(whole, row["slices"]):
             bitmap[row["range"] * size : (row["range"] + 1) * size] = np.frombuffer(bytes(part), np.uint8)
     return whole
 
 
 def contains(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    bits = (8 * len(bitmap)).bit_length() - 1
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
