@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from reliefsignals import fixed_values as fv
 from reliefsignals.operators.geocode import GeoIndex
 from reliefsignals.operators.prepare import apply_info_rule, count_labels
 from reliefsignals.schema import Dataset, discover_schema
-from reliefsignals.session import configure
+from reliefsignals.session import configure, run_folder
 
 CENTROIDS = {"MIDDLE EAST": (36.5, 38.25)}
 LABELS = fv.DEFAULT_LABELS
@@ -32,6 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A run folder; where no shared one is named, a temporary one, in local mode only."""
+    if spark.conf.get("spark.checkpoint.dir", None) or not spark.sparkContext.master.startswith("local["):
+        return run_folder(spark, name)
+    return f"{tempfile.mkdtemp(prefix='reliefsignals-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey)

@@ -69,12 +69,12 @@ plain AS (
 
 SIGNALS = f"""{BASE},
 ruled AS (
-  SELECT * REPLACE (CASE WHEN added THEN 1 ELSE pred_bilgi_paylasimi END AS pred_bilgi_paylasimi)
+  SELECT * REPLACE (CAST(CASE WHEN added THEN 1 ELSE pred_bilgi_paylasimi END AS BIGINT) AS pred_bilgi_paylasimi)
   FROM (SELECT *, pred_bilgi_paylasimi = 0 AND prob_bilgi_paylasimi >= {lit(0.2)}
                   AND {rule("lower(coalesce(tweet_clean, ''))")} AS added FROM plain)),
 signals AS (
   SELECT *, CAST(added AS INTEGER) AS postprocess_info_v1_added,
-    {" + ".join(PREDS)} AS pred_label_count,
+    CAST({" + ".join(PREDS)} AS BIGINT) AS pred_label_count,
     CAST({" + ".join(PREDS)} > 0 AS INTEGER) AS pred_any_need
   FROM ruled)"""
 
@@ -89,12 +89,13 @@ cleaned AS (
                   WHEN 8 THEN 'Gaziantep ' || chr(65533) WHEN 9 THEN 'Adıyaman' ELSE '' END AS province,
       CASE WHEN e % 3 = 2 THEN '' ELSE district END AS district,
       CASE WHEN e % 6 IN (0, 1) THEN urgency_score ELSE CAST(0 AS DOUBLE) END AS urgency_score,
-      CASE WHEN e % 5 IN (0, 1) THEN pred_saglik ELSE 0 END AS pred_saglik,
+      CAST(CASE WHEN e % 5 IN (0, 1) THEN pred_saglik ELSE 0 END AS BIGINT) AS pred_saglik,
+      {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in PREDS if c != "pred_saglik")},
       CASE WHEN e % 4 = 0 THEN prob_saglik END AS prob_saglik),
     {CREATED} AS utc_at
   FROM plain),
 raw_ruled AS (
-  SELECT * REPLACE (CASE WHEN added THEN 1 ELSE pred_bilgi_paylasimi END AS pred_bilgi_paylasimi)
+  SELECT * REPLACE (CAST(CASE WHEN added THEN 1 ELSE pred_bilgi_paylasimi END AS BIGINT) AS pred_bilgi_paylasimi)
   FROM (SELECT *, pred_bilgi_paylasimi = 0 AND prob_bilgi_paylasimi >= {lit(0.2)}
                   AND {rule("lower(coalesce(tweet_clean, ''))")} AS added FROM cleaned)),
 raw AS (
@@ -103,7 +104,7 @@ raw AS (
     coalesce(strftime(utc_at + INTERVAL 3 HOUR, '%Y-%m-%d'), '') AS date,
     coalesce(strftime(utc_at + INTERVAL 3 HOUR, '%H:%M:%S'), '') AS time,
     CAST(added AS INTEGER) AS postprocess_info_v1_added,
-    {" + ".join(PREDS)} AS pred_label_count,
+    CAST({" + ".join(PREDS)} AS BIGINT) AS pred_label_count,
     CAST({" + ".join(PREDS)} > 0 AS INTEGER) AS pred_any_need
   FROM raw_ruled)"""
 
@@ -281,7 +282,8 @@ DAILY = f"""SELECT date, count(*) AS rows, CAST(sum(pred_any_need) AS BIGINT) AS
 
 TOP = f"""SELECT id, date, time, province, district, neighborhood,
   coalesce(nullif(tweet_clean, ''), tweet) AS text, urgency_score AS urgency,
-  concat_ws(',', {each("CASE WHEN pred_{x} = 1 THEN '{x}' END")}) AS labels
+  concat_ws(',', {each("CASE WHEN pred_{x} = 1 THEN '{x}' END")}) AS labels,
+  concat_ws(',', {each("CASE WHEN pred_{x} = 1 THEN '{n}' END")}) AS label_names
 FROM signals WHERE {PICKED} ORDER BY urgency_score DESC, pred_label_count DESC, id LIMIT 60"""
 
 
@@ -375,6 +377,12 @@ def long_part(section: str, item: str, measures: list[str], src: str) -> str:
     )
 
 
+SOURCE_FACTS = [
+    "kind", "canonical", "generated_at", "experiment", "threshold_source", "threshold_type", "row_count", "rows_before",
+    "rows_after", "duplicate_rows_removed", "content_overlap_note",
+]
+
+
 def overview_sql() -> str:
     ctes = (
         LC,
@@ -399,6 +407,7 @@ def overview_sql() -> str:
         long_part("top_messages", "id", ["urgency"], "tm"),
         long_part("hours", "hour", ["listed"], "hs"),
         long_part("default_hour", "hour", ["listed"], "(SELECT hour, 1 AS listed FROM busiest)"),
+        long_part("source", "fact", ["listed"], f"(SELECT unnest({SOURCE_FACTS}) AS fact, 1 AS listed)"),
     ]
     return over_signals(" UNION ALL ".join(parts), *ctes)
 
@@ -447,6 +456,13 @@ DETAIL_ROWS = " UNION ALL ".join(
     for i, x in enumerate(L)
 )
 
+def inserted(number: str, table: str) -> str:
+    """A table's rows with words of the rule put into the middle of ``t``, the folded text."""
+    words = "['HABER ALAMIYORUZ', 'haber alamıyoruz, bilen var mı', 'DUYURU: dağıtım', 'su lazım', 'telefon 0555']"
+    return f"""SELECT *, replace(lower(replace(substring(text, 1, length(text) // 2) || ' ' || {words}[({number}) % 5 + 1] || ' '
+      || substring(text, length(text) // 2 + 1), 'İ', 'i')), 'ı', 'i') AS t FROM {table}"""
+
+
 ORACLE: dict[str, str] = {
     "load_predictions": over_raw(f"SELECT {RAW_VIEW.format(text='nullif(tweet_clean, chr(0))')} FROM raw").replace(
         "nullif(tweet_clean, chr(0))", "nullif(tweet_clean, '')"
@@ -457,18 +473,24 @@ ORACLE: dict[str, str] = {
     "publish_predictions": over_signals(DAILY.format(where="date BETWEEN '2024-01-04' AND '2024-01-20'")),
     "labels_long": over_signals(
         " UNION ALL ".join(
-            f"SELECT id, '{x}' AS label, '{LABEL_NAMES[x]}' AS label_name, pred_{x} AS pred, prob_{x} AS prob FROM signals"
+            f"SELECT id, '{x}' AS label, '{LABEL_NAMES[x]}' AS label_name, CAST(pred_{x} AS BIGINT) AS pred, prob_{x} AS prob FROM signals"
             for x in L
         )
     ),
     "labels_long_discovered": " UNION ALL ".join(
         f"""SELECT CAST(d.doc_id AS VARCHAR) AS id, '{x}' AS label, '{x}' AS label_name,
-          CAST(coalesce(l.{x}, 0) AS INTEGER) AS pred, CAST(NULL AS DOUBLE) AS prob
+          CAST(coalesce(l.{x}, 0) AS BIGINT) AS pred, CAST(NULL AS DOUBLE) AS prob
         FROM documents d LEFT JOIN labels l USING (doc_id)"""
         for x in ("quality", "toxic")
     ),
     "fix_mojibake": f"WITH {MOJIBAKE}",
     "normalize_location": over_raw("SELECT id, province, district, neighborhood FROM raw"),
+    "parse_date_forms": """SELECT event_id, CASE
+    WHEN event_id % 9 IN (0, 1, 5) THEN strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S')
+    WHEN event_id % 9 = 2 THEN strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S')
+    WHEN event_id % 9 < 8 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS utc FROM events""",
+    "unreadable_times": over_raw("""SELECT count(*) AS cells, count(*) FILTER (e % 7 = 6) AS empty,
+  count(*) FILTER (e % 7 = 5) AS unreadable FROM raw"""),
     "parse_created_at": over_raw("SELECT id, utc, local_text AS local FROM raw"),
     "derive_date_time": over_raw("SELECT id, date, time FROM raw"),
     "hour_bucket": over_plain("SELECT id, hour FROM plain"),
@@ -476,6 +498,13 @@ ORACLE: dict[str, str] = {
         "SELECT id, urgency_score, pred_saglik, prob_saglik, pred_altyapi, prob_altyapi FROM raw"
     ),
     "info_signal": over_plain(f"SELECT id, {rule(RULE_TEXT)} AS signal FROM (SELECT *, e AS id_n FROM plain)"),
+    "info_signal_documents": f"SELECT doc_id, {rule('t')} AS signal FROM ({inserted('doc_id', 'documents')})",
+    "info_rule_conversations": f"""SELECT conv_id, turn, CAST(flag AS BIGINT) AS pred_bilgi_paylasimi,
+  CASE WHEN flag THEN 'bilgi_paylasimi' ELSE '' END AS predicted FROM (
+    SELECT conv_id, turn, (conv_id + turn) % 10 >= 2 AND {rule('t')} AS flag
+    FROM ({inserted('conv_id + turn', 'conversations')}))""",
+    "label_sums_beyond_int": """SELECT CAST(event_id AS VARCHAR) AS id, event_id * 4000000000 AS pred_saglik,
+  event_id * 4000000000 + 4294967294 AS pred_label_count, CAST(1 AS INTEGER) AS pred_any_need FROM events""",
     "info_postprocess": over_signals("SELECT id, pred_bilgi_paylasimi, postprocess_info_v1_added FROM signals"),
     "label_count_any_need": over_signals("SELECT id, pred_label_count, pred_any_need FROM signals"),
     "row_labels": over_signals(
@@ -504,6 +533,8 @@ ORACLE: dict[str, str] = {
     "filter_labels_all": over_signals("SELECT id FROM signals WHERE pred_gida_su = 1 AND pred_altyapi = 1"),
     "filter_search": """SELECT CAST(doc_id AS VARCHAR) AS id FROM documents
   WHERE contains(replace(lower(text), chr(223), 'ss'), 'esse')""",
+    "filter_search_ligatures": """SELECT s AS search, CAST(doc_id AS VARCHAR) AS id FROM documents, (VALUES ('fi'), ('ss')) AS v(s)
+  WHERE contains(replace(lower(text), chr(223), 'ss'), s)""",
     "filter_search_regex": """SELECT conv_id || '-' || turn AS id FROM conversations
   WHERE regexp_matches(lower(text), '(é|e)[a-z]*on[ .]')""",
     "filter_any_need": over_signals("SELECT id FROM signals WHERE pred_any_need = 1"),
@@ -569,6 +600,7 @@ UNION ALL SELECT '1999-01-01T00:00:00', hour, province, count(*) FROM signals
         hours_of(PICKED),
     ),
     "provenance_check": provenance_sql(),
+    "provenance_published": provenance_sql(),
     "hotspot_signal_count_rows": over_signals(
         "SELECT hour, province, district, signal FROM cell", cell_cte("district", "count_rows")
     ),
@@ -603,6 +635,10 @@ UNION ALL SELECT hour, 'neighborhood', province, district, neighborhood, CAST(co
         cell_cte("neighborhood", "count_any_need", PICKED), GAZ, located_cte("neighborhood"),
         ranked_cte("neighborhood"), busiest_cte(PICKED),
     ),
+    "hotspots_known_hour": over_signals(
+        f"SELECT {POINT_COLUMNS} FROM ranked WHERE hour = '2024-01-10T05:00:00'",
+        cell_cte("neighborhood", "count_any_need"), GAZ, located_cte("neighborhood"), ranked_cte("neighborhood"),
+    ),
     "hotspots_timeline": timeline_sql("district", "count_any_need", POINT_COLUMNS),
     "hotspot_stats": over_signals(
         """SELECT (SELECT hour FROM busiest) AS hour, sum(signal) FILTER (shown) AS total_signal,
@@ -622,14 +658,16 @@ FROM (SELECT *, lat IS NOT NULL AND lon IS NOT NULL AND signal > 0 AS shown FROM
         ranked_cte("neighborhood"), busiest_cte(),
     ),
     "top_messages": over_signals(TOP),
+    "top_messages_many": over_signals(
+        "SELECT id, urgency_score AS urgency FROM signals ORDER BY urgency_score DESC, pred_label_count DESC, id LIMIT 700"
+    ),
     "ticker": rf"""WITH talk AS (
   SELECT printf('%08d-%04d', conv_id, turn) AS id, conv_id % 10 AS urgency, role AS province, conv_id,
-    CASE WHEN conv_id % 4 = 0 THEN '' ELSE replace(regexp_replace(text, '{EDGES}', '', 'g'), chr(10), ' ') END AS line
-  FROM conversations),
-first AS (SELECT * FROM talk ORDER BY urgency DESC, id LIMIT 36)
+    CASE WHEN conv_id % 4 = 0 OR conv_id % 10 > 7 THEN '' ELSE replace(regexp_replace(text, '{EDGES}', '', 'g'), chr(10), ' ') END AS line
+  FROM conversations)
 SELECT id, CASE WHEN length(line) > 140 THEN substring(line, 1, 137) || '...' ELSE line END AS text, province,
   CASE conv_id % 2 WHEN 0 THEN 'saglik,gida_su' ELSE 'arama_kurtarma,barinma' END AS labels
-FROM first WHERE line <> '' ORDER BY urgency DESC, id LIMIT 18""",
+FROM talk WHERE line <> '' ORDER BY urgency DESC, id LIMIT 18""",
     "message_list": over_signals(
         f"""SELECT date, time, province, district, neighborhood, urgency_score, tweet_clean, {", ".join(PREDS)}
   FROM signals WHERE {PICKED} ORDER BY id LIMIT 500"""

@@ -8,7 +8,7 @@ from dataclasses import replace
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import adapter as A
@@ -31,14 +31,15 @@ from reliefsignals.operators.geocode import (
 from reliefsignals.operators.prepare import (
     add_date_time,
     add_timestamps,
+    apply_info_rule,
     coerce_numbers,
     labels_long,
     normalize_places,
     prepare,
+    unreadable_times,
 )
 from reliefsignals.plans.overview import overview
 from reliefsignals.schema import Dataset, discover_schema
-from reliefsignals.session import run_folder
 from reliefsignals.sources.gazetteer import load_gazetteer
 from reliefsignals.sources.predictions import load_predictions, publish_predictions, read_published
 from reliefsignals.streaming.hourly import append_to, open_stream, replay_hourly_signals
@@ -72,7 +73,7 @@ COMBINED = replace(PICKED, districts=("NATION_3", "NATION_8", "NATION_12", "NATI
 
 
 def q_load_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(A.configure(spark), "cells")
+    folder = A.folder(A.configure(spark), "cells")
     writer = A.raw_cells(spark, sf).write.option("header", True).option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     return _prepared_view(load_predictions(spark, folder).frame)
@@ -99,7 +100,7 @@ def _prepared_view(df: DataFrame) -> DataFrame:
 
 
 def q_load_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(A.configure(spark), "gazetteer")
+    folder = A.folder(A.configure(spark), "gazetteer")
     # Some longitudes are unreadable; names carry blanks and capitals.
     raw = A.customer_gazetteer(spark, sf).select(
         F.concat(F.lit(" "), "province").alias("province"),
@@ -114,8 +115,8 @@ def q_load_gazetteer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_publish_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(A.configure(spark), "published")
-    publish_predictions(A.signals(spark, sf).frame, folder)
+    folder = A.folder(A.configure(spark), "published")
+    publish_predictions(A.signals(spark, sf), folder)
     wanted = Filters(start_date=dt.date(2024, 1, 4), end_date=dt.date(2024, 1, 20))
     return agg.temporal_daily(read_published(spark, folder), wanted)
 
@@ -178,6 +179,23 @@ def q_derive_date_time(spark: SparkSession, sf: str) -> DataFrame:
     return add_date_time(add_timestamps(A.raw_cells(spark, sf))).select("id", "date", "time")
 
 
+def q_parse_date_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event's time written in one of nine forms, some with the day first."""
+    at = F.col("ts")
+    forms = (
+        "dd.MM.yyyy HH:mm", "MMM d, yyyy HH:mm", "yyyyMMdd", "dd/MM/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss",
+        "d MMM yyyy HH:mm", "EEE, dd MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "'in quarter' q",
+    )
+    cells = F.array(*[F.date_format(at, f) for f in forms])
+    cell = F.element_at(cells, (F.col("event_id") % len(forms) + 1).cast("int"))
+    parsed = add_timestamps(A.table(spark, sf, "events").select("event_id", cell.alias("created_at")), day_first=True)
+    return parsed.select("event_id", F.date_format("created_at_parsed", "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+def q_unreadable_times(spark: SparkSession, sf: str) -> DataFrame:
+    return unreadable_times(A.raw_cells(spark, sf))
+
+
 def q_hour_bucket(spark: SparkSession, sf: str) -> DataFrame:
     hour = hour_text(hour_start(F.col("created_at_local")))
     return A.plain_signals(spark, sf).select("id", hour.alias("hour"))
@@ -199,6 +217,45 @@ def q_info_signal(spark: SparkSession, sf: str) -> DataFrame:
     return A.plain_signals(spark, sf).select("id", info_signal(text).alias("signal"))
 
 
+def _with_rule_words(text: Column, n: Column) -> Column:
+    """Whole texts with words of the rule put in, by number: one family, two, an announcement, none."""
+    words = ("HABER ALAMIYORUZ", "haber alamıyoruz, bilen var mı", "DUYURU: dağıtım", "su lazım", "telefon 0555")
+    inserted = F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
+    half = F.floor(F.length(text) / 2).cast("int")
+    return F.concat(F.substring(text, F.lit(1), half), F.lit(" "), inserted, F.lit(" "), F.substring(text, half + 1, F.length(text)))
+
+
+def q_info_signal_documents(spark: SparkSession, sf: str) -> DataFrame:
+    text = _with_rule_words(F.col("text"), F.col("doc_id"))
+    return A.table(spark, sf, "documents").select("doc_id", info_signal(text).alias("signal"))
+
+
+def q_info_rule_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule after the classifier and after thresholds, on whole conversation turns."""
+    n = F.col("conv_id") + F.col("turn")
+    rows = A.table(spark, sf, "conversations").select(
+        "conv_id",
+        "turn",
+        _with_rule_words(F.col("text"), n).alias("tweet_clean"),
+        F.lit(0).alias("pred_bilgi_paylasimi"),
+        (n % 10 / F.lit(10.0)).alias("prob_bilgi_paylasimi"),
+        F.array().cast("array<string>").alias("predicted"),
+    )
+    ruled = scoring.score_postprocess(apply_info_rule(rows), "tweet_clean")
+    return ruled.select("conv_id", "turn", "pred_bilgi_paylasimi", F.array_join("predicted", ",").alias("predicted"))
+
+
+def q_label_sums_beyond_int(spark: SparkSession, sf: str) -> DataFrame:
+    """Damaged flags far beyond 32 bits are summed as they are."""
+    raw = A.table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("id"),
+        (F.col("event_id") * 4_000_000_000).cast("string").alias("pred_saglik"),
+        F.lit("2147483647").alias("pred_barinma"),
+        F.lit("2147483647.5").alias("pred_gida_su"),
+    )
+    return prepare(raw).select("id", "pred_saglik", "pred_label_count", "pred_any_need")
+
+
 def q_info_postprocess(spark: SparkSession, sf: str) -> DataFrame:
     return A.signals(spark, sf).frame.select("id", "pred_bilgi_paylasimi", "postprocess_info_v1_added")
 
@@ -261,6 +318,29 @@ def q_filter_search(spark: SparkSession, sf: str) -> DataFrame:
     return apply_filters(ds.frame, ds.schema, Filters(search="  EßE ")).select("id")
 
 
+def q_filter_search_ligatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts whose "fi" and "ss" are single letters, searched in plain spelling."""
+    docs = A.table(spark, sf, "documents")
+    text = F.replace(F.replace("text", F.lit("fi"), F.lit("\ufb01")), F.lit("ss"), F.lit("ẞ"))
+    ds = Dataset.of(docs.select(F.col("doc_id").cast("string").alias("id"), text.alias("tweet_clean")))
+    parts = [apply_filters(ds.frame, ds.schema, Filters(search=s)).select(F.lit(s).alias("search"), "id") for s in ("fi", "ss")]
+    return parts[0].union(parts[1])
+
+
+def q_hotspots_known_hour(spark: SparkSession, sf: str) -> DataFrame:
+    """Hotspots of a requested hour of a published table: other hours are not read."""
+    folder = A.folder(A.configure(spark), "published")
+    publish_predictions(A.signals(spark, sf), folder)
+    return hot.hotspots(read_published(spark, folder), A.geo_index(spark, sf), hour="2024-01-10T05:00:00", level="neighborhood")
+
+
+def q_provenance_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared figures travel with a published table."""
+    folder = A.folder(A.configure(spark), "published")
+    publish_predictions(A.signals(spark, sf, METADATA), folder)
+    return agg.provenance_check(read_published(spark, folder))
+
+
 def q_filter_search_regex(spark: SparkSession, sf: str) -> DataFrame:
     talk = A.table(spark, sf, "conversations")
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -270,9 +350,9 @@ def q_filter_search_regex(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_filter_hour(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of a requested hour that exists, and of the fallback for one that does not."""
-    cells = hot.cells(A.signals(spark, sf), None, LEVELS["province"], "count_rows")
+    ds = A.signals(spark, sf)
     parts = [
-        hot.pick_hour(cells, hour).select(
+        hot.hour_cells(ds, None, LEVELS["province"], "count_rows", hour).select(
             F.lit(hour).alias("requested"), hour_text(F.col("hour")).alias("hour"), "province", "n_rows"
         )
         for hour in ("2024-01-10T05:00:00", "1999-01-01T00:00:00")
@@ -361,20 +441,26 @@ def q_top_hotspots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_overview(spark: SparkSession, sf: str) -> DataFrame:
-    return overview(A.signals(spark, sf), PICKED, A.CENTROIDS).long()
+    folder = A.folder(A.configure(spark), "overview")
+    return overview(A.signals(spark, sf), PICKED, A.CENTROIDS, folder).long()
 
 
 def q_top_messages(spark: SparkSession, sf: str) -> DataFrame:
     top = msg.top_messages(A.signals(spark, sf), PICKED, 60)
-    return top.withColumn("labels", F.array_join("labels", ","))
+    return top.withColumns({c: F.array_join(c, ",") for c in ("labels", "label_names")})
+
+
+def q_top_messages_many(spark: SparkSession, sf: str) -> DataFrame:
+    """More messages than any list of a page shows."""
+    return msg.top_messages(A.signals(spark, sf), None, 700).select("id", "urgency")
 
 
 def q_ticker(spark: SparkSession, sf: str) -> DataFrame:
-    """Items made of whole conversation turns, long ones cut with dots."""
+    """Items made of whole conversation turns, long ones cut with dots; the most urgent are blank."""
     talk = A.table(spark, sf, "conversations")
     rows = talk.select(
         F.format_string("%08d-%04d", "conv_id", "turn").alias("id"),
-        F.when(F.col("conv_id") % 4 == 0, F.lit(" ")).otherwise(F.col("text")).alias("tweet_clean"),
+        F.when((F.col("conv_id") % 4 == 0) | (F.col("conv_id") % 10 > 7), F.lit(" ")).otherwise(F.col("text")).alias("tweet_clean"),
         (F.col("conv_id") % 10).cast("double").alias("urgency_score"),
         F.col("role").alias("province"),
         *[((F.col("conv_id") + i) % 2).cast("int").alias(f"pred_{x}") for i, x in enumerate(A.LABELS)],
@@ -386,22 +472,26 @@ def q_ticker(spark: SparkSession, sf: str) -> DataFrame:
 # --- streaming ----------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    # The pattern matches the table whether it is one file or a folder of files.
-    schema = A.table(spark, sf, "events").schema
-    return open_stream(spark, f"{sf}/events*.parquet", schema)
+FILES, FILES_AT_ONCE = 9, 2
+
+
+def _event_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """The events as files in no order of time, two of them in a micro-batch."""
+    events = A.table(spark, sf, "events")
+    events.repartition(FILES, "event_id").write.parquet(f"{folder}/events")
+    return open_stream(spark, f"{folder}/events", events.schema, files_per_trigger=FILES_AT_ONCE)
 
 
 def q_stream_hourly_signals(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(spark, "hourly")
-    messages = A.finish(A.signals_from(_event_stream(spark, sf), A._places(spark, sf)))
+    folder = A.folder(A.configure(spark), "hourly")
+    messages = A.finish(A.signals_from(_event_stream(spark, sf, folder), A._places(spark, sf)))
     needed = ("created_at_local", "province", "pred_any_need", "urgency_score")
     return replay_hourly_signals(messages.select(*needed), folder)
 
 
 def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
-    folder = run_folder(spark, "clean")
-    cleaned = prepare(A.raw_cells_from(_event_stream(spark, sf), A._places(spark, sf)))
+    folder = A.folder(A.configure(spark), "clean")
+    cleaned = prepare(A.raw_cells_from(_event_stream(spark, sf, folder), A._places(spark, sf)))
     append_to(cleaned, f"{folder}/out", f"{folder}/state").awaitTermination()
     return _prepared_view(spark.read.parquet(f"{folder}/out"))
 
@@ -416,7 +506,7 @@ def counting_model(n_labels: int) -> Callable[[], scoring.Model]:
     """
 
     def load() -> scoring.Model:
-        def logits(texts: list[str], max_length: int) -> np.ndarray:
+        def logits(texts: list[str]) -> np.ndarray:
             size = np.array([[len(t), t.count("a")] for t in texts], dtype=np.int64)
             return (size[:, :1] * np.arange(1, n_labels + 1) + size[:, 1:]) % 13 - 6.0
 
@@ -464,10 +554,15 @@ QUERIES: dict[str, Query] = {
     "normalize_location": q_normalize_location,
     "parse_created_at": q_parse_created_at,
     "derive_date_time": q_derive_date_time,
+    "parse_date_forms": q_parse_date_forms,
+    "unreadable_times": q_unreadable_times,
     "hour_bucket": q_hour_bucket,
     "coerce_numeric": q_coerce_numeric,
     "info_signal": q_info_signal,
+    "info_signal_documents": q_info_signal_documents,
+    "info_rule_conversations": q_info_rule_conversations,
     "info_postprocess": q_info_postprocess,
+    "label_sums_beyond_int": q_label_sums_beyond_int,
     "label_count_any_need": q_label_count_any_need,
     "row_labels": q_row_labels,
     "pretty_label": q_pretty_label,
@@ -484,6 +579,7 @@ QUERIES: dict[str, Query] = {
     "filter_labels_any": filtered(Filters(labels=("saglik", "barinma", "no_such_label"))),
     "filter_labels_all": filtered(Filters(labels=("gida_su", "altyapi"), label_mode="ALL")),
     "filter_search": q_filter_search,
+    "filter_search_ligatures": q_filter_search_ligatures,
     "filter_search_regex": q_filter_search_regex,
     "filter_any_need": filtered(Filters(any_need=True)),
     "filter_hour": q_filter_hour,
@@ -516,6 +612,7 @@ QUERIES: dict[str, Query] = {
     "hour_label_counts": on_signals(agg.hour_label_counts, None),
     "hour_cursor": on_signals(agg.hour_cursor),
     "provenance_check": on_dataset(agg.provenance_check, METADATA),
+    "provenance_published": q_provenance_published,
     # hotspots
     "hotspot_signal_count_rows": on_signals(hot.signals, None, level="district", mode="count_rows"),
     "hotspot_signal_any_need": on_signals(hot.signals, PICKED, level="neighborhood", mode="count_any_need"),
@@ -530,8 +627,10 @@ QUERIES: dict[str, Query] = {
     "hour_delta": on_places(hot.hour_delta, level="province"),
     "hour_delta_parity": on_places(hot.hour_delta, PICKED, level="district", parity=True),
     "top_hotspots": q_top_hotspots,
+    "hotspots_known_hour": q_hotspots_known_hour,
     # messages and reports
     "top_messages": q_top_messages,
+    "top_messages_many": q_top_messages_many,
     "ticker": q_ticker,
     "message_list": on_signals(msg.message_list),
     "overview": q_overview,

@@ -114,12 +114,12 @@ NA_CELLS = (
     "null",
 )
 
-# --- fixed values: file name of the canonical artifact ----------------------
-CANONICAL_FILE = "need_predictions_geolocated_v2_final.csv"
+# --- fixed values: kinds of a table ------------------------------------------
+CANONICAL_KIND = "canonical_final"
+DEFAULT_KIND = "custom"
 
 # --- fixed values: report sizes ---------------------------------------------
 TOP_MESSAGES_DEFAULT = 60
-TOP_MESSAGES_MAX = 200
 TICKER_ITEMS = 18
 TICKER_CHARS = 140
 TICKER_LABELS = 2
@@ -127,5 +127,4 @@ MESSAGE_LIST_ROWS = 500
 PROVINCE_RANKING_ROWS = 10
 HOTSPOT_LIST_ROWS = 12
 HOUR_LABEL_ROWS = 6
-MODEL_MAX_LENGTH = 192
 URGENCY_RANGE_WHEN_EMPTY = (0.0, 10.0)

@@ -22,6 +22,11 @@ def label_name(label: Column) -> Column:
     return F.coalesce(F.try_element_at(names, label), F.replace(label, F.lit("_"), F.lit(" ")))
 
 
+def label_names(labels: Column) -> Column:
+    """Display names of an array of labels."""
+    return F.transform(labels, label_name)
+
+
 def name_of(label: str) -> str:
     """Display name of a label known on the driver."""
     return LABEL_NAMES.get(label, label.replace("_", " "))

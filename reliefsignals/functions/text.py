@@ -28,19 +28,22 @@ NFC_SUSPECTS = (
     r"\u2adc\uf900-\ufaff\ufb1d-\ufb4f\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1f}]]"
 )
 
-# One-to-one differences between case folding and lower case, found from the rule
-# itself; the German sharp s is the only longer folding that is applied.
+# Differences between case folding and lower case, found from the rule itself: one letter
+# for one, and about a hundred letters that become several.
 _FOLDS = {
     chr(p): chr(p).casefold()
     for p in range(0x80, 0x10000)
-    if chr(p).lower() == chr(p) != chr(p).casefold() and len(chr(p).casefold()) == 1
+    if chr(p).lower() == chr(p) != chr(p).casefold()
 }
-_FOLD_FROM = "".join(_FOLDS)
-_FOLD_TO = "".join(_FOLDS.values())
-# Superset of _FOLDS in few ranges; the translation leaves the others as they are.
+_LONG_FOLDS = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+_FOLD_FROM = "".join(c for c in _FOLDS if c not in _LONG_FOLDS)
+_FOLD_TO = "".join(f for c, f in _FOLDS.items() if c not in _LONG_FOLDS)
+# Superset of the one-letter folds in few ranges; the translation leaves the others.
 _FOLD_SUSPECTS = (
     r"[\x7f-\uffff&&[\u00b5\u017f\u0345-\u03f5\u13f8-\u13fd\u1c80-\u1e9b\u1fbe\uab70-\uabbf]]"
 )
+# The sharp s is common and replaced without a test; texts with another one are few.
+_LONG_SUSPECTS = "[" + "".join(c for c in _LONG_FOLDS if c != "ß") + "]"
 
 
 def strip(c: Column) -> Column:
@@ -54,9 +57,12 @@ def collapse_whitespace(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Case-folded text for caseless comparison."""
+    """Case-folded text for caseless comparison, as full Unicode folding gives it."""
     low = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    return F.when(low.rlike(_FOLD_SUSPECTS), F.translate(low, _FOLD_FROM, _FOLD_TO)).otherwise(low)
+    short = F.when(low.rlike(_FOLD_SUSPECTS), F.translate(low, _FOLD_FROM, _FOLD_TO)).otherwise(low)
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _LONG_FOLDS.items()])
+    long = F.aggregate(pairs, short, lambda text, pair: F.replace(text, pair["a"], pair["b"]))
+    return F.when(low.rlike(_LONG_SUSPECTS), long).otherwise(short)
 
 
 def fix_mojibake(c: Column) -> Column:

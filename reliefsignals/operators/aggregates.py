@@ -38,6 +38,7 @@ def label_counts(source: Source, filters: Filters | None = None) -> DataFrame:
     sums = m.matched.agg(*[_sum0(F.col(c)).alias(c) for c in m.flags.values()], F.count(F.lit(1)).alias("any"))
     rows = [
         F.struct(
+            (-F.col(c)).alias("order"),
             F.lit(i).alias("position"),
             F.lit(x).alias("label"),
             F.lit(name_of(x)).alias("label_name"),
@@ -45,8 +46,9 @@ def label_counts(source: Source, filters: Filters | None = None) -> DataFrame:
         )
         for i, (x, c) in enumerate(m.flags.items())
     ]
-    long = sums.select(F.inline(F.array(*rows))) if rows else _no_labels(sums)
-    return long.orderBy(F.desc("count"), "position").drop("position")
+    # Few labels: they are sorted inside the one row of sums, without an exchange.
+    long = sums.select(F.inline(F.array_sort(F.array(*rows)))) if rows else _no_labels(sums)
+    return long.drop("order", "position")
 
 
 def _no_labels(frame: DataFrame) -> DataFrame:
@@ -77,6 +79,7 @@ def prevalence(source: Source, filters: Filters | None = None) -> DataFrame:
         full = full.cast("long")
         rows.append(
             F.struct(
+                (-full).alias("order"),
                 F.lit(i).alias("position"),
                 F.lit(x).alias("label"),
                 F.lit(name_of(x)).alias("label_name"),
@@ -86,20 +89,17 @@ def prevalence(source: Source, filters: Filters | None = None) -> DataFrame:
                 _percent(F.col(f"{c}_hit"), F.col("rows_hit")).alias("filtered_rate_pct"),
             )
         )
-    long = totals.select(F.inline(F.array(*rows)))
-    return long.orderBy(F.desc("full_positive"), "position").drop("position")
+    return totals.select(F.inline(F.array_sort(F.array(*rows)))).drop("order", "position")
 
 
 # --- places -----------------------------------------------------------------
 
 
 def province_counts(source: Source, filters: Filters | None = None) -> DataFrame:
-    """Messages per named province, most first, ties by name."""
+    """Messages per named province, in no order."""
     m = measure(source, filters)
     named = m.matched.where(strip(F.col("province")) != "")
-    return (
-        named.groupBy("province").agg(F.sum("n_rows").alias("count")).orderBy(F.desc("count"), "province")
-    )
+    return named.groupBy("province").agg(F.sum("n_rows").alias("count"))
 
 
 def province_map(
@@ -112,7 +112,7 @@ def province_map(
         "count",
         centroid(F.col("province"), centroids, 0).alias("lat"),
         centroid(F.col("province"), centroids, 1).alias("lon"),
-    ).orderBy(F.desc("count"), "province")
+    )
 
 
 def centroid(province: Column, centroids: Centroids, axis: int) -> Column:
@@ -132,17 +132,17 @@ def province_ranking(
     n: int = fv.PROVINCE_RANKING_ROWS,
     centroids: Centroids = fv.PROVINCE_CENTROIDS,
 ) -> DataFrame:
-    """The first ``n`` rows of ``province_map``."""
-    return province_map(source, filters, centroids).limit(n)
+    """The ``n`` provinces of ``province_map`` with most messages, ties by name."""
+    return province_map(source, filters, centroids).orderBy(F.desc("count"), "province").limit(n)
 
 
 def distinct_values(dataset: Dataset, column: str) -> DataFrame:
-    """Sorted distinct non-empty values of a text column, as ``value``."""
+    """Distinct non-empty values of a text column, as ``value``."""
     df = dataset.frame
     if column not in df.columns:
         return df.where(F.lit(False)).select(F.lit(None).cast("string").alias("value"))
     values = df.select(strip(F.col(column).cast("string")).alias("value")).where("value != ''")
-    return values.distinct().orderBy("value")
+    return values.distinct()
 
 
 # --- time -------------------------------------------------------------------
@@ -160,13 +160,13 @@ def temporal_daily(source: Source, filters: Filters | None = None) -> DataFrame:
         "rows",
         "needs",
         (F.col("urgency") / F.col("rows")).alias("urgency"),
-    ).orderBy("date")
+    )
 
 
 def temporal_counts(dataset: Dataset, filters: Filters | None = None) -> DataFrame:
     """Messages per ``date`` text as it stands; the empty text is a group of its own."""
     df = apply_filters(dataset.frame, dataset.schema, filters)
-    return df.groupBy("date").agg(F.count(F.lit(1)).alias("count")).orderBy("date")
+    return df.groupBy("date").agg(F.count(F.lit(1)).alias("count"))
 
 
 def per_hour(source: Source, filters: Filters | None = None) -> DataFrame:
@@ -180,8 +180,8 @@ def per_hour(source: Source, filters: Filters | None = None) -> DataFrame:
 
 
 def hours(source: Source, filters: Filters | None = None) -> DataFrame:
-    """Existing hours as text, in order."""
-    return per_hour(source, filters).select(hour_text(F.col("hour")).alias("hour")).orderBy("hour")
+    """Existing hours as text, in no order."""
+    return per_hour(source, filters).select(hour_text(F.col("hour")).alias("hour"))
 
 
 def hour_preference(requested: str | None = None, default: str = "busiest") -> Column:
@@ -222,7 +222,7 @@ def hour_cursor(source: Source, filters: Filters | None = None, *, wrap: bool =
         F.coalesce(F.lag("hour").over(timeline), hour).alias("previous_hour"),
         F.coalesce(F.lead("hour").over(timeline), end).alias("next_hour"),
     )
-    return moves.select(*[hour_text(F.col(c)).alias(c) for c in moves.columns]).orderBy("hour")
+    return moves.select(*[hour_text(F.col(c)).alias(c) for c in moves.columns])
 
 
 def hour_label_counts(
@@ -333,18 +333,17 @@ def options(dataset: Dataset) -> DataFrame:
         item("urgency_range", "max", F.coalesce(F.col("high"), F.lit(high))),
         item("rows", "count", F.col("n")),
         *[item("label", x, F.lit(name_of(x))) for x in dataset.schema.labels],
-        *[item("source", k, F.lit(v)) for k, v in _source_facts(dataset).items()],
+        *[item("source", k, F.lit(v)) for k, v in source_facts(dataset).items()],
     )
     one = (
         F.when(F.col("gid") == 3, ranges)
         .when(F.col("gid") == 1, F.array(item("province", "name", F.col("province"))))
         .otherwise(F.array(item("district", "name", F.col("district"))))
     )
-    rows = grouped.where("gid = 3 OR coalesce(province, district, '') != ''").select(F.inline(one))
-    return rows.orderBy("section", "item", "value")
+    return grouped.where("gid = 3 OR coalesce(province, district, '') != ''").select(F.inline(one))
 
 
-def _source_facts(dataset: Dataset) -> dict[str, str | None]:
+def source_facts(dataset: Dataset) -> dict[str, str | None]:
     """Provenance fields of the metadata, as text."""
     note = dataset.metadata.get("content_overlap_audit_artifact")
     facts = {

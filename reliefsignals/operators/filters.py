@@ -10,31 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
+from reliefsignals.functions.clock import iso_text
 from reliefsignals.functions.labels import total
 from reliefsignals.functions.text import fold
 from reliefsignals.schema import Dataset, LabelSchema
 
 
-def split_list(value: str | None) -> tuple[str, ...]:
-    """A comma-separated parameter as a tuple of its non-empty items."""
-    return tuple(x for part in (value or "").split(",") if (x := part.strip()))
-
-
-def read_date(value: str | None) -> dt.date | None:
-    """An ISO date (or date-time) parameter; unreadable text means no bound."""
-    try:
-        return dt.datetime.fromisoformat(value).date() if value else None
-    except ValueError:
-        return None
-
-
 def date_value(df: DataFrame) -> Column:
     """The message date: the ``date`` column if there is one, else the local wall clock's."""
     if "date" not in df.columns:
         return F.col("created_at_local").cast("date")
     if isinstance(df.schema["date"].dataType, DateType):
         return F.col("date")
-    return F.col("date").try_cast("date")
+    text = F.col("date")
+    # A plain ISO date takes one cast; other forms are taken apart only if that fails.
+    return F.coalesce(text.try_cast("date"), iso_text(text).try_cast("date"))
 
 
 @dataclass(frozen=True)
@@ -56,30 +46,6 @@ class Filters:
     search_regex: str | None = None
     any_need: bool = False
 
-    @classmethod
-    def from_params(
-        cls,
-        start_date: str | None = None,
-        end_date: str | None = None,
-        provinces: str | None = None,
-        districts: str | None = None,
-        labels: str | None = None,
-        label_mode: str | None = None,
-        urgency_min: float | None = None,
-        search: str | None = None,
-    ) -> Filters:
-        """Build from request-style text parameters."""
-        return cls(
-            start_date=read_date(start_date),
-            end_date=read_date(end_date),
-            provinces=split_list(provinces),
-            districts=split_list(districts),
-            labels=split_list(labels),
-            label_mode=(label_mode or "ANY").upper(),
-            urgency_min=urgency_min,
-            search=search,
-        )
-
     def _date_terms(self, df: DataFrame) -> list[Column]:
         day = date_value(df)
         lower = [] if self.start_date is None else [day >= F.lit(self.start_date)]
@@ -162,10 +128,13 @@ def apply_filters(df: DataFrame, schema: LabelSchema, filters: Filters | None) -
 def during(dataset: Dataset, hour: str) -> Dataset:
     """The messages of one wall-clock hour, given as text like ``2023-02-06T04:00:00``.
 
-    A plain range on the time stamp, which the scan uses to skip row groups: the way to
-    look at a known hour of a large table without reading the others.
+    A plain range on the time stamp, which the scan uses to skip row groups, and on a
+    published table the local day, which prunes its folders: the way to look at a known
+    hour of a large table without reading the others.
     """
     start = dt.datetime.fromisoformat(hour).replace(minute=0, second=0, microsecond=0)
-    at = F.col("created_at_local")
+    at, frame = F.col("created_at_local"), dataset.frame
     low, high = (F.lit(str(t)).cast("timestamp_ntz") for t in (start, start + dt.timedelta(hours=1)))
-    return replace(dataset, frame=dataset.frame.where((at >= low) & (at < high)))
+    if "local_day" in frame.columns:
+        frame = frame.where(F.col("local_day") == F.lit(start.date()))
+    return replace(dataset, frame=frame.where((at >= low) & (at < high)))

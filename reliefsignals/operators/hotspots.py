@@ -7,6 +7,7 @@ row per place after map-side aggregation, however many messages it has.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +18,10 @@ from reliefsignals.functions.clock import hour_text
 from reliefsignals.functions.places import PLACE_COLUMNS, location_label
 from reliefsignals.functions.text import collapse_whitespace
 from reliefsignals.operators.aggregates import Source, hour_preference
-from reliefsignals.operators.filters import Filters
+from reliefsignals.operators.filters import Filters, apply_filters, during
 from reliefsignals.operators.geocode import LEVELS, GeoIndex, geocode
 from reliefsignals.operators.measures import Measures, compact, measure
+from reliefsignals.schema import Dataset
 
 MODES = ("count_rows", "count_any_need", "sum_urgency")
 DEFAULT_LEVEL = "province"
@@ -151,11 +153,35 @@ def rank_points(located: DataFrame, by: str = "hour", *, skip_empty: bool = True
     )
 
 
+def _is_hour(text: str) -> bool:
+    """Whether the text names an hour just as results do."""
+    try:
+        return dt.datetime.fromisoformat(text).strftime("%Y-%m-%dT%H:00:00") == text
+    except ValueError:
+        return False
+
+
+def hour_cells(
+    source: Source, filters: Filters | None, keys: Sequence[str], mode: str, hour: str | None = None, default: str = "busiest"
+) -> DataFrame:
+    """Cells of one hour: the requested if it exists, else the default one.
+
+    A requested hour of messages is looked for first, in its own range of time alone and
+    up to the first match.  If there is one, only that range is read; every hour is summed
+    only where none was requested or the requested one has no message.
+    """
+    if hour is not None and isinstance(source, Dataset) and "created_at_local" in source.frame.columns:
+        one = during(source, hour) if _is_hour(hour) else None
+        if one is not None and not apply_filters(one.frame, one.schema, filters).isEmpty():
+            return cells(one, filters, keys, mode)
+    return pick_hour(cells(source, filters, keys, mode), hour, default)
+
+
 def _located(
     source: Source, index: GeoIndex, filters: Filters | None, hour: str | None, level: str, mode: str, default: str
 ) -> DataFrame:
     level, mode = checked_level(level), checked_mode(mode)
-    table = pick_hour(cells(source, filters, LEVELS[level], mode), hour, default).where("counts")
+    table = hour_cells(source, filters, LEVELS[level], mode, hour, default).where("counts")
     return geocode(table.select("hour", *LEVELS[level], "signal"), level, index)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefsignals import fixed_values as fv
-from reliefsignals.functions.labels import row_labels
+from reliefsignals.functions.labels import label_names, row_labels
 from reliefsignals.functions.text import collapse_whitespace, ellipsize, strip
 from reliefsignals.operators.filters import Filters, apply_filters
 from reliefsignals.schema import Dataset
@@ -25,10 +25,11 @@ def _most_urgent(df: DataFrame, *then: str) -> list[Column]:
 
 
 def top_messages(dataset: Dataset, filters: Filters | None = None, limit: int = fv.TOP_MESSAGES_DEFAULT) -> DataFrame:
-    """The most urgent messages with cleaned text and their labels."""
+    """The ``limit`` most urgent messages with cleaned text, their labels and the labels' names."""
+    if limit <= 0:
+        raise ValueError(f"limit must be positive, not {limit}")
     df = apply_filters(dataset.frame, dataset.schema, filters)
-    n = max(1, min(limit, fv.TOP_MESSAGES_MAX))
-    top = df.orderBy(*_most_urgent(df, "pred_label_count")).limit(n)
+    top = df.orderBy(*_most_urgent(df, "pred_label_count")).limit(limit)
 
     def text(name: str) -> Column:
         return collapse_whitespace(F.col(name).cast("string")) if name in df.columns else F.lit("")
@@ -41,18 +42,19 @@ def top_messages(dataset: Dataset, filters: Filters | None = None, limit: int =
         collapse_whitespace(body).alias("text"),
         urgency.alias("urgency"),
         row_labels(dataset.schema).alias("labels"),
+        label_names(row_labels(dataset.schema)).alias("label_names"),
     )
 
 
 def ticker(dataset: Dataset, filters: Filters | None = None, n: int = fv.TICKER_ITEMS) -> DataFrame:
-    """Short one-line items: from the ``2n`` most urgent messages the first ``n`` with text."""
+    """Short one-line items: the ``n`` most urgent messages that have a text."""
     df = apply_filters(dataset.frame, dataset.schema, filters)
     if "tweet_clean" not in df.columns:
         return df.where(F.lit(False)).select(*[F.lit("").alias(c) for c in ("id", "text", "province")])
     order = _most_urgent(df)
     line = F.replace(strip(F.coalesce("tweet_clean", F.lit(""))), F.lit("\n"), F.lit(" "))
     province = strip(F.col("province")) if "province" in df.columns else F.lit("")
-    items = df.orderBy(*order).limit(2 * n).withColumn("line", line).where("line != ''")
+    items = df.withColumn("line", line).where("line != ''")
     return items.orderBy(*order).limit(n).select(
         "id",
         ellipsize(F.col("line"), fv.TICKER_CHARS).alias("text"),

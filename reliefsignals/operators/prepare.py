@@ -22,8 +22,11 @@ def normalize_places(df: DataFrame) -> DataFrame:
     return df.withColumns({c: normalize_location(F.col(c)) for c in PLACE_COLUMNS if c in df.columns})
 
 
-def add_timestamps(df: DataFrame) -> DataFrame:
-    """``created_at_parsed`` (UTC) and ``created_at_local`` (wall clock) from ``created_at``."""
+def add_timestamps(df: DataFrame, *, day_first: bool = False) -> DataFrame:
+    """``created_at_parsed`` (UTC) and ``created_at_local`` (wall clock) from ``created_at``.
+
+    ``day_first`` reads 02/06/2023 as 2 June, by default it is 6 February.
+    """
     if "created_at" not in df.columns:
         nothing = F.lit(None)
         return df.withColumns(
@@ -35,12 +38,23 @@ def add_timestamps(df: DataFrame) -> DataFrame:
     if isinstance(df.schema["created_at"].dataType, (TimestampType, TimestampNTZType)):
         utc = F.col("created_at").cast("timestamp")
     else:
-        utc = parse_utc(F.col("created_at"))
+        utc = parse_utc(F.col("created_at"), day_first=day_first)
     return df.withColumn("created_at_parsed", utc).withColumn(
         "created_at_local", to_local(F.col("created_at_parsed"))
     )
 
 
+def unreadable_times(raw: DataFrame, *, day_first: bool = False) -> DataFrame:
+    """One row: how many ``created_at`` cells there are, how many are empty and how many no form fits."""
+    df = add_timestamps(raw, day_first=day_first)
+    empty = F.trim(F.coalesce(F.col("created_at").cast("string"), F.lit(""))) == ""
+    return df.agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count_if(empty).alias("empty"),
+        F.count_if(~empty & F.col("created_at_parsed").isNull()).alias("unreadable"),
+    )
+
+
 def add_date_time(df: DataFrame) -> DataFrame:
     """Text columns ``date`` and ``time``: kept if present, else from the local wall clock."""
 
@@ -58,10 +72,10 @@ def _flag_columns(df: DataFrame, schema: LabelSchema) -> list[str]:
 
 
 def as_count(df: DataFrame, name: str) -> Column:
-    """The column as int; text is read leniently, numbers are only cast."""
+    """The column as bigint; text is read leniently, numbers are only cast."""
     if isinstance(df.schema[name].dataType, StringType):
         return count_or_zero(F.col(name))
-    return F.coalesce(F.col(name).try_cast("int"), F.lit(0))
+    return F.coalesce(F.col(name).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def as_number(df: DataFrame, name: str) -> Column:
@@ -72,7 +86,7 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 
 def coerce_numbers(df: DataFrame, schema: LabelSchema) -> DataFrame:
-    """Urgency to double (bad = 0), flags to int (bad = 0), scores to double (bad = null)."""
+    """Urgency to double (bad = 0), flags to bigint (bad = 0), scores to double (bad = null)."""
     flags = set(_flag_columns(df, schema))
     scores = set(schema.prob.values())
     changes = {}
@@ -102,7 +116,7 @@ def apply_info_rule(df: DataFrame, *, enabled: bool = True, compose: bool = Fals
     return (
         df.withColumn("_rule_text", text)
         .withColumn("postprocess_info_v1_added", added.cast("int"))
-        .withColumn(pred, F.when(F.col("postprocess_info_v1_added") == 1, F.lit(1)).otherwise(as_count(df, pred)))
+        .withColumn(pred, F.when(F.col("postprocess_info_v1_added") == 1, F.lit(1).cast("bigint")).otherwise(as_count(df, pred)))
         .drop("_rule_text")
     )
 
@@ -111,9 +125,7 @@ def count_labels(df: DataFrame, schema: LabelSchema) -> DataFrame:
     """``pred_label_count`` and ``pred_any_need`` from the flags, else from existing columns."""
     flags = _flag_columns(df, schema)
     if flags:
-        # Damaged cells may hold any integer: the sum is kept inside the type's range.
-        low, high = -(2**31), 2**31 - 1
-        count = F.greatest(F.least(total(flags), F.lit(high)), F.lit(low)).cast("int")
+        count = total(flags)
     elif "pred_label_count" in df.columns:
         count = as_count(df, "pred_label_count")
     elif "pred_any_need" in df.columns:
@@ -124,14 +136,19 @@ def count_labels(df: DataFrame, schema: LabelSchema) -> DataFrame:
 
 
 def prepare(
-    raw: DataFrame, metadata: Metadata | None = None, *, info_rule: bool = True, compose: bool = False
+    raw: DataFrame,
+    metadata: Metadata | None = None,
+    *,
+    info_rule: bool = True,
+    compose: bool = False,
+    day_first: bool = False,
 ) -> DataFrame:
     """The whole cleaning chain.  ``compose=True`` also NFC-normalises the rule text.
 
     The steps are ordered so that Spark can merge them into few projections.
     """
     schema = discover_schema(raw.columns, metadata)
-    df = add_timestamps(coerce_numbers(normalize_places(raw), schema))
+    df = add_timestamps(coerce_numbers(normalize_places(raw), schema), day_first=day_first)
     df = add_date_time(apply_info_rule(df, enabled=info_rule, compose=compose))
     return count_labels(df, schema)
 
@@ -142,7 +159,7 @@ def labels_long(df: DataFrame, schema: LabelSchema, id_column: str = "id") -> Da
         F.struct(
             F.lit(x).alias("label"),
             F.lit(name_of(x)).alias("label_name"),
-            (F.col(schema.pred[x]) if x in schema.pred else F.lit(None)).cast("int").alias("pred"),
+            (F.col(schema.pred[x]) if x in schema.pred else F.lit(None)).cast("bigint").alias("pred"),
             (F.col(schema.prob[x]) if x in schema.prob else F.lit(None)).cast("double").alias("prob"),
         )
         for x in schema.labels

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
 from reliefsignals import fixed_values as fv
 from reliefsignals.functions.labels import name_of
 from reliefsignals.functions.text import clean_text, info_signal
 
 # A model turns texts into a (texts x labels) array of logits.
-Model = Callable[[Sequence[str], int], np.ndarray]
+Model = Callable[[Sequence[str]], np.ndarray]
+
 
 def sigmoid(x: Column) -> Column:
     """Logistic function that cannot overflow, as double."""
@@ -30,34 +32,37 @@ def score_batch(
     *,
     text_column: str = "tweet",
     clean: bool = True,
-    max_length: int = fv.MODEL_MAX_LENGTH,
     batch_size: int = 256,
 ) -> DataFrame:
     """Add ``scored_text`` and one ``prob_<label>`` column per label.
 
-    Only the text travels to Python, in Arrow batches; all other columns stay on the
-    JVM.  The model is loaded once per task; a loader that keeps its model in its own
-    module (``functools.cache``) loads it once per worker process.
+    Only the text travels to Python, whole and in Arrow batches; all other columns stay on
+    the JVM.  The model is loaded once per worker process and serves all its tasks.  A model
+    that reads a limited window cuts or splits texts itself: that choice is its loader's.
     """
-    width = len(labels)
-
-    @F.pandas_udf(ArrayType(FloatType()))
-    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_model()
+    names = [f"l{i}" for i in range(len(labels))]
+    token = uuid.uuid4().hex
+
+    @F.pandas_udf(", ".join(f"{n} float" for n in names))
+    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        # Worker processes are reused between tasks, and keep what hangs on a module.
+        loaded = vars(sys).setdefault("_scoring_models", {})
+        if token not in loaded:
+            loaded[token] = load_model()
         for texts in batches:
-            parts = [
-                np.asarray(model(texts.iloc[i : i + batch_size].tolist(), max_length), dtype=np.float32)
-                for i in range(0, len(texts), batch_size)
-            ]
-            if any(p.ndim != 2 or p.shape[1] != width for p in parts):
-                raise ValueError(f"the model must return {width} logits per text")
-            yield pd.Series([row for p in parts for row in p], index=texts.index, dtype=object)
+            found = np.zeros((len(texts), len(names)), np.float32)
+            for i in range(0, len(texts), batch_size):
+                part = np.asarray(loaded[token](texts.iloc[i : i + batch_size].tolist()), dtype=np.float32)
+                if part.ndim != 2 or part.shape[1] != len(names):
+                    raise ValueError(f"the model must return {len(names)} logits per text")
+                found[i : i + batch_size] = part
+            yield pd.DataFrame(found, columns=names)
 
     text = clean_text(F.col(text_column)) if clean else F.coalesce(F.col(text_column), F.lit(""))
     scored = df.withColumn("scored_text", text).withColumn("_logits", logits("scored_text"))
     probs = {
-        f"prob_{x}": sigmoid(F.col("_logits")[i].cast("double")).cast("float").cast("double")
-        for i, x in enumerate(labels)
+        f"prob_{x}": sigmoid(F.col("_logits")[n].cast("double")).cast("float").cast("double")
+        for n, x in zip(names, labels)
     }
     return scored.withColumns(probs).drop("_logits")
 
@@ -80,7 +85,17 @@ def _reaches(prob: Column, threshold: float) -> Column:
 
 
 def apply_thresholds(df: DataFrame, thresholds: Mapping[str, float] = fv.THRESHOLDS) -> DataFrame:
-    """Add ``pred_<label>`` and ``predicted``, the labels whose score reaches its threshold."""
+    """Add ``pred_<label>`` and ``predicted``, the labels whose score reaches its threshold.
+
+    Labels and thresholds must be the same set: a label that has a score but no threshold,
+    or a threshold without a score, raises.
+    """
+    scored = {c.removeprefix("prob_") for c in df.columns if c.startswith("prob_")}
+    if scored != set(thresholds):
+        raise ValueError(
+            f"labels without a threshold: {sorted(scored - set(thresholds))};"
+            f" thresholds without a score: {sorted(set(thresholds) - scored)}"
+        )
     hits = {x: _reaches(F.col(f"prob_{x}"), t) for x, t in thresholds.items()}
     flagged = df.withColumns({f"pred_{x}": h.cast("int") for x, h in hits.items()})
     names = [F.when(F.col(f"pred_{x}") == 1, F.lit(x)) for x in thresholds]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -18,7 +18,10 @@ from reliefsignals.schema import Dataset
 
 @dataclass(frozen=True)
 class Overview:
-    """The parts of the report.  ``release`` frees the shared small table."""
+    """The parts of the report.
+
+    All but the message list read ``shared``, a small table of sums.
+    """
 
     summary: DataFrame
     label_counts: DataFrame
@@ -28,11 +31,9 @@ class Overview:
     top_messages: DataFrame
     hours: DataFrame
     default_hour: DataFrame
+    source: DataFrame
     shared: DataFrame
 
-    def release(self) -> None:
-        self.shared.unpersist()
-
     def long(self) -> DataFrame:
         """All parts as one table ``section, item, measure, value``."""
 
@@ -55,6 +56,7 @@ class Overview:
             part("top_messages", self.top_messages, "id"),
             part("hours", self.hours, "hour"),
             part("default_hour", self.default_hour, "hour"),
+            part("source", self.source, "fact"),
         ]
         return reduce(DataFrame.unionByName, parts)
 
@@ -63,15 +65,21 @@ def overview(
     dataset: Dataset,
     filters: Filters | None = None,
     centroids: agg.Centroids = fv.PROVINCE_CENTROIDS,
+    folder: str | None = None,
 ) -> Overview:
     """Build the report.
 
-    Messages are read once and summed per day, hour and province; that small table is
-    cached (it can be recomputed if an executor is lost) and every figure comes from it.
-    Only the message list reads messages again, with the filters pushed to the scan.
+    Messages are summed per day, hour and province, and every figure comes from those sums.
+    With a ``folder`` in shared storage the sums are written there once and all parts read
+    them; nothing stays in memory.  Without one each part that is read sums messages itself.
+    The message list reads messages, with the filters pushed to the scan.
     """
     m = compact(measure(dataset, filters, whole=True), ["date_value", "hour", "province"])
-    m.frame.persist()
+    if folder is not None:
+        m.frame.write.parquet(folder)
+        m = replace(m, frame=m.frame.sparkSession.read.schema(m.frame.schema).parquet(folder))
+    facts = agg.source_facts(dataset)
+    spark = dataset.frame.sparkSession
     return Overview(
         summary=agg.summary(m),
         label_counts=agg.label_counts(m),
@@ -81,5 +89,6 @@ def overview(
         top_messages=top_messages(dataset, filters),
         hours=agg.hours(m),
         default_hour=agg.default_hour(m),
+        source=spark.createDataFrame(list(facts.items()), "fact string, value string"),
         shared=m.frame,
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os.path
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-from reliefsignals.fixed_values import CANONICAL_FILE, DEFAULT_LABELS, RESERVED_PRED_COLUMNS
+from reliefsignals.fixed_values import CANONICAL_KIND, DEFAULT_KIND, DEFAULT_LABELS, RESERVED_PRED_COLUMNS
 
 Metadata = Mapping[str, Any]
 
@@ -61,34 +60,25 @@ def discover_schema(columns: Iterable[str], metadata: Metadata | None = None) ->
     return LabelSchema(tuple(x for x in candidates if x in pred or x in prob), pred, prob)
 
 
-def source_kind(name: str, metadata: Metadata | None = None) -> str:
-    """Classify a source by what its metadata says about it, then by its name."""
-    metadata = metadata or {}
-    if metadata.get("canonical"):
-        return "canonical_final"
-    base = os.path.basename(name)
-    superseded = [x for x in metadata.get("supersedes") or [] if isinstance(x, str) and x.strip()]
-    if base in {os.path.basename(x) for x in superseded}:
-        return "historical"
-    return "canonical_candidate" if base == CANONICAL_FILE else "custom"
-
-
 @dataclass(frozen=True)
 class Dataset:
-    """A prepared message table with its label schema and side-car metadata."""
+    """A prepared message table with its label schema and side-car metadata.
+
+    ``kind`` is what the table's owner says it is; the metadata may state it as ``kind``, or
+    as ``canonical`` for the final table.
+    """
 
     frame: DataFrame
     schema: LabelSchema
     metadata: Metadata = field(default_factory=dict)
     name: str = ""
+    kind: str = DEFAULT_KIND
 
     @classmethod
-    def of(cls, frame: DataFrame, metadata: Metadata | None = None, name: str = "") -> Dataset:
-        return cls(frame, discover_schema(frame.columns, metadata), metadata or {}, name)
-
-    @property
-    def kind(self) -> str:
-        return source_kind(self.name, self.metadata)
+    def of(cls, frame: DataFrame, metadata: Metadata | None = None, name: str = "", kind: str | None = None) -> Dataset:
+        facts = metadata or {}
+        stated = kind or facts.get("kind") or (CANONICAL_KIND if facts.get("canonical") else DEFAULT_KIND)
+        return cls(frame, discover_schema(frame.columns, facts), facts, name, stated)
 
     def declared_int(self, key: str) -> int | None:
         """An integer from the metadata, or None when absent or not a number."""

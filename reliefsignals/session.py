@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,10 +28,10 @@ def configure(spark: SparkSession) -> SparkSession:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one run, below the shared folder the cluster names.
 
-    ``spark.checkpoint.dir`` must point at storage every executor can reach.
-    Only where it is unset (tests on one machine) a temporary folder is used.
+    ``spark.checkpoint.dir`` must point at storage every executor can reach; without it
+    there is no folder to use, and that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="reliefsignals-")
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

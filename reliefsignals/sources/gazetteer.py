@@ -24,7 +24,10 @@ def clean_gazetteer(raw: DataFrame) -> DataFrame:
     ).dropna(subset=["lat", "lon"])
 
 
-def load_gazetteer(spark: SparkSession, path: str) -> DataFrame:
+def load_gazetteer(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
     """Read a gazetteer CSV (or Parquet when the path ends so)."""
-    raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_cells(spark, path)
+    if path.rstrip("/").endswith(".parquet"):
+        raw = spark.read.parquet(path)
+    else:
+        raw = read_cells(spark, path, multi_line=multi_line)
     return clean_gazetteer(raw)

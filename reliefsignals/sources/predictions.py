@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from reliefsignals.fixed_values import NA_CELLS
 from reliefsignals.operators.prepare import prepare
@@ -12,18 +14,21 @@ from reliefsignals.schema import Dataset, Metadata
 
 
 def read_cells(
-    spark: SparkSession, path: str, schema: StructType | None = None, *, multi_line: bool = True
+    spark: SparkSession, path: str, schema: StructType | None = None, *, multi_line: bool = False
 ) -> DataFrame:
     """Read a CSV with header; every cell is text and missing-value marks are null.
 
-    Quoted cells may hold line breaks, so one file is read by one task; hand over large
-    tables as many files, or with ``multi_line=False`` if no cell holds a line break:
-    then files are split.  A ``schema`` of strings spares the job that reads the header.
+    Files are split, so a record must be one line.  Where quoted cells hold line breaks,
+    ``multi_line=True`` reads each file in one task; the cells are then dealt out again
+    before anything else is done with them.  A ``schema`` of strings spares the job that
+    reads the header.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     cells = reader.csv(path)
+    if multi_line:
+        cells = cells.hint("rebalance")
     return cells.select(
         *[F.when(~F.col(f"`{c}`").isin(*NA_CELLS), F.col(f"`{c}`")).alias(c) for c in cells.columns]
     )
@@ -35,7 +40,8 @@ def load_predictions(
     metadata: Metadata | None = None,
     *,
     schema: StructType | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
+    day_first: bool = False,
     info_rule: bool = True,
     name: str | None = None,
 ) -> Dataset:
@@ -44,27 +50,52 @@ def load_predictions(
         raw = spark.read.parquet(path)
     else:
         raw = read_cells(spark, path, schema, multi_line=multi_line)
-    return Dataset.of(prepare(raw, metadata, info_rule=info_rule), metadata, name or path)
+    return Dataset.of(prepare(raw, metadata, info_rule=info_rule, day_first=day_first), metadata, name or path)
+
+
+#: The partition column beside ``date``: the local wall clock's day.
+DAY = "local_day"
+
+
+def _about(path: str) -> str:
+    return f"{path.rstrip('/')}.about"
 
 
-def publish_predictions(frame: DataFrame, path: str, *, overwrite: bool = False) -> None:
-    """Write a prepared table as Parquet partitioned by ``date``.
+def publish_predictions(dataset: Dataset, path: str, *, overwrite: bool = False) -> None:
+    """Write a prepared table as Parquet by ``date`` and local day, and what is known of it beside.
 
-    The rebalance hint lets AQE split a date that holds much of the table over many
-    tasks and merge small ones, so neither giant tasks nor tiny files arise.  Rows are
-    sorted inside each file, which lets a time range skip row groups.
+    ``date`` may be a given text; the day is derived from the time stamp and serves time
+    ranges.  For most tables the two agree and there is one folder per day.  The rebalance
+    hint lets AQE split a day that holds much of the table over many tasks and merge small
+    ones.  Rows are sorted inside each file, which lets a time range skip row groups.
+
+    Metadata, kind, name and schema go to ``<path>.about``, so a reader needs the path only.
     """
-    mode = "overwrite" if overwrite else "errorifexists"
-    order = [c for c in ("date", "created_at_local") if c in frame.columns]
-    balanced = frame.hint("rebalance", F.col("date")).sortWithinPartitions(*order)
-    balanced.write.mode(mode).partitionBy("date").parquet(path)
+    frame, mode = dataset.frame, "overwrite" if overwrite else "errorifexists"
+    day = F.col("created_at_local").cast("date") if "created_at_local" in frame.columns else F.lit(None).cast("date")
+    order = [c for c in ("date", DAY, "created_at_local") if c in frame.columns or c == DAY]
+    balanced = frame.withColumn(DAY, day).hint("rebalance", "date", DAY).sortWithinPartitions(*order)
+    balanced.write.mode(mode).partitionBy("date", DAY).parquet(path)
+    facts = {
+        "metadata": dict(dataset.metadata),
+        "kind": dataset.kind,
+        "name": dataset.name,
+        "schema": frame.schema.jsonValue(),
+    }
+    text = frame.sparkSession.createDataFrame([(json.dumps(facts),)], "value string")
+    text.coalesce(1).write.mode(mode).text(_about(path))
 
 
-def read_published(
-    spark: SparkSession, path: str, metadata: Metadata | None = None, *, name: str | None = None
-) -> Dataset:
-    """Open a published table; ``date`` filters prune its folders."""
-    frame = spark.read.option("basePath", path).parquet(path)
-    # The folder name of an empty date reads back as null, and its type is guessed.
-    frame = frame.withColumn("date", F.coalesce(F.col("date").cast("string"), F.lit("")))
-    return Dataset.of(frame, metadata, name or path)
+def read_published(spark: SparkSession, path: str) -> Dataset:
+    """Open a published table: labels, kind and declared figures come with it.
+
+    The schema is stated, so no text is taken for a number.  ``date`` filters prune its
+    folders, and so does ``during`` by the local day.
+    """
+    facts = json.loads(spark.read.text(_about(path), wholetext=True).first()[0])
+    columns = StructType.fromJson(facts["schema"])
+    stored = StructType([*columns.fields, StructField(DAY, DateType())])
+    frame = spark.read.schema(stored).option("basePath", path).parquet(path)
+    # The folder of an empty date reads back as null.
+    frame = frame.withColumn("date", F.coalesce(F.col("date"), F.lit(""))).select(*columns.names, DAY)
+    return Dataset.of(frame, facts["metadata"], facts["name"], facts["kind"])

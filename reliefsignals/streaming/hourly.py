@@ -4,42 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from reliefsignals.functions.clock import hour_text
+from reliefsignals.functions.clock import hour_start, hour_text
 from reliefsignals.operators.geocode import LEVELS
 
 
+#: Files that one micro-batch reads at most.
+FILES_PER_TRIGGER = 64
+
+
 def open_stream(
-    spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int | None = None
+    spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int = FILES_PER_TRIGGER
 ) -> DataFrame:
-    """Follow a folder, or a path pattern, of Parquet messages."""
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    """Follow a folder, or a path pattern, of Parquet messages, some files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def _sums(grouped: GroupedData) -> DataFrame:
+    return grouped.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum((F.col("pred_any_need") == 1).cast("long")).alias("n_need_rows"),
+        F.sum("urgency_score").alias("urgency"),
+    )
 
 
 def hourly_signals(messages: DataFrame, level: str = "province", *, delay: str = "2 hours") -> DataFrame:
     """Row, need and urgency sums per wall-clock hour and place.
 
     ``messages`` is prepared; it may be a stream or a batch frame.  On a stream, hours
-    stay open until ``delay`` after their end, then leave the state; later messages for
-    them are dropped.
+    stay open until ``delay`` after their end, then leave the state, and Spark drops later
+    messages for them: use it for live views only.  ``sum_hourly`` keeps all of them.
     """
     keys: Sequence[str] = LEVELS[level]
     timed = messages.where(F.col("created_at_local").isNotNull()).withColumn(
         "at", F.col("created_at_local").cast("timestamp")
     )
-    grouped = timed.withWatermark("at", delay).groupBy(F.window("at", "1 hour"), *keys)
-    sums = grouped.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum((F.col("pred_any_need") == 1).cast("long")).alias("n_need_rows"),
-        F.sum("urgency_score").alias("urgency"),
-    )
+    sums = _sums(timed.withWatermark("at", delay).groupBy(F.window("at", "1 hour"), *keys))
     return sums.select(
         hour_text(F.col("window.start")).alias("hour"), *keys, "n_rows", "n_need_rows", "urgency"
     )
@@ -51,25 +55,32 @@ def append_to(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
 
 
-def replay_hourly_signals(
-    messages: DataFrame, folder: str, level: str = "province", *, delay: str = "2 hours", at: str = "9998-12-31 00:00:00"
-) -> DataFrame:
-    """Run a bounded stream to its end, close its last hours too, and read the result.
+def sum_hourly(messages: DataFrame, folder: str, level: str = "province") -> StreamingQuery:
+    """Add all input available now to the sums in ``folder``; nothing is late.
 
-    At the end of its input a stream's watermark stops short of the final hours.  Once
-    all input is done, one far-future message is put beside it and the same query goes
-    on from its checkpoint; the hours close, and the extra one stays open for ever.
+    Each micro-batch writes its own sums per hour and place under its number, replacing
+    what an interrupted attempt may have left, so every message counts once.  Messages may
+    come in any order and at any time: there is no state between batches and no watermark.
     """
-    spark = messages.sparkSession
-    others = [f for f in messages.schema if f.name != "created_at_local"]
-    row = spark.range(1).select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in others],
-        F.lit(at).cast("timestamp_ntz").alias("created_at_local"),
-    )
-    row.limit(0).write.parquet(f"{folder}/closing")
-    both = messages.unionByName(open_stream(spark, f"{folder}/closing", row.schema))
-    hourly = hourly_signals(both, level, delay=delay)
-    append_to(hourly, f"{folder}/out", f"{folder}/state").awaitTermination()
-    row.write.mode("append").parquet(f"{folder}/closing")
-    append_to(hourly, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    keys = ("hour", *LEVELS[level])
+
+    def add(batch: DataFrame, number: int) -> None:
+        timed = batch.where(F.col("created_at_local").isNotNull())
+        hourly = timed.withColumn("hour", hour_text(hour_start(F.col("created_at_local"))))
+        _sums(hourly.groupBy(*keys)).write.mode("overwrite").parquet(f"{folder}/sums/batch={number}")
+
+    writer = messages.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state")
+    return writer.trigger(availableNow=True).start()
+
+
+def summed_hourly(spark: SparkSession, folder: str, level: str = "province") -> DataFrame:
+    """Hourly signals over everything ``sum_hourly`` has added so far."""
+    keys = ("hour", *LEVELS[level])
+    sums = spark.read.parquet(f"{folder}/sums")
+    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_need_rows", "urgency")])
+
+
+def replay_hourly_signals(messages: DataFrame, folder: str, level: str = "province") -> DataFrame:
+    """Run a bounded stream to its end and read the result, whatever the order of its files."""
+    sum_hourly(messages, folder, level).awaitTermination()
+    return summed_hourly(messages.sparkSession, folder, level)

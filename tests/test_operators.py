@@ -10,6 +10,7 @@ from reliefsignals.operators import aggregates as agg
 from reliefsignals.operators import hotspots as hot
 from reliefsignals.operators import messages as msg
 from reliefsignals.operators.filters import apply_filters, during
+from reliefsignals.operators.prepare import unreadable_times
 
 RAW = "id string, tweet string, tweet_clean string, created_at string, province string, district string," \
       " neighborhood string, urgency_score string, pred_saglik string, prob_saglik string," \
@@ -64,14 +65,21 @@ def test_prepare_optional_columns(spark):
     assert df.collect()[0].pred_any_need == 0
     meta = {"labels": ["health"], "label_to_pred_column": {"health": "flag"}}
     df = prepare(spark.createDataFrame([("1.0",)], "flag string"), meta)
-    assert df.collect()[0].flag == 1 and dict(df.dtypes)["flag"] == "int"
+    assert df.collect()[0].flag == 1 and dict(df.dtypes)["flag"] == "bigint"
 
 
 def test_damaged_flags_do_not_overflow(make):
     row = make(dict(pred_saglik="2147483647", pred_bilgi_paylasimi="2147483647")).frame.first()
-    assert (row.pred_saglik, row.pred_label_count, row.pred_any_need) == (2**31 - 1, 2**31 - 1, 1)
+    assert (row.pred_saglik, row.pred_label_count, row.pred_any_need) == (2**31 - 1, 2**32 - 2, 1)
     row = make(dict(pred_saglik="9999999999999")).frame.first()
-    assert (row.pred_saglik, row.pred_label_count, row.pred_any_need) == (0, 0, 0)
+    assert (row.pred_saglik, row.pred_label_count, row.pred_any_need) == (9999999999999, 9999999999999, 1)
+
+
+def test_unreadable_times_are_counted(make, spark):
+    raw = spark.createDataFrame([("02/06/2023 01:17:34",), ("bad",), ("",), (None,), ("13.02.2023",)], "created_at string")
+    assert tuple(unreadable_times(raw).first()) == (5, 2, 1)
+    assert str(prepare(raw.limit(1)).first().created_at_parsed) == "2023-02-06 01:17:34"
+    assert str(prepare(raw.limit(1), day_first=True).first().created_at_parsed) == "2023-06-02 01:17:34"
 
 
 def test_given_dates_are_kept(spark):
@@ -117,7 +125,7 @@ def test_filter_mark_equals_filter(make):
 def test_counts(make):
     ds = make(dict(), dict(pred_saglik="0", pred_bilgi_paylasimi="1"), dict(province=""), dict(province="Kilis"))
     assert [(r.label, r["count"]) for r in agg.label_counts(ds).collect()] == [("saglik", 3), ("bilgi_paylasimi", 1)]
-    assert [(r.province, r["count"]) for r in agg.province_counts(ds).collect()] == [("Hatay", 2), ("Kilis", 1)]
+    assert sorted((r.province, r["count"]) for r in agg.province_counts(ds).collect()) == [("Hatay", 2), ("Kilis", 1)]
     s = agg.summary(ds, Filters(provinces=("Hatay",))).collect()[0]
     assert (s.total_rows, s.filtered_rows, s.need_signals, s.province_count) == (4, 2, 2, 1)
     assert (s.top_label, s.top_label_count, s.avg_urgency) == ("saglik", 1, 2.0)
@@ -260,23 +268,37 @@ def test_messages(make):
     top = msg.top_messages(ds).collect()
     assert [(r.id, r.text, r.labels) for r in top[:2]] == [
         ("1", "fallback", ["saglik", "bilgi_paylasimi"]), ("0", "a b", ["saglik"])]
-    assert msg.top_messages(ds, limit=0).count() == 1
+    assert top[0].label_names == ["sağlık", "bilgi paylaşımı"]
+    with pytest.raises(ValueError):
+        msg.top_messages(ds, limit=0)
     line = msg.ticker(ds).collect()
     assert [(r.id, len(r.text)) for r in line] == [("0", 4), ("2", 140)]
     assert msg.message_list(ds, n=2).count() == 2
 
 
-def test_overview_equals_single_operators(make):
+def test_lists_are_as_long_as_asked(make, spark):
+    blank = [dict(urgency_score="9", tweet_clean=" ")] * 60 + [dict(urgency_score="1")] * 240
+    ds = make(*blank)
+    assert msg.ticker(ds).count() == 18 and msg.ticker(ds, n=250).count() == 240
+    assert msg.top_messages(ds, limit=1000).count() == 300
+
+
+def test_overview_equals_single_operators(make, tmp_path):
     ds = make(dict(), dict(province="Kilis", urgency_score="7"), dict(created_at="bad"), dict(pred_saglik="0"))
     f = Filters(urgency_min=1)
-    report = overview(ds, f)
+    report = overview(ds, f, folder=str(tmp_path / "sums"))
     pairs = [(report.summary, agg.summary(ds, f)), (report.label_counts, agg.label_counts(ds, f)),
              (report.prevalence, agg.prevalence(ds, f)), (report.temporal, agg.temporal_daily(ds, f)),
              (report.province_map, agg.province_map(ds, f)), (report.hours, agg.hours(ds, f)),
              (report.default_hour, agg.default_hour(ds, f))]
     for one, other in pairs:
-        assert one.collect() == other.collect()
-    report.release()
+        assert sorted(one.collect(), key=str) == sorted(other.collect(), key=str)
+    facts = dict(tuple(r) for r in report.source.collect())
+    assert facts["kind"] == "custom" and facts["row_count"] is None
+    spark = ds.frame.sparkSession
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    bare = overview(ds, f)
+    assert sorted(bare.long().collect(), key=str) == sorted(report.long().collect(), key=str)
 
 
 def test_options_of_an_empty_table(make, spark):

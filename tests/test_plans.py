@@ -32,6 +32,7 @@ def published(spark, tmp_path):
 
 def test_only_text_composition_and_models_use_python(spark):
     streams = {"stream_clean", "stream_hourly_signals", "load_predictions", "publish_predictions", "load_gazetteer"}
+    streams |= {"overview", "hotspots_known_hour", "provenance_published"}
     for name in set(QUERIES) - PYTHON_QUERIES - streams:
         assert "Python" not in initial(QUERIES[name](spark, SF)), name
 
@@ -90,5 +91,12 @@ def test_a_known_hour_is_pushed_to_the_scan(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", 10000)
     one = during(published(spark, tmp_path), "2024-01-10T05:00:00")
     plan = initial(hot.hotspots(one, A.geo_index(spark, SF)))
+    asked = published(spark, tmp_path / "again")
+    for operator in (hot.hotspots, hot.hotspot_stats):
+        requested = initial(operator(asked, A.geo_index(spark, SF), hour="2024-01-10T05:00:00"))
+        below = requested[requested.index("HashAggregate(keys=[hour"):]
+        assert "GreaterThanOrEqual(created_at_local,2024-01-10T05:00)" in below
+        missing = initial(operator(asked, A.geo_index(spark, SF), hour="1999-01-01T00:00:00"))
+        assert "GreaterThanOrEqual(created_at_local" not in missing
     assert "GreaterThanOrEqual(created_at_local,2024-01-10T05:00)" in plan
     assert "LessThan(created_at_local,2024-01-10T06:00)" in plan

@@ -3,6 +3,8 @@
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from reliefsignals import fixed_values as fv
 from reliefsignals.functions import text as T
 
@@ -26,7 +28,16 @@ def test_fold_is_casefold(one_column):
 
 def test_fold_suspects_cover_every_single_folding():
     pattern = re.compile("[µſͅ-ϵᏸ-ᏽᲀ-ẛιꭰ-ꮿ]")
-    assert all(pattern.match(c) for c in T._FOLDS)
+    assert all(pattern.match(c) for c in T._FOLD_FROM)
+
+
+def test_fold_is_casefold_on_every_code_point(spark):
+    """Compared in the JVM: one row per code point that either side changes."""
+    points = [p for p in range(1, 0x110000) if not 0xD800 <= p < 0xE000]
+    rows = [(p, f"a{chr(p)}b", f"a{chr(p)}b".casefold()) for p in points if chr(p).casefold() != chr(p) or chr(p).lower() != chr(p)]
+    table = spark.createDataFrame(rows, "p int, t string, f string").repartition(4)
+    wrong = table.where(T.fold(F.col("t")) != F.col("f")).select("p").collect()
+    assert [hex(r.p) for r in wrong] == []
 
 
 def test_mojibake(one_column):

@@ -1,13 +1,14 @@
-"""Numbers, time stamps, schema discovery, filter parameters."""
+"""Numbers, time stamps, schema discovery."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from reliefsignals.functions import clock, numbers
 from reliefsignals.functions.labels import label_name
-from reliefsignals.operators.filters import Filters, read_date, split_list
-from reliefsignals.schema import Dataset, discover_schema, source_kind
+from reliefsignals.schema import Dataset, discover_schema
+from reliefsignals.session import run_folder
 
 
 def test_numbers(one_column):
@@ -29,10 +30,19 @@ def test_parse_utc_and_local(one_column):
         "bad",
         "",
         None,
+        "Feb 6, 2023 01:17:34",
+        "02/06/2023 01:17:34",
+        "20230206",
+        "6 February 2023",
+        "Mon, 06 Feb 2023 01:17:34",
+        "13.02.2023",
+        "00/13/2023",
+        "Foo 6, 2023",
     ]
     quake = dt.datetime(2023, 2, 6, 1, 17, 34)
     midnight = dt.datetime(2023, 2, 6)
     expected = [quake, quake, quake, midnight, quake, quake, None, None, None, None]
+    expected += [quake, quake, midnight, midnight, quake, dt.datetime(2023, 2, 13), None, None]
     text = [None if e is None else str(e) for e in expected]
     assert one_column(lambda c: F.date_format(clock.parse_utc(c), "yyyy-MM-dd HH:mm:ss"), cells) == text
     local = one_column(lambda c: clock.hour_text(clock.to_local(clock.parse_utc(c))), cells[:4])
@@ -50,18 +60,19 @@ def test_discover_schema():
     assert discover_schema(["id"], {"label_to_pred_column": "no map"}).labels == ()
 
 
-def test_source_kind():
-    assert source_kind("x.csv", {"canonical": True, "supersedes": ["x.csv"]}) == "canonical_final"
-    assert source_kind("/a/x.csv", {"supersedes": ["old/x.csv"]}) == "historical"
-    assert source_kind("/a/need_predictions_geolocated_v2_final.csv") == "canonical_candidate"
-    assert source_kind("y.csv", {}) == "custom"
+def test_kind_is_stated(spark):
+    def kind(metadata, **given):
+        return Dataset.of(spark.range(1), metadata, "x.csv", **given).kind
 
+    assert kind({"canonical": True}) == "canonical_final" and kind(None) == "custom"
+    assert kind({"kind": "historical", "canonical": True}) == "historical"
+    assert kind({"canonical": True}, kind="mine") == "mine"
 
-def test_parameters():
-    assert split_list(" a, ,b ,") == ("a", "b") and split_list(None) == ()
-    assert read_date("2023-02-06") == dt.date(2023, 2, 6) and read_date("x") is None and read_date("") is None
-    f = Filters.from_params(start_date="bad", provinces="Hatay,Kilis", label_mode="all", urgency_min=2)
-    assert f == Filters(provinces=("Hatay", "Kilis"), label_mode="ALL", urgency_min=2)
+
+def test_run_folder_needs_shared_storage(spark):
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            run_folder(spark, "x")
 
 
 def test_label_name(one_column):
