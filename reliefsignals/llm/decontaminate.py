@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefsignals.llm import blocks
-from reliefsignals.llm.bounds import free_name
+from reliefsignals.llm.bounds import free_name, with_small_batches
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -115,6 +115,7 @@ def matches(
     Items are read in blocks of at most ``block_items`` rows and about ``BLOCK_CHARS``
     characters, each sent to the executors by itself. Items with a null id keep the null.
     """
+    with_small_batches(spark)
     wanted = items.select(F.col(item_id).cast("long").alias("i"), F.lower(F.col(item_text)).alias("t"))
     found, block, chars = [], [], 0
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefsignals.llm import blocks
-from reliefsignals.llm.bounds import free_name
+from reliefsignals.llm.bounds import free_name, with_small_batches
 
 BITS = 18
 MAX_LABELLED = 20_000
@@ -125,6 +125,7 @@ def held_out(key: str | Column = "doc_id") -> Column:
 
 def fitted_scorer(spark: SparkSession, documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Callable[[Column], Column]:
     """Learn ``labels.quality`` from the documents that are not held out."""
+    with_small_batches(spark)
     known = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isNotNull() & ~held_out())
     chosen = F.broadcast(sampled(known, limit=limit))
     return scorer(spark, train(documents.select("doc_id", "text").join(chosen, "doc_id")))
