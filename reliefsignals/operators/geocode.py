@@ -40,13 +40,13 @@ def gazetteer_provinces(gazetteer: DataFrame) -> DataFrame:
 class GeoIndex:
     """A gazetteer and the centroids used where it has no answer.
 
-    ``small`` states that the gazetteer was measured and fits the broadcast bound; the
-    derived tables are no larger.  If it is false the joins carry no hint: Spark picks
+    ``build`` makes one.  ``small`` says that it measured the gazetteer and found it within
+    the broadcast bound; the derived tables are no larger.  If it is false the joins carry no hint: Spark picks
     the strategy from the sizes it measures while running, and splits skewed provinces.
     """
 
     gazetteer: DataFrame
-    small: bool
+    small: bool = field(default=False, init=False)
     centroids: Centroids = field(default_factory=lambda: dict(fv.PROVINCE_CENTROIDS))
     dedupe: bool = False
 
@@ -64,7 +64,9 @@ class GeoIndex:
         # Beside its texts a row takes two coordinates and the row's own overhead.
         size = gazetteer.agg(F.sum(F.coalesce(texts, F.lit(0)) + F.lit(64)).alias("bytes")).first()["bytes"] or 0
         small = size <= broadcast_bytes
-        return cls(gazetteer, small, dict(fv.PROVINCE_CENTROIDS if centroids is None else centroids), dedupe)
+        index = cls(gazetteer, dict(fv.PROVINCE_CENTROIDS if centroids is None else centroids), dedupe)
+        object.__setattr__(index, "small", small)
+        return index
 
     def _side(self, table: DataFrame) -> DataFrame:
         return F.broadcast(table) if self.small else table
