@@ -117,9 +117,9 @@ def reviewed(found: DataFrame) -> DataFrame:
 def scan(documents: DataFrame, labelled: DataFrame | None = None, path: str = "source", limit: int = MAX_FINDINGS) -> DataFrame:
     """``doc_id, place, length, value_sha256, score, is_secret`` of every candidate."""
     spark = documents.sparkSession
-    found = features(candidates(documents, path), dictionary(documents))
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
-    table = written(spark, found, "findings")
+    # Candidates are read twice below; they are few beside the texts they come from.
+    found = written(spark, candidates(documents, path), "candidates")
+    table = written(spark, features(found, dictionary(documents)), "findings")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
     known = reviewed(table) if labelled is None else labelled.select("doc_id", "place", F.col("label").cast("double").alias("label"))
     n, kinds = known.agg(F.count("label"), F.count_distinct("label")).first()
