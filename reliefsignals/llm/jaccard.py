@@ -6,7 +6,7 @@ is empty and linked with nothing. Two documents link when
 ``100 * intersection >= 75 * union``.
 
 1. Sets are hashed. Documents with equal sets form a class; classes are the nodes below.
-2. Corpus counts of all shingles become two bitmaps (``repeats``): shingles that occur in two
+2. Corpus counts of all shingles become two filters (``repeats``): shingles that occur in two
    sets or more, and frequent ones. A document that shares less than 75 % of its shingles with
    any other set cannot have a link and goes no further.
 3. Shingles have one global order: unshared, shared, frequent, each by hash. Two linked sets
@@ -48,7 +48,7 @@ WIDTH = 5
 PERCENT = 75
 #: A shingle of so many sets is frequent; it only comes later in the global order.
 FREQUENT = 64
-#: Size of each of the two bitmaps, 8 MB.
+#: Size of each of the two filters, 8 MB.
 BITS = 26
 GROUPS = 256
 LEAF = 16
@@ -91,7 +91,7 @@ def _marks(documents: DataFrame, ranges: int) -> DataFrame:
             )
             once = {k: s for k, s in zip(nodes, sets) if k is not None}
             if once:
-                for r, packed in repeats.split(np.concatenate(list(once.values())), ranges):
+                for r, packed in repeats.split(np.concatenate(list(once.values())), ranges, FREQUENT):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x], t) for x, t in zip((None, None, None, r, packed), schema.types)], schema=schema
                     )
@@ -110,12 +110,12 @@ def _candidate_sets(documents: DataFrame, sent: Broadcast) -> DataFrame:
         for batch in blocks.slices(batches):
             rows: dict[int, tuple] = {}
             for s in shingle_sets(batch.column(0)):
-                known = repeats.contains(is_shared, s)
+                known = is_shared.contains(s)
                 if not len(s) or 100 * int(known.sum()) < PERCENT * len(s):
                     continue
                 node = node_of(s)
                 if node not in rows:
-                    order = np.argsort(known.astype(np.int8) + repeats.contains(is_frequent, s), kind="stable")
+                    order = np.argsort(known.astype(np.int8) + is_frequent.contains(s), kind="stable")
                     counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
                     rows[node] = (node, len(s), int((~known).sum()), counts.astype(np.uint32).tobytes(), s[order].view(np.int64))
             if rows:
@@ -223,7 +223,7 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
     ranges = repeats.ranges_for(slim)
     passed = written(spark, _marks(slim, ranges), "marks")
     marks = passed.filter("range is null").select("doc_id", "n", "node")
-    shared, frequent = repeats.bitmaps(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT), BITS)
+    shared, frequent = repeats.repeated(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT), BITS)
     sent = spark.sparkContext.broadcast((shared, frequent))
     del shared, frequent
     firsts = marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")).filter("node IS NOT NULL AND m > 1")

@@ -1,10 +1,10 @@
-"""Which hashes repeat in the corpus, as bitmaps of fixed size.
+"""Which hashes repeat in the corpus, as Bloom filters of fixed size.
 
 Map tasks send the hashes of their rows in packed runs, one per range of hashes; one task per
-range counts them exactly and returns its slice of a bitmap. The bitmap has ``2 ** BITS``
-bits whatever the input, so it may be collected and broadcast. A set bit can stand for several
+range counts them exactly and returns its slice of the filter. The filter has ``2 ** BITS``
+bits whatever the input, so it may be collected and broadcast. Bits are shared between
 hashes: a lookup may say "repeated" of a hash that is not, never the other way round. Users of
-the bitmap decide exactly afterwards, so a full bitmap costs time, not results.
+the filter decide exactly afterwards, so a full filter costs time, not results.
 """
 
 from __future__ import annotations
@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reliefsignals.llm import blocks
+
 #: 16 MB of bits.
 BITS = 27
+#: Bits that stand for one hash.
+PROBES = 3
 #: Text bytes that one range of hashes stands for.
 RANGE_BYTES = 4_000_000
 MOST_RANGES = 1 << 20
@@ -42,10 +46,15 @@ def from_planes(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(body.reshape(size, n).T).view(kind).ravel()
 
 
-def split(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """Runs of sorted hashes, 32 bits below the range number, as ``(range, packed)``."""
+def split(hashes: np.ndarray, ranges: int, level: int) -> Iterator[tuple[int, bytes]]:
+    """Runs of sorted hashes, 32 bits below the range number, as ``(range, packed)``.
+
+    A hash is sent ``level`` times at most: that decides whether it reaches the level just as
+    well, and a hash of every document is a few numbers from each part.
+    """
     bits = ranges.bit_length() - 1
-    ordered = np.sort(hashes)
+    ordered, many = np.unique(hashes, return_counts=True)
+    ordered = np.repeat(ordered, np.minimum(many, level))
     cuts = np.searchsorted(ordered, np.arange(ranges, dtype=np.uint64) << np.uint64(64 - bits))
     cuts = np.append(cuts, len(ordered))
     names = ((ordered >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -54,10 +63,37 @@ def split(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
         yield int(r), planes(np.diff(run, prepend=np.uint32(0)))
 
 
-def bitmaps(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int = BITS) -> list[np.ndarray]:
-    """For each level, the bitmap of hashes that occur so often at least. ``runs``: ``range, packed``."""
+def _places(names: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """The ``PROBES`` bits that stand for a hash in the slice of its range."""
+    spread = blocks.mixed(names.astype(np.uint64))
+    for probe in range(PROBES):
+        yield (blocks.mixed(spread + np.uint64(probe)) >> np.uint64(64 - width)).astype(np.int64)
+
+
+class Repeated:
+    """Hashes that occur so often at least; one slice of ``2 ** width`` bits for each range."""
+
+    def __init__(self, ranges: int, width: int) -> None:
+        self.bits, self.width = ranges.bit_length() - 1, width
+        self.marks = np.zeros(ranges << (width - 3), np.uint8)
+
+    def fill(self, number: int, part: bytes) -> None:
+        size = 1 << (self.width - 3)
+        self.marks[number * size : (number + 1) * size] = np.frombuffer(part, np.uint8)
+
+    def contains(self, hashes: np.ndarray) -> np.ndarray:
+        names = (hashes >> np.uint64(32 - self.bits)) & np.uint64(0xFFFFFFFF)
+        base = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) << self.width
+        found = np.ones(len(hashes), bool)
+        for place in _places(names, self.width):
+            at = base + place
+            found &= (self.marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def repeated(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int = BITS) -> list[Repeated]:
+    """For each level, the hashes that occur so often at least. ``runs``: ``range, packed``."""
     width = max(3, bits - (ranges.bit_length() - 1))
-    bits = width + ranges.bit_length() - 1
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         names = np.sort(np.concatenate([np.cumsum(from_planes(p, np.uint32), dtype=np.uint32) for p in group["packed"]]))
@@ -66,19 +102,13 @@ def bitmaps(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int = B
         slices = []
         for level in levels:
             marks = np.zeros(1 << width, np.uint8)
-            marks[names[first[many >= level]] >> np.uint32(32 - width)] = 1
+            for place in _places(names[first[many >= level]], width):
+                marks[place] = 1
             slices.append(np.packbits(marks).tobytes())
         return pd.DataFrame({"range": [int(group["range"].iloc[0])], "slices": [slices]})
 
-    whole = [np.zeros(1 << (bits - 3), np.uint8) for _ in levels]
-    size = 1 << (width - 3)
+    whole = [Repeated(ranges, width) for _ in levels]
     for row in runs.groupBy("range").applyInPandas(count, "range int, slices array<binary>").collect():
-        for bitmap, part in zip(whole, row["slices"]):
-            bitmap[row["range"] * size : (row["range"] + 1) * size] = np.frombuffer(bytes(part), np.uint8)
+        for one, part in zip(whole, row["slices"]):
+            one.fill(row["range"], bytes(part))
     return whole
-
-
-def contains(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    bits = (8 * len(bitmap)).bit_length() - 1
-    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)

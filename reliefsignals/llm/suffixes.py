@@ -8,11 +8,11 @@ level of recursion enough.
 
 1. Exact copies of a whole text are settled by a hash of the text; one original goes on.
 2. The sampled suffixes are named by their first ``NAME = WINDOW - PERIOD + 1`` bytes and sorted
-   by name in ranges. Names that occur in two originals or more are kept, as a bitmap.
+   by name in ranges. Names that occur in two originals or more are kept, as a Bloom filter.
 3. Recursion: a suffix of any residue can only agree with another to ``WINDOW`` bytes if a
-   sampled suffix in its first ``PERIOD`` positions has a repeated name. Those suffixes are named
-   by ``WINDOW`` bytes, merged by name, and adjacent equal names compared: all but those of the
-   smallest document start a repeated passage.
+   sampled suffix in its first ``PERIOD`` positions has a repeated name. Those suffixes are
+   merged: dealt to ranges as runs of text, named there by ``WINDOW`` bytes and sorted by name.
+   Of adjacent equal names all but those of the smallest document start a repeated passage.
 4. Starts go back to their documents, where overlapping passages become maximal runs.
 
 Names are 64-bit hashes of the bytes, not ranks: equality is all that is asked of them. No
@@ -31,11 +31,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefsignals.llm import blocks, repeats
-from reliefsignals.llm.bounds import broadcast_if_few, written
+from reliefsignals.llm.bounds import broadcast_if_few, with_small_batches, written
 
 WINDOW = 50
 PERIOD = 31
@@ -76,109 +77,177 @@ def _sampled_names(texts: DataFrame, ranges: int) -> DataFrame:
     schema = pa.schema([("range", pa.int32()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks.slices(batches):
             names = []
             for _, data, offsets in _runs(batch.column(0)):
                 at = np.flatnonzero(_sample(offsets))
                 hashes, cuts = _padded(data, NAME)[at], np.searchsorted(at, offsets)
                 names += [np.unique(hashes[low:high]) for low, high in zip(cuts[:-1], cuts[1:]) if high > low]
             if names:
-                rows = list(repeats.split(np.concatenate(names), ranges))
+                rows = list(repeats.split(np.concatenate(names), ranges, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return texts.mapInArrow(run, "range int, packed binary")
 
 
-_PACKED = "range int, docs binary, counts binary, starts binary, names binary"
+_RUNS = "range int, docs binary, each binary, starts binary, counts binary, texts binary"
 
 
-def _packed(target: np.ndarray, docs: np.ndarray, starts: np.ndarray, names: np.ndarray | None) -> Iterator[tuple]:
-    """Rows ``(target, docs, counts, starts, names)``; rows must be in order of document within each target."""
+def _least(grams: np.ndarray) -> np.ndarray:
+    """For each position the smallest of the ``PERIOD`` hashes from there on."""
+    size, least = 1, np.concatenate((grams, np.full(PERIOD - 1, 2**64 - 1, np.uint64)))
+    while 2 * size <= PERIOD:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    return np.minimum(least[: len(grams)], least[PERIOD - size : PERIOD - size + len(grams)])
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any column."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers ``start, start + 1, ...`` of each run, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+
+def _packed(target: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, text: np.ndarray | None = None) -> Iterator[tuple]:
+    """One row per target with its runs ``(doc, start, count)``, and their bytes one after the other."""
     order = np.argsort(target, kind="stable")
-    target, docs, starts = target[order], docs[order], starts[order]
-    names = None if names is None else names[order]
-    cuts = np.append(np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))), len(target))
-    for low, high in zip(cuts[:-1], cuts[1:]):
-        d, s = docs[low:high], starts[low:high].astype(np.uint32)
-        new = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    if text is not None:
+        lengths = counts + (WINDOW - 1)
+        text = text[_spread((np.cumsum(lengths) - lengths)[order], lengths[order])]
+        ends = np.concatenate(([0], np.cumsum(lengths[order])))
+    target, docs, starts, counts = target[order], docs[order], starts[order], counts[order]
+    cuts = np.append(np.flatnonzero(_firsts(target)), len(target))
+    for low, high in zip(cuts[:-1], cuts[1:]):  # none for no rows
+        d, new = docs[low:high], np.flatnonzero(_firsts(docs[low:high]))
         yield (
             int(target[low]),
             repeats.planes(d[new]),
             repeats.planes(np.diff(np.append(new, len(d))).astype(np.uint32)),
-            repeats.planes(np.diff(s, prepend=np.uint32(0))),
-            b"" if names is None else repeats.planes(names[low:high]),
+            repeats.planes(np.diff(starts[low:high].astype(np.uint32), prepend=np.uint32(0))),
+            repeats.planes(counts[low:high].astype(np.uint32)),
+            b"" if text is None else repeats.planes(text[ends[low] : ends[high]]),
         )
 
 
-def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    docs = [np.repeat(repeats.from_planes(d, np.int64), repeats.from_planes(c, np.uint32)) for d, c in zip(group["docs"], group["counts"])]
+def _unpacked(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and count of all runs of a group of rows."""
+    docs = [np.repeat(repeats.from_planes(d, np.int64), repeats.from_planes(n, np.uint32)) for d, n in zip(group["docs"], group["each"])]
     starts = [np.cumsum(repeats.from_planes(s, np.uint32), dtype=np.uint32) for s in group["starts"]]
-    return np.concatenate(docs), np.concatenate(starts)
+    counts = [repeats.from_planes(c, np.uint32) for c in group["counts"]]
+    return np.concatenate(docs), np.concatenate(starts).astype(np.int64), np.concatenate(counts).astype(np.int64)
+
 
+def _known_later(names: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs whose whole text a smaller document of the same part has too."""
+    order = np.lexsort((docs, names))
+    first = np.flatnonzero(_firsts(names[order]))
+    least = np.repeat(docs[order][first], np.diff(np.append(first, len(names))))
+    later = np.zeros(len(names), bool)
+    later[order] = docs[order] > least
+    # The names of a run's first and last suffix cover all its bytes up to this length.
+    return later & (counts <= WINDOW)
 
-def _named_suffixes(spark: SparkSession, originals: DataFrame, repeated: np.ndarray, ranges: int) -> DataFrame:
-    """All suffixes that may start a repeated passage, with their names of ``WINDOW`` bytes."""
-    sent, shift = spark.sparkContext.broadcast(repeated), np.uint64(64 - (ranges.bit_length() - 1))
-    schema = pa.schema([("range", pa.int32()), *[(x, pa.binary()) for x in ("docs", "counts", "starts", "names")]])
+
+def _suffix_runs(originals: DataFrame, sent: Broadcast, ranges: int, parts_of_docs: int) -> DataFrame:
+    """All suffixes that may start a repeated passage, cut at ``WINDOW`` bytes.
+
+    Suffixes that follow each other and have the same smallest hash of ``NAME`` bytes go to
+    one place as one run of text, which is a few bytes for each. Equal suffixes have equal
+    smallest hashes, so they meet. Of equal runs in one part of the input only that of the
+    smallest document is sent: the others are known to be repeated, and go on as such under
+    a number above the ranges. A passage that every document has is thus one run per part.
+    """
+    shift = np.uint64(64 - (ranges.bit_length() - 1))
+    schema = pa.schema([("range", pa.int32()), *[(x, pa.binary()) for x in ("docs", "each", "starts", "counts", "texts")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, docs, starts, names = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
+        for batch in blocks.slices(batches):
+            ids, parts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), []
             for first, data, offsets in _runs(batch.column(1)):
                 if not len(data):
                     continue
-                known = np.zeros(len(data) + PERIOD, np.int32)
+                grams, known = _padded(data, NAME), np.zeros(len(data) + PERIOD, np.int32)
                 at = np.flatnonzero(_sample(offsets))
-                known[at] = repeats.contains(sent.value, _padded(data, NAME)[at])
+                known[at] = sent.value.contains(grams[at])
                 total = np.concatenate(([0], np.cumsum(known, dtype=np.int32)))
                 near = total[PERIOD : PERIOD + len(data)] - total[: len(data)] > 0
                 at = np.flatnonzero(near & _room(offsets, WINDOW))
-                doc = np.searchsorted(offsets, at, "right") - 1
-                docs.append(ids[first + doc])
-                starts.append(at - offsets[doc])
-                names.append(_padded(data, WINDOW)[at])
-            if names and sum(map(len, names)):
-                names = np.concatenate(names)
-                rows = list(_packed((names >> shift).astype(np.int32), np.concatenate(docs).astype(np.int64), np.concatenate(starts), names))
+                if not len(at):
+                    continue
+                doc, key = np.searchsorted(offsets, at, "right") - 1, blocks.mixed(_least(grams)[at] + np.uint64(1))
+                new = np.flatnonzero(_firsts(at - np.arange(len(at)), key, doc))
+                counts, start = np.diff(np.append(new, len(at))), at[new]
+                text, windows = data[_spread(start, counts + (WINDOW - 1))], _padded(data, WINDOW)
+                names = blocks.mixed(windows[start] + blocks.mixed(windows[start + counts - 1]) + counts.astype(np.uint64))
+                parts.append(((key[new] >> shift).astype(np.int32), ids[first + doc[new]], start - offsets[doc[new]], counts, text, names))
+            if parts:
+                target, docs, starts, counts, text, names = [np.concatenate(x) for x in zip(*parts)]
+                later = _known_later(names, docs, counts)
+                text = text[np.repeat(~later, counts + (WINDOW - 1))]
+                known = ranges + _part(docs[later], parts_of_docs)
+                rows = list(_packed(target[~later], docs[~later], starts[~later], counts[~later], text))
+                rows += list(_packed(known, docs[later], starts[later], counts[later]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return originals.mapInArrow(run, _PACKED)
+    return originals.mapInArrow(run, _RUNS)
 
 
-def _passage_starts(named: DataFrame, parts: int) -> DataFrame:
-    """Suffixes whose name also occurs in a smaller document, dealt by document."""
+def _part(docs: np.ndarray, parts: int) -> np.ndarray:
+    return (blocks.mixed(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def _passage_starts(runs: DataFrame, ranges: int, parts: int) -> DataFrame:
+    """Suffixes that also occur in a smaller document, as runs, dealt by document."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        docs, starts = _unpacked(group)
-        names = np.concatenate([repeats.from_planes(x, np.uint64) for x in group["names"]])
+        if group["range"].iloc[0] >= ranges:
+            return group.assign(range=group["range"] - ranges)
+        docs, starts, counts = _unpacked(group)
+        text = np.concatenate([repeats.from_planes(x, np.uint8) for x in group["texts"]])
+        lengths = counts + (WINDOW - 1)
+        names = blocks.window_hashes(text, WINDOW)[_spread(np.cumsum(lengths) - lengths, counts)]
+        docs, starts = np.repeat(docs, counts), _spread(starts, counts)
         order = np.argsort(names)
-        names, docs, starts = names[order], docs[order], starts[order]
-        first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-        least = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(names))))
-        later = docs > least
+        first = np.flatnonzero(_firsts(names[order]))
+        least = np.repeat(np.minimum.reduceat(docs[order], first), np.diff(np.append(first, len(names))))
+        later = np.zeros(len(names), bool)
+        later[order] = docs[order] > least
         docs, starts = docs[later], starts[later]
-        order = np.lexsort((starts, docs))
-        docs, starts = docs[order], starts[order]
-        target = (blocks.mixed(docs.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-        rows = list(_packed(target, docs, starts, None)) if len(docs) else []
-        return pd.DataFrame(rows, columns=["range", "docs", "counts", "starts", "names"])
+        if not len(docs):
+            return pd.DataFrame([], columns=["range", "docs", "each", "starts", "counts", "texts"])
+        new = np.flatnonzero(_firsts(docs, starts - np.arange(len(starts))))
+        counts = np.diff(np.append(new, len(docs)))
+        docs, starts = docs[new], starts[new]
+        return pd.DataFrame(list(_packed(_part(docs, parts), docs, starts, counts)), columns=["range", "docs", "each", "starts", "counts", "texts"])
 
-    return named.groupBy("range").applyInPandas(compare, _PACKED)
+    return runs.groupBy("range").applyInPandas(compare, _RUNS)
 
 
 def _spans(starts: DataFrame) -> DataFrame:
     """``doc_id, starts, ends``: maximal runs of bytes to remove, in order."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        docs, starts = _unpacked(group)
-        starts = starts.astype(np.int64)
+        docs, starts, counts = _unpacked(group)
+        ends = starts + counts + (WINDOW - 1)
         order = np.lexsort((starts, docs))
-        docs, starts = docs[order], starts[order]
-        new = np.concatenate(([True], (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + WINDOW)))
+        docs, starts, ends = docs[order], starts[order], ends[order]
+        # Runs start in order and none is longer than the furthest end so far, kept per document.
+        shift = (np.cumsum(_firsts(docs)) - 1) * (int(ends.max()) + 1)
+        furthest = np.maximum.accumulate(ends + shift) - shift
+        new = _firsts(docs)
+        new[1:] |= starts[1:] > furthest[:-1]
         low = np.flatnonzero(new)
-        begins, ends, owner = starts[low], starts[np.append(low[1:], len(starts)) - 1] + WINDOW, docs[low]
-        cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
-        rows = [(int(owner[a]), begins[a:b].tolist(), ends[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+        begins, last, owner = starts[low], furthest[np.append(low[1:], len(starts)) - 1], docs[low]
+        cuts = np.append(np.flatnonzero(_firsts(owner)), len(owner))
+        rows = [(int(owner[a]), begins[a:b].tolist(), last[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
         return pd.DataFrame(rows, columns=["doc_id", "starts", "ends"])
 
     return starts.groupBy("range").applyInPandas(merge, "doc_id bigint, starts array<int>, ends array<int>")
@@ -189,6 +258,7 @@ def repeated_spans(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     A null id counts as smaller than all others.
     """
+    with_small_batches(spark)
     slim = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hashed = slim.filter(F.octet_length("text") >= WINDOW).select(
         "doc_id", F.octet_length("text").alias("size"), F.sha2(F.encode("text", "UTF-8"), 256).alias("h")
@@ -198,11 +268,16 @@ def repeated_spans(spark: SparkSession, documents: DataFrame) -> DataFrame:
     originals = slim.join(broadcast_if_few(copies.select("doc_id")), "doc_id", "left_anti")
 
     ranges = repeats.ranges_for(slim)
-    (repeated,) = repeats.bitmaps(_sampled_names(originals.select("text"), ranges), ranges, (2,))
-    named = _named_suffixes(spark, originals.select("doc_id", "text"), repeated, ranges)
-    spans = _spans(_passage_starts(named, max(16, ranges // 8)))
+    (found,) = repeats.repeated(_sampled_names(originals.select("text"), ranges), ranges, (2,))
+    sent = spark.sparkContext.broadcast(found)
+    del found
+    parts = max(16, ranges // 8)
+    runs = _suffix_runs(originals.select("doc_id", "text"), sent, ranges, parts)
+    spans = _spans(_passage_starts(runs, ranges, parts))
     whole = copies.distinct().select("doc_id", F.array(F.lit(0)).alias("starts"), F.array(F.col("size").cast("int")).alias("ends"))
-    return written(spark, spans.union(whole), "spans")
+    found = written(spark, spans.union(whole), "spans")
+    sent.destroy()
+    return found
 
 
 def without_repeats(spark: SparkSession, documents: DataFrame) -> DataFrame:
