@@ -57,11 +57,10 @@ def rates(documents: DataFrame, source: str = "source", weights: DataFrame | Non
     else:
         given = weights.select(F.col("source").alias("s"), F.col("weight").cast("double").alias("weight")).filter("weight > 0")
         weighted = counts.join(given, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    sums = weighted.agg(F.sum("weight").alias("weights"), F.sum("n").alias("rows"))
-    aim = F.col("rows").cast("double") if total is None else F.lit(float(total))
-    return weighted.join(F.broadcast(sums)).select(
-        "source", "n", "weight", (aim * F.col("weight") / F.col("weights") / F.col("n").cast("double")).alias("rate")
-    )
+    weights_sum, rows = weighted.agg(F.sum("weight"), F.sum("n")).first()
+    aim = F.lit(float(rows or 0) if total is None else float(total))
+    rate = aim * F.col("weight") / F.lit(weights_sum or 1.0) / F.col("n").cast("double")
+    return weighted.select("source", "n", "weight", rate.alias("rate"))
 
 
 def replicated(documents: DataFrame, per_source: DataFrame, source: str = "source", key: str = "doc_id", seed: int = SEED, copy: str = "copy", order: str = "mix_key") -> DataFrame:
