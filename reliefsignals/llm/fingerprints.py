@@ -3,14 +3,15 @@
 A fingerprint retains every shingle hash below a fixed fraction of all hashes. Sketches of
 the same fraction merge by union, and a finer one is reduced to a coarser one by dropping
 hashes, so the containment of a short text in a very long one can be estimated from the two
-sketches alone. The fraction is one of ``2 ** -LEVELS[i]``: texts of few shingles take the
-whole set (a sketch of the common fraction would be empty for most of them), larger ones
-coarser sketches; comparisons are made at the coarser fraction of the two.
+sketches alone. The fraction is one of ``2 ** -LEVELS[i]``: texts of few distinct shingles take
+the whole set (a sketch of the common fraction would be empty for most of them), larger ones
+coarser sketches of some 32 hashes at least; comparisons are made at the coarser fraction of the two.
 
 Shingles are five lower-cased words (runs of anything but white space); a text with fewer
 words has its whole sequence as one shingle, a text without words an empty sketch. A null text
-is empty. Equal texts have equal fingerprints; two empty sketches have likeness 1 if the
-fingerprints are equal, else 0.
+is empty. Equal texts have equal fingerprints. A text without words has likeness 1 to another one,
+0 to texts with words. Where nothing of two texts with words is left at the common fraction, their
+likeness is null; so is the containment of a text of which nothing is left there.
 
 The fingerprint's text form is ``<level>:<hashes in hexadecimal, ascending, comma between>``.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from reliefsignals.llm.bounds import free_name
 
 WIDTH = 5
-#: (fewest shingles, level): the sketch keeps hashes whose upper ``level`` bits are 0.
+#: (fewest distinct shingles, level): the sketch keeps hashes whose upper ``level`` bits are 0.
 LEVELS = ((0, 0), (64, 1), (128, 2), (256, 3), (512, 4), (1024, 5))
 #: Documents that one run of neighbours holds, about, and the most runs.
 RUN_ROWS = 4_000
@@ -52,14 +53,13 @@ def sketch(text: Column) -> Column:
         shingles = F.when(
             n >= WIDTH, F.transform(place, lambda i: F.xxhash64(*[F.get(h, i + (j - 1)) for j in range(WIDTH)]))
         ).otherwise(F.transform(place, lambda i: F.xxhash64(h)))
+        return _let(F.array_distinct(shingles), of_shingles)
+
+    def of_shingles(s: Column) -> Column:
         level = F.lit(LEVELS[0][1])
         for least, deeper in LEVELS[1:]:
-            level = F.when(many >= least, deeper).otherwise(level)
-
-        def cut(x: Column) -> Column:
-            return F.struct(x["l"].alias("level"), F.array_sort(F.array_distinct(at_level(x["s"], x["l"]))).alias("hashes"))
-
-        return _let(F.struct(shingles.alias("s"), level.alias("l")), cut)
+            level = F.when(F.size(s) >= least, deeper).otherwise(level)
+        return _let(level, lambda x: F.struct(x.alias("level"), F.array_sort(at_level(s, x)).alias("hashes")))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of_words)
 
@@ -74,23 +74,30 @@ def merged(a: Column, b: Column) -> Column:
     return F.struct(level.alias("level"), F.array_sort(F.array_union(at_level(a["hashes"], level), at_level(b["hashes"], level))).alias("hashes"))
 
 
+def _wordless(x: Column) -> Column:
+    return (x["level"] == 0) & (F.size(x["hashes"]) == 0)
+
+
 def _compared(a: Column, b: Column, result) -> Column:
+    """``result`` of the shared and both numbers of hashes at the common level; where it is null, what wordless texts decide."""
+
     def sizes(x: Column) -> Column:
         common = F.size(F.array_intersect(x["a"], x["b"])).cast("double")
         return result(common, F.size(x["a"]).cast("double"), F.size(x["b"]).cast("double"))
 
     level = F.greatest(a["level"], b["level"])
     value = _let(F.struct(at_level(a["hashes"], level).alias("a"), at_level(b["hashes"], level).alias("b")), sizes)
-    return F.coalesce(value, (a == b).cast("double"))
+    none, nothing = _wordless(a), _wordless(b)
+    return F.coalesce(value, F.when(none & nothing, 1.0).when(none | nothing, 0.0))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches, 0 to 1."""
+    """Estimated Jaccard similarity of two sketches, 0 to 1; null if both have words and no hash at the common level."""
     return _compared(a, b, lambda c, n, m: F.when(n + m > 0, c / F.greatest(n + m - c, F.lit(1.0))))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has, 0 to 1."""
+    """Estimated share of the first text's shingles that the second has, 0 to 1; null if none of the first's is seen at the common level."""
     return _compared(a, b, lambda c, n, m: F.when(n > 0, c / F.greatest(n, F.lit(1.0))))
 
 

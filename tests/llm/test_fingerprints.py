@@ -60,3 +60,25 @@ def test_empty_and_single(spark):
     assert fingerprints.fingerprints(spark, docs).first().near_next == 1.0
     many = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (None, None)], "doc_id long, text string")
     assert fingerprints.fingerprints(spark, many).count() == 4
+
+
+def test_repeated_lines_keep_hashes_and_unknown_is_null(spark):
+    rows = []
+    for i in range(40):
+        line = " ".join(f"r{i}x{j}" for j in range(36))
+        rows.append((i, (line + "\n") * 68, " ".join(f"w{j}" for j in range(400 * i, 400 * i + 24))))
+    long = " ".join(f"w{j}" for j in range(20_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, short string")
+    pairs = docs.select("doc_id", fingerprints.sketch(F.col("text")).alias("a"), fingerprints.sketch(F.col("short")).alias("short"), fingerprints.sketch(F.lit(long)).alias("long"))
+    following = pairs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    found = pairs.join(following, "doc_id").select(
+        F.size("a.hashes").alias("n"),
+        fingerprints.likeness(F.col("a"), F.col("b")).alias("near"),
+        fingerprints.likeness(F.col("a"), F.col("a")).alias("same"),
+        fingerprints.containment(F.col("short"), F.col("long")).alias("inside"),
+        fingerprints.containment(F.col("short"), fingerprints.sketch(F.lit(" "))).alias("in_nothing"),
+    )
+    found = found.collect()
+    assert len(found) == 39
+    assert all((r.n, r.near, r.same, r.in_nothing) == (36, 0.0, 1.0, 0.0) for r in found)
+    assert {r.inside for r in found} == {None, 1.0}
