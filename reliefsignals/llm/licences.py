@@ -1,7 +1,9 @@
 """Licence scan by sentence rules, with DataFrame functions only.
 
 A text is cut into sentences (after ``. ! ? ; :`` and white space, and at empty lines); a
-sentence that runs over several lines is looked up whole and line by line. Sentences are
+sentence that runs over several lines is looked up whole, in segments and line by line.
+Segments end after lines of marks only (`` *``, ``#``), after lines that close a comment, and
+after copyright lines, which often have no full stop before the text that follows. Sentences are
 normalised: lower case, only ASCII letters and digits, one space between words. A copyright
 notice with any holder and years is one sentence. Known sentences have identifiers, and a
 document's identifiers in order are its sequence; direct repetitions count once. A rule is a
@@ -52,6 +54,8 @@ SENTENCES = {
     26: "spdx license identifier mit",
     27: "spdx license identifier apache 2 0",
     28: "this is free and unencumbered software released into the public domain",
+    29: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    30: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
 }
 
 # Rule, licence, ordered identifiers.
@@ -65,7 +69,9 @@ RULES = (
     ("mit-spdx", "MIT", (26,)),
     ("gpl-3-notice", "GPL-3.0", (11,)),
     ("gpl-3-header", "GPL-3.0-or-later", (12, 13, 14)),
+    ("gpl-3-header-2", "GPL-3.0-or-later", (12, 29)),
     ("gpl-2-header", "GPL-2.0-or-later", (12, 13, 15)),
+    ("gpl-2-header-2", "GPL-2.0-or-later", (12, 30)),
     ("cc-by-nc", "CC-BY-NC-4.0", (16,)),
     ("cc-by", "CC-BY-4.0", (17,)),
     ("cc-by-text", "CC-BY-4.0", (23,)),
@@ -82,6 +88,13 @@ RULES = (
 #: ``copyright``, an optional ``c`` and years, then the holder.
 COPYRIGHT = r"^copyright (c )?([0-9]{4} )+.*$"
 
+_MARKS = r"[^\p{L}\p{N}\n]"
+#: Lines that end a segment: marks only, copyright with sign or year, rights reserved, end of a comment.
+BREAK = (
+    rf"(?imd)^(?:{_MARKS}+|{_MARKS}*(?:c\) ?)?copyright(?:{_MARKS}*(?:c\b|[0-9]{{4}})|[ \t]*©)[^\n]*"
+    rf"|[^\n]*all rights reserved{_MARKS}*|[^\n]*(?:\*/|-->)[ \t\r]*)$"
+)
+
 
 def normalised(sentence: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -89,8 +102,15 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences, line breaks inside kept."""
-    return F.split(F.regexp_replace(text, r"([.!?;:])\s+", "$1\u0001"), "\u0001|\n\\s*\n")
+    """Array of sentences, line breaks inside kept; ``\\u0002`` stands where a segment ends."""
+    marked = F.regexp_replace(text, BREAK, "$0\u0002")
+    return F.split(F.regexp_replace(marked, "([.!?;:])\u0002?\\s[\\s\u0002]*", "$1\u0001"), "\u0001|\n[\\s\u0002]*\n")
+
+
+def pieces(sentence: Column) -> Column:
+    """A sentence over several lines whole and in its segments; any other alone."""
+    several = F.contains(sentence, F.lit("\n"))
+    return F.when(several, F.concat(F.array(sentence), F.split(sentence, "\u0002"))).otherwise(F.array(sentence))
 
 
 def sequences(spark: SparkSession, documents: DataFrame, known: dict[int, str] = SENTENCES, key: str = "doc_id") -> DataFrame:
@@ -99,10 +119,11 @@ def sequences(spark: SparkSession, documents: DataFrame, known: dict[int, str] =
         raise ValueError(f"at most {MOST_RULES} sentences")
     table = spark.createDataFrame(list(known.items()), "id int, sentence string").coalesce(1)
     cut = documents.select(F.col(key).alias("doc_id"), F.posexplode(sentences(F.col("text"))).alias("i", "s"))
-    lines = F.when(F.contains("s", F.lit("\n")), F.concat(F.array("s"), F.split("s", "\n"))).otherwise(F.array("s"))
-    cut = cut.select("doc_id", "i", F.posexplode(lines).alias("j", "s")).select("doc_id", "i", "j", normalised(F.col("s")).alias("sentence"))
+    cut = cut.select("doc_id", "i", F.posexplode(pieces(F.col("s"))).alias("j", "s"))
+    lines = F.when((F.col("j") > 0) & F.contains("s", F.lit("\n")), F.concat(F.array("s"), F.split("s", "\n"))).otherwise(F.array("s"))
+    cut = cut.select("doc_id", "i", "j", F.posexplode(lines).alias("k", "s")).select("doc_id", "i", "j", "k", normalised(F.col("s")).alias("sentence"))
     hits = cut.join(F.broadcast(table), "sentence").distinct()
-    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "id"))).alias("found"))
+    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", "j", "k", "id"))).alias("found"))
 
 
 def licences(spark: SparkSession, documents: DataFrame, known: dict[int, str] = SENTENCES, rules: tuple = RULES, key: str = "doc_id") -> DataFrame:

@@ -21,6 +21,54 @@ def test_rules_follow_the_order(spark):
     assert licences.licences(spark, docs.limit(0)).count() == 0
 
 
+MIT = """Copyright (c) 2019-2021 A. Holder, Inc
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Copyright (c) 2019, The Holder
+All rights reserved
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """frob.c - a thing
+Copyright (C) 2019  The Holder
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+def test_published_headers_in_comments(spark):
+    rows, want = [], set()
+    for text, rule in ((MIT, "mit-text"), (BSD, "bsd-3"), (GPL, "gpl-3-header-2")):
+        lines = text.split("\n")
+        block = "/*\n" + "\n".join(f" * {x}".rstrip() for x in lines) + "*/\nint x;"
+        for form in (text, block, block.replace("\n", "\r\n"), "\n".join(f"# {x}".rstrip() for x in lines), "\n".join(f"// {x}" for x in lines)):
+            want.add((len(rows), rule))
+            rows.append((len(rows), form))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.rule) for r in licences.licences(spark, docs).collect() if not r.rule.startswith("reserved")}
+    assert found == want
+
+
 def secret_rows():
     rows = []
     for i in range(300):
