@@ -1,6 +1,6 @@
 """Benchmark decontamination: MinHash containment search with exact verification.
 
-Items are partitioned by size. An item keeps the shingles that are smallest under each of
+Items are put in order by size, which decides nothing. An item keeps the shingles that are smallest under each of
 ``permutations`` hash functions, items with no more shingles than that keep all of them. A
 document is a candidate for an item if it has one of the kept shingles: an item of which a
 share ``t`` lies in a document is missed with probability ``(1 - t) ** permutations`` at most
