@@ -1,14 +1,15 @@
 """Secret scan: candidates, and a random forest that removes false positives, with DataFrame functions only.
 
 A candidate is a word (run of non-space characters) of at least ``SHORTEST`` characters that
-has a digit, or an assignment to a name such as ``password`` or ``token``. Its features are its
+has a digit, or a word of any length that a name such as ``password`` or ``token`` and ``=`` or
+``:`` announce, in the same word or in the one or two words before it. Its features are its
 length, transitions between character classes, dictionary coverage (share of its letters
-that lie in corpus words), its path, and the neighbouring words. A random forest is trained on
+that lie in corpus words), its path, the neighbouring words, and whether a name announces it. A random forest is trained on
 labelled findings: rows of ``doc_id, place, label`` that join to candidates.
 
 The given tables hold no reviewed findings. ``reviewed`` stands in for them: it labels those
 candidates whose form alone decides (fixed patterns of public key formats and of personal data)
-and leaves all others open; the forest never sees the patterns, and scores every candidate.
+and leaves all others open, so also a weak password that a name announces; the forest never sees the patterns, and scores every candidate.
 
 Training takes about ``MAX_FINDINGS`` labelled findings at most, by a hash of document and
 place. The dictionary is the ``DICTIONARY`` most frequent words of at least three letters
@@ -38,7 +39,13 @@ THRESHOLD = 0.5
 # Names that announce a secret, paths that announce examples.
 NAMES = r"(?i)(passw(or)?d|passwd|secret|token|api_?key|access_?key|credential|auth)"
 EXAMPLES = r"(?i)(test|example|sample|doc|mock|fixture|demo)"
-CANDIDATE = rf"^(?=\S*[0-9])\S{{{SHORTEST},}}$|{NAMES}\S*[=:]\S+"
+ASSIGNED = rf"{NAMES}\S*[=:]\S+"
+CANDIDATE = rf"^(?=\S*[0-9])\S{{{SHORTEST},}}$|{ASSIGNED}"
+# A name and its sign at the end of a word, a sign alone, a sign before a value.
+NAMED = rf"{NAMES}\S*[=:]>?[\"'(\[{{<]*$"
+SIGN = r"^[=:]+>?[\"'(\[{<]*$"
+SIGNED = r"^[=:]+>?[^=:>]"
+SIGNED_START = r"^[=:]+>?"
 
 # Forms that decide by themselves.
 TRUE_FORMS = r"^(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|xox[bap]-[0-9A-Za-z-]{20,}|[0-9a-f]{40}|[0-9a-f]{18})$"
@@ -47,24 +54,39 @@ FALSE_FORMS = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+$|^[0-9][0-9 .:/+-]*$|^https?:/
 FEATURES = (
     "length", "runs", "runs_per_char", "digits", "uppers", "hexes", "vowel_runs", "distinct_chars", "marks", "coverage",
     "path_depth", "path_example", "before_names", "own_name", "assigned", "before_letters", "after_letters",
+    "announced_value",
 )
 
 
+def _announced(word, i: Column) -> Column:
+    """Whether a secret's name and ``=`` or ``:`` stand in the word ``i`` before its value, or in the words before it."""
+    last = F.coalesce(word(i - 1), F.lit(""))
+    apart = last.rlike(NAMED) | (last.rlike(SIGN) & F.coalesce(word(i - 2), F.lit("")).rlike(NAMES))
+    after = ~word(i).rlike(SIGN)
+    return word(i).rlike(ASSIGNED) | ((word(i) != "") & after & apart) | (word(i).rlike(SIGNED) & last.rlike(NAMES))
+
+
 def candidates(documents: DataFrame, path: str = "source", key: str = "doc_id") -> DataFrame:
-    """``doc_id, place, path, word, value, before, after``; ``place`` is the word's number in the text."""
+    """``doc_id, place, path, word, announced, value, before, after``; ``place`` is the word's number in the text."""
     words = documents.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), F.split("text", r"\s+").alias("w"))
-    found = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(CANDIDATE))
+
+    def word(i: Column) -> Column:
+        return F.get("w", i)
+
+    found = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(CANDIDATE) | _announced(word, i))
     near = F.transform(
         found,
         lambda i: F.struct(
             i.alias("place"),
             F.get("w", i).alias("word"),
+            _announced(word, i).alias("announced"),
             F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)).alias("before"),
             F.coalesce(F.get("w", i + 1), F.lit("")).alias("after"),
         ),
     )
     rows = words.filter(F.size("w") > 0).select("doc_id", "path", F.inline(near))
-    bare = F.regexp_replace(F.regexp_replace("word", r"^[A-Za-z_-]+[=:]", ""), r"^[\"'(<\[]+|[\"')>\],.;]+$", "")
+    own = F.when(F.col("announced"), F.regexp_replace("word", SIGNED_START, "")).otherwise(F.col("word"))
+    bare = F.regexp_replace(F.regexp_replace(own, r"^[A-Za-z_-]+[=:]", ""), r"^[\"'(<\[]+|[\"')>\],.;]+$", "")
     return rows.withColumn("value", bare)
 
 
@@ -104,13 +126,14 @@ def features(found: DataFrame, entries: DataFrame) -> DataFrame:
         F.col("word").rlike("[=:]").cast("double").alias("assigned"),
         F.regexp_count("before", F.lit("[A-Za-z]")).cast("double").alias("before_letters"),
         F.regexp_count("after", F.lit("[A-Za-z]")).cast("double").alias("after_letters"),
+        F.col("announced").cast("double").alias("announced_value"),
     )
 
 
 def reviewed(found: DataFrame) -> DataFrame:
-    """Findings that their form decides: ``doc_id, place, label``."""
+    """Findings that their form decides: ``doc_id, place, label``; no form makes an announced value a false positive."""
     value = F.col("value")
-    label = F.when(value.rlike(TRUE_FORMS), 1.0).when(value.rlike(FALSE_FORMS), 0.0)
+    label = F.when(value.rlike(TRUE_FORMS), 1.0).when(~F.col("announced") & value.rlike(FALSE_FORMS), 0.0)
     return found.select("doc_id", "place", label.alias("label")).filter("label is not null")
 
 

@@ -91,3 +91,26 @@ def test_without_labels_every_candidate_is_kept(spark):
     docs = spark.createDataFrame([(1, "password=abc12345", "p")], "doc_id long, text string, source string")
     assert [(r.is_secret, r.score) for r in secrets.scan(docs).collect()] == [(True, None)]
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_announced_values_are_candidates_and_never_labelled_false(spark):
+    rows = [
+        "x password: CorrectHorseBattery y", "x token = abcdefghijklmnop y", "x secret =ab y", "x api_key := q y", "x {\"password\": \"abc\"} y",
+        "x password=hunter42 y", "x password=12345678 y", "x password: 12345678 y", "x token = me@mail.example.com y",
+    ]
+    docs = spark.createDataFrame([(i, t, "p") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    found = secrets.candidates(docs)
+    values = {(r.doc_id, r.value) for r in found.collect() if r.announced}
+    assert values == {
+        (0, "CorrectHorseBattery"), (1, "abcdefghijklmnop"), (2, "ab"), (3, "q"), (4, "abc\"}"),
+        (5, "hunter42"), (6, "12345678"), (7, "12345678"), (8, "me@mail.example.com"),
+    }
+    assert secrets.reviewed(found).count() == 0
+    assert secrets.scan(docs).count() == len(rows)
+
+
+def test_weak_announced_passwords_are_kept(spark):
+    rows = secret_rows() + [(1000 + i, f"the river runs {t} and the stone stays", "src/a") for i, t in enumerate(("password=hunter42", "password=12345678"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.is_secret for r in secrets.scan(docs).collect()}
+    assert found[1000] and found[1001]
