@@ -6,7 +6,7 @@ The others are tested against brute force, exact round trips or held-out accurac
 
 from __future__ import annotations
 
-from reliefsignals.llm import licences, mixing
+from reliefsignals.llm import audit, licences, merkle, mixing
 
 _RATES = f"""
 counts AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, {mixing.TEMPERATURE}::DOUBLE) AS weight FROM documents GROUP BY source),
@@ -92,9 +92,107 @@ WHERE NOT EXISTS (
   SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND o.n_sentences > m.n_sentences AND contains(o.pattern, m.pattern))
 """
 
+_LEAF = " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars")
+)
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0})::VARCHAR || ':' || {0} END"
+
+#: CRC-32 of short ASCII texts, bit by bit: eight steps for each byte.
+_CRC = """
+crc(k, i, c) AS (
+  SELECT DISTINCT doc_id::VARCHAR, 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT k, i + 1, list_reduce(list_prepend(xor(c, ascii(k[i + 1])::BIGINT), range(8)),
+    lambda x, s: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)
+  FROM crc WHERE i < length(k)),
+tampered AS (SELECT k FROM crc WHERE i = length(k) AND xor(c, 4294967295::BIGINT) % 5 = 0)
+"""
+
+# A node's key is tree, level and place; the lowest nodes of tree -1 are the subroots of trees 0, 1, ...
+_MERKLE = rf"""
+WITH RECURSIVE {_CRC},
+rows AS (
+  SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format('text')}) AS leaf,
+    CASE WHEN doc_id::VARCHAR IN (FROM tampered) THEN sha256({_LEAF} || {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed
+  FROM documents),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST)::BIGINT - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM rows),
+below(tree, level, idx, n, hash) AS (
+  SELECT tree, 0, idx, n, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, idx // {merkle.FAN}, (any_value(n) + {merkle.FAN - 1}) // {merkle.FAN}, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM below WHERE n > 1 GROUP BY tree, level, idx // {merkle.FAN}),
+subroots AS (SELECT tree, hash FROM below WHERE n = 1),
+above(level, idx, n, hash) AS (
+  SELECT 0, tree, (SELECT count(*) FROM subroots), hash FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // {merkle.FAN}, (any_value(n) + {merkle.FAN - 1}) // {merkle.FAN}, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM above WHERE n > 1 GROUP BY level, idx // {merkle.FAN}),
+nodes AS (
+  SELECT tree, level, idx, hash, tree AS up_tree, idx // {merkle.FAN} AS run FROM below WHERE n > 1
+  UNION ALL SELECT -1, level, idx, hash, -1, idx // {merkle.FAN} FROM above WHERE n > 1),
+steps(row, step, tree, level, idx, n) AS (
+  SELECT struct_pack(doc_id, leaf), 0, CASE WHEN n = 1 THEN -1 ELSE tree END, 0, CASE WHEN n = 1 THEN tree ELSE idx END,
+    CASE WHEN n = 1 THEN (SELECT count(*) FROM subroots) ELSE n END FROM (SELECT DISTINCT doc_id, leaf, tree, idx, n FROM leaves)
+  UNION ALL
+  SELECT row, step + 1, CASE WHEN tree >= 0 AND (n + 15) // 16 = 1 THEN -1 ELSE tree END,
+    CASE WHEN tree >= 0 AND (n + 15) // 16 = 1 THEN 0 ELSE level + 1 END, CASE WHEN tree >= 0 AND (n + 15) // 16 = 1 THEN tree ELSE idx // 16 END,
+    CASE WHEN tree >= 0 AND (n + 15) // 16 = 1 THEN (SELECT count(*) FROM subroots) ELSE (n + 15) // 16 END
+  FROM steps WHERE n > 1),
+segments AS (
+  SELECT s.row, s.step, coalesce(string_agg(x.hash, '' ORDER BY x.idx) FILTER (x.idx < s.idx), '') AS l,
+    coalesce(string_agg(x.hash, '' ORDER BY x.idx) FILTER (x.idx > s.idx), '') AS r
+  FROM steps s JOIN nodes x ON x.tree = s.tree AND x.level = s.level AND x.run = s.idx // 16 WHERE s.n > 1 GROUP BY ALL),
+proofs AS (SELECT row, list(struct_pack(l, r) ORDER BY step) AS p, string_agg(l || r, '' ORDER BY step) AS siblings FROM segments GROUP BY row),
+folded(doc_id, leaf, subroot, siblings, p, i, acc) AS (
+  SELECT doc_id, leaf, s.hash, coalesce(siblings, ''), coalesce(p, []), 0, coalesce(changed, leaf)
+  FROM leaves JOIN subroots s USING (tree) LEFT JOIN proofs ON row = struct_pack(doc_id, leaf)
+  UNION ALL
+  SELECT doc_id, leaf, subroot, siblings, p, i + 1, sha256(p[i + 1].l || acc || p[i + 1].r) FROM folded WHERE i < len(p)),
+root AS (SELECT hash AS root FROM above WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM folded, root WHERE i = len(p)
+"""
+
+_AUDIT = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+marked AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+rows AS (
+  SELECT part, [('A', len(w) < {audit.LEAST_WORDS}), ('B', 100 * list_unique(w) < {audit.LEAST_DISTINCT} * len(w)),
+    ('C', 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {audit.MOST_CAPITALS} * length(text)),
+    ('D', regexp_matches(text, '[{audit.MARKS}]')), ('E', coalesce(doc_id > first, false))] AS checked, good, toxic
+  FROM texts LEFT JOIN marked USING (doc_id)),
+failing AS (SELECT part, list_transform(list_filter(checked, lambda c: c[2]), lambda c: c[1]) AS fails, good, toxic FROM rows),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+counted AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter,
+    coalesce(sum(n) FILTER (len(list_intersect(fails, string_split(filter_order[:step], ''))) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (here), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (list_contains(fails, filter_order[step]) AND NOT here), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = [filter_order[step]]), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (here), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here), 0)::BIGINT AS toxic_lost
+  FROM (SELECT *, list_contains(fails, filter_order[step])
+      AND len(list_intersect(fails, string_split(filter_order[:step - 1], ''))) = 0 AS here FROM cells, steps)
+  GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM counted
+"""
+
 ORACLE: dict[str, str] = {
     "op3_licence_scan": _LICENCES,
     "op7_source_mixing": _MIXING,
     "op8_jaccard_join": _JACCARD,
     "op10_decontamination": _CONTAMINATION,
+    "op12_merkle_manifest": _MERKLE,
+    "op13_filter_audit": _AUDIT,
 }
