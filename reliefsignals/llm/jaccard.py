@@ -16,14 +16,16 @@ is empty and linked with nothing. Two documents link when
    shares most keys with. A block's hub is its node with the smallest share of unshared
    shingles, for copies with edits resemble their origin more than each other. Components are
    formed; what is left are blocks that hold several.
-5. In each of those, shingles are hashed into ``GROUPS`` groups; the counts per group are a
-   point, and a packed R-tree holds the points. The summed coordinate minima of two points or
-   boxes bound the overlap from above; pairs of boxes that cannot reach the threshold, or lie
-   in one component, are pruned together.
+5. In each of those, shingles are hashed into groups, about as many as the set has shingles; the
+   counts per group are a point, and a packed R-tree holds the points of a block. The summed
+   coordinate minima of two points or boxes bound the overlap from above; pairs of boxes that
+   cannot reach the threshold, or lie in one component, are pruned together. Sets without a
+   common shingle have half of the bound that a link needs, whatever their size. A block of
+   many nodes is cut by size and dealt out by pairs of parts (``_dealt``).
 6. Surviving pairs are verified on whole sets and components joined.
 
-The R-tree is built per block because over a whole corpus its boxes overlap too much in
-``GROUPS`` dimensions to prune anything. No step limits partners or candidates.
+The R-tree is built per block because over a whole corpus its boxes overlap too much in so many
+dimensions to prune anything. No step limits partners or candidates.
 
 Null texts are empty. Repeated rows and equal sets share a class. A null id takes part and is
 never a component's id unless all its ids are null. An empty table gives no rows.
@@ -50,10 +52,13 @@ PERCENT = 75
 FREQUENT = 64
 #: Size of each of the two filters, 8 MB.
 BITS = 26
-GROUPS = 256
+#: Groups of the count vector of a small set; others have the power of two from their size on.
+LEAST_GROUPS = 64
 LEAF = 16
-#: Blocks are dealt to tasks by ranges of their keys' hashes.
-BLOCK_RANGES = 512
+#: Nodes that are compared in one place; a block of more is dealt out by pairs of its parts.
+PART_NODES = 1_000
+#: Rows of blocks that a task gets, about.
+TASK_ROWS = 2_000
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -74,6 +79,23 @@ def node_of(values: np.ndarray) -> int:
     return int(blocks.mixed(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def groups_of(n: int) -> int:
+    """Length of the count vector of a set of ``n``: about one shingle in a group, whatever the size."""
+    return max(LEAST_GROUPS, 1 << (n - 1).bit_length())
+
+
+def _kind(n: int) -> type:
+    """The smallest integers that no count of a set of ``n`` exceeds."""
+    return np.uint8 if n < 1 << 8 else np.uint16 if n < 1 << 16 else np.uint32
+
+
+def count_vector(values: np.ndarray) -> bytes:
+    """Counts per group, compressed: most are 0 or 1, so a group takes about two bits on its way."""
+    groups = groups_of(len(values))
+    counts = np.bincount((values & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return repeats.planes(counts.astype(_kind(len(values))))
+
+
 def _marks(documents: DataFrame, ranges: int) -> DataFrame:
     """A row per document (id, set size, node), and rows with packed shingles."""
     schema = pa.schema(
@@ -106,7 +128,7 @@ def _candidate_sets(documents: DataFrame, sent: Broadcast) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_shared, is_frequent = sent.value
+        is_shared, is_frequent = map(repeats.Repeated.of, sent.value)
         for batch in blocks.slices(batches):
             rows: dict[int, tuple] = {}
             for s in shingle_sets(batch.column(0)):
@@ -116,8 +138,7 @@ def _candidate_sets(documents: DataFrame, sent: Broadcast) -> DataFrame:
                 node = node_of(s)
                 if node not in rows:
                     order = np.argsort(known.astype(np.int8) + is_frequent.contains(s), kind="stable")
-                    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                    rows[node] = (node, len(s), int((~known).sum()), counts.astype(np.uint32).tobytes(), s[order].view(np.int64))
+                    rows[node] = (node, len(s), int((~known).sum()), count_vector(s), s[order].view(np.int64))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows.values()), kind.types)], schema=kind)
 
@@ -143,9 +164,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.withColumn("shared", shared).filter(linked(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def overlapping(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, int]]:
+def overlapping(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, own: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """Pairs of rows of different groups whose bound reaches the threshold, by a packed R-tree.
 
+    With ``own``, pairs of which neither row has that mark are left out.
+
     A link needs an intersection of ``PERCENT / (100 + PERCENT)`` of both sizes together; the
     summed minima of two count vectors are at least the intersection.
     """
@@ -183,6 +206,8 @@ def overlapping(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> It
             bound = np.minimum(counts[r][:, None, :], counts[s][None, :, :]).sum(axis=2)
             n, m = sizes[r][:, None], sizes[s][None, :]
             good = ((100 + PERCENT) * bound >= PERCENT * (n + m)) & (groups[r][:, None] != groups[s][None, :])
+            if own is not None:
+                good &= own[r][:, None] | own[s][None, :]
             if x is y:
                 good = np.triu(good, 1)
             for i, j in zip(*np.nonzero(good)):
@@ -196,23 +221,70 @@ def overlapping(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> It
             stack += [(x, c) for c in y[5]]
 
 
-def _surviving_pairs(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of different components from blocks of ``key, node, component, n, counts``."""
+def near_pairs(vectors: list[bytes], sizes: np.ndarray, groups: np.ndarray) -> Iterator[tuple[int, int]]:
+    """``overlapping`` for sets whose count vectors have their own lengths.
+
+    Linked sets differ in size by a third at most, so in length by a factor of two. The longer
+    vector is folded, which adds up groups that fall into one: the sets of one length are indexed
+    with those of the next, folded, and pairs of the latter are left to their own length.
+    """
+    lengths = np.array([groups_of(int(n)) for n in sizes])
+
+    def folded(i: int, length: int) -> np.ndarray:
+        v = repeats.from_planes(vectors[i], _kind(int(sizes[i]))).astype(np.int32)
+        return v if len(v) == length else v[:length] + v[length:]
+
+    for length in np.unique(lengths):
+        rows = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+        own = lengths[rows] == length
+        if len(rows) < 2 or (groups[rows] == groups[rows[0]]).all():
+            continue
+        points = np.stack([folded(i, length) for i in rows])
+        for i, j in overlapping(points, sizes[rows], groups[rows], own):
+            yield int(rows[i]), int(rows[j])
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members ``key, node, n, m`` and more in cells ``key, lo, hi``, where their pairs are compared.
+
+    A block of ``m`` nodes up to ``PART_NODES`` is one cell. A larger one is cut by size, for
+    linked sets are a step of sizes apart at most, then at random: each pair of parts is a cell.
+    A cell holds two parts at most, so no task holds the block.
+    """
+    small, large = members.filter(F.col("m") <= PART_NODES), members.filter(F.col("m") > PART_NODES)
+    whole = F.lit(0).cast("long")
+    step = F.floor(F.log("n") / F.log(F.lit(100.0 / PERCENT)) + F.lit(1e-9))
+    stepped = large.withColumn("step", step)
+    many = stepped.groupBy("key", F.col("step").alias("cut")).agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_NODES)).alias("parts"))
+    # A set goes to the step of its size as one of its own and to the next as a guest.
+    visits = stepped.withColumn("cut", F.explode(F.array("step", F.col("step") + 1))).join(many, ["key", "cut"])
+    part = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    visits = visits.withColumn("part", part).withColumn("other", other).withColumn("guest", F.col("cut") != F.col("step"))
+    lo = F.when(F.col("guest"), F.col("other")).otherwise(F.least("part", "other"))
+    hi = F.when(F.col("guest"), F.col("other")).otherwise(F.greatest("part", "other"))
+    base = (F.col("cut") + 1) * F.lit(1 << 32)
+    spread = visits.select(*members.columns, (base + lo).alias("lo"), (base + hi).alias("hi"))
+    return small.select("*", whole.alias("lo"), whole.alias("hi")).unionByName(spread)
+
+
+def _surviving_pairs(members: DataFrame, ranges: int) -> DataFrame:
+    """Pairs ``a, b`` of different components from blocks of ``key, node, component, n, m, counts``."""
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "node"], kind="stable")
+        group = group.sort_values(["key", "lo", "hi", "node"], kind="stable")
         nodes, found = group["node"].to_numpy(np.int64), set()
-        counts = np.frombuffer(b"".join(group["counts"]), np.uint32).reshape(-1, GROUPS).astype(np.int32)
+        vectors = group["counts"].tolist()
         sizes, parts = group["n"].to_numpy(np.int64), group["component"].to_numpy(np.int64)
-        keys = group["key"].to_numpy(np.int64)
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        cells = group[["key", "lo", "hi"]].to_numpy(np.int64)
+        edges = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1), [True])))
         for low, high in zip(edges[:-1], edges[1:]):
-            for i, j in overlapping(counts[low:high], sizes[low:high], parts[low:high]):
+            for i, j in near_pairs(vectors[low:high], sizes[low:high], parts[low:high]):
                 a, b = nodes[low + i], nodes[low + j]
                 found.add((min(a, b), max(a, b)))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
 
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(BLOCK_RANGES)))
+    dealt = _dealt(members).withColumn("block", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(ranges)))
     return dealt.groupBy("block").applyInPandas(join, "a bigint, b bigint").distinct()
 
 
@@ -224,7 +296,7 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
     passed = written(spark, _marks(slim, ranges), "marks")
     marks = passed.filter("range is null").select("doc_id", "n", "node")
     shared, frequent = repeats.repeated(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT), BITS)
-    sent = spark.sparkContext.broadcast((shared, frequent))
+    sent = spark.sparkContext.broadcast((shared.plain(), frequent.plain()))
     del shared, frequent
     firsts = marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")).filter("node IS NOT NULL AND m > 1")
     shared_nodes = marks.join(firsts, "node").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
@@ -247,11 +319,15 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
     near = written(spark, _verified(centre, sets), "near")
     parts = written(spark, components(spark, near), "parts")
 
-    of_node = sets.select("node", "counts").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_node = sets.select("node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = keys.join(of_node.select("node", "component"), "node")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    members = placed.join(several, "key").join(of_node.select("node", "counts"), "node")
-    pairs = written(spark, _surviving_pairs(members), "pairs")
+    several = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")
+    ).filter("low != high")
+    several = written(spark, several.select("key", "m"), "several")
+    rows = several.agg(F.sum("m")).first()[0] or 0
+    members = placed.join(several, "key").join(sets.select("node", "counts"), "node")
+    pairs = written(spark, _surviving_pairs(members, max(1, -(-rows // TASK_ROWS))), "pairs")
     links = near.union(_verified(pairs, sets))
     whole = components(spark, links)
 

@@ -61,6 +61,64 @@ def test_classes_equal_brute_force(spark, monkeypatch, frequent):
     assert found == brute(rows)
 
 
+def test_near_pairs_of_sets_of_all_sizes():
+    """Every pair that links is found, pairs of unrelated sets are not, whatever their size."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in [1, 3, 5, 40, 60, 64, 65, 90, 200, 255, 256, 300, 6000]:
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for share in (1.0, 0.96, 0.8):
+            kept = base[: max(1, int(np.ceil(share * n)))]
+            sets.append(np.unique(np.concatenate((kept, rng.integers(0, 2**63, n // 20).astype(np.uint64)))))
+    sizes = np.array([len(s) for s in sets])
+    vectors, groups = [jaccard.count_vector(s) for s in sets], np.arange(len(sets))
+    found = {tuple(sorted(p)) for p in jaccard.near_pairs(vectors, sizes, groups)}
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+            assert (i, j) in found
+        elif not both and min(sizes[i], sizes[j]) >= 40:
+            assert (i, j) not in found
+
+
+def chained(seed, bases=12, steps=25):
+    """Texts that walk away from their origin a few words at a time, and share passages with all others."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(40)]
+    rows, i = [], 0
+    for b in range(bases):
+        words = [f"b{b}w{rng.randrange(60)}" for _ in range(rng.choice([70, 90, 120]))]
+        for _ in range(steps):
+            rows.append((i, " ".join(words + passage)))
+            i += 1
+            words = list(words)
+            words[rng.randrange(len(words))] = f"c{rng.randrange(9)}"
+    return rows
+
+
+def test_hot_blocks_are_dealt_out_and_lose_no_link(spark, monkeypatch):
+    """Blocks of 300 nodes in parts of 20: same links, and each pair of parts in a place of its own."""
+    monkeypatch.setattr(jaccard, "PART_NODES", 20)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 50)
+    rows = chained(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {tuple(r) for r in jaccard.classes(spark, docs).collect()} == brute(rows)
+
+
+def test_every_pair_of_a_dealt_block_shares_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_NODES", 10)
+    rng = random.Random(2)
+    rows = [(1, node, rng.choice([3, 4, 50, 60, 66, 67, 80, 88, 89, 400]), 150) for node in range(150)]
+    cells = {}
+    for r in jaccard._dealt(spark.createDataFrame(rows, "key long, node long, n int, m long")).collect():
+        cells.setdefault((r.key, r.lo, r.hi), set()).add(r.node)
+    size = {node: n for _, node, n, _ in rows}
+    for a, b in itertools.combinations(size, 2):
+        if 100 * min(size[a], size[b]) >= 75 * max(size[a], size[b]):
+            assert any({a, b} <= cell for cell in cells.values())
+    assert max(map(len, cells.values())) <= 80
+
+
 def test_overlapping_finds_every_pair_within_the_bound():
     rng = np.random.default_rng(3)
     counts = np.concatenate([rng.poisson(4, (120, 8)), np.repeat(rng.poisson(4, (3, 8)), 15, axis=0)])
