@@ -77,6 +77,16 @@ class Repeated:
         self.bits, self.width = ranges.bit_length() - 1, width
         self.marks = np.zeros(ranges << (width - 3), np.uint8)
 
+    def plain(self) -> tuple[int, int, np.ndarray]:
+        """What ``of`` makes the same filter from: workers need no class of this package to read it."""
+        return 1 << self.bits, self.width, self.marks
+
+    @classmethod
+    def of(cls, plain: tuple[int, int, np.ndarray]) -> Repeated:
+        one = cls.__new__(cls)
+        one.bits, one.width, one.marks = plain[0].bit_length() - 1, plain[1], plain[2]
+        return one
+
     def fill(self, number: int, part: bytes) -> None:
         size = 1 << (self.width - 3)
         self.marks[number * size : (number + 1) * size] = np.frombuffer(part, np.uint8)

@@ -169,6 +169,7 @@ def _suffix_runs(originals: DataFrame, sent: Broadcast, ranges: int, parts_of_do
     schema = pa.schema([("range", pa.int32()), *[(x, pa.binary()) for x in ("docs", "each", "starts", "counts", "texts")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_repeated = repeats.Repeated.of(sent.value)
         for batch in blocks.slices(batches):
             ids, parts = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), []
             for first, data, offsets in _runs(batch.column(1)):
@@ -176,7 +177,7 @@ def _suffix_runs(originals: DataFrame, sent: Broadcast, ranges: int, parts_of_do
                     continue
                 grams, known = _padded(data, NAME), np.zeros(len(data) + PERIOD, np.int32)
                 at = np.flatnonzero(_sample(offsets))
-                known[at] = sent.value.contains(grams[at])
+                known[at] = names_repeated.contains(grams[at])
                 total = np.concatenate(([0], np.cumsum(known, dtype=np.int32)))
                 near = total[PERIOD : PERIOD + len(data)] - total[: len(data)] > 0
                 at = np.flatnonzero(near & _room(offsets, WINDOW))
@@ -269,7 +270,7 @@ def repeated_spans(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
     ranges = repeats.ranges_for(slim)
     (found,) = repeats.repeated(_sampled_names(originals.select("text"), ranges), ranges, (2,))
-    sent = spark.sparkContext.broadcast(found)
+    sent = spark.sparkContext.broadcast(found.plain())
     del found
     parts = max(16, ranges // 8)
     runs = _suffix_runs(originals.select("doc_id", "text"), sent, ranges, parts)
