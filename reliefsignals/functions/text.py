@@ -42,8 +42,9 @@ _FOLD_TO = "".join(f for c, f in _FOLDS.items() if c not in _LONG_FOLDS)
 _FOLD_SUSPECTS = (
     r"[\x7f-\uffff&&[\u00b5\u017f\u0345-\u03f5\u13f8-\u13fd\u1c80-\u1e9b\u1fbe\uab70-\uabbf]]"
 )
-# The sharp s is common and replaced without a test; texts with another one are few.
-_LONG_SUSPECTS = "[" + "".join(c for c in _LONG_FOLDS if c != "ß") + "]"
+# The sharp s is common and replaced without a test; texts with another one are few. The range
+# lets most characters leave at the first test, for single ones are tested one by one.
+_LONG_SUSPECTS = r"[\u0149-\uffff&&[" + "".join(c for c in _LONG_FOLDS if c != "ß") + "]]"
 
 
 def strip(c: Column) -> Column:
