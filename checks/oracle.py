@@ -135,6 +135,8 @@ gp AS (SELECT province, avg(lat) AS lat, avg(lon) AS lon FROM gaz GROUP BY ALL)"
 PICKED = """date BETWEEN '2024-01-04' AND '2024-01-20' AND province IN ('ASIA', 'EUROPE', 'MIDDLE EAST')
   AND urgency_score >= 1 AND pred_saglik + pred_altyapi + pred_guvenlik > 0"""
 
+PLACES_ONLY = "date BETWEEN '2024-01-04' AND '2024-01-20' AND province IN ('ASIA', 'EUROPE', 'MIDDLE EAST')"
+
 PLACE = ("province", "district", "neighborhood")
 MODE_SIGNAL = {
     "count_rows": ("CAST(count(*) AS DOUBLE)", "TRUE"),
@@ -535,6 +537,21 @@ ORACLE: dict[str, str] = {
   WHERE contains(replace(lower(text), chr(223), 'ss'), 'esse')""",
     "filter_search_ligatures": """SELECT s AS search, CAST(doc_id AS VARCHAR) AS id FROM documents, (VALUES ('fi'), ('ss')) AS v(s)
   WHERE contains(replace(lower(text), chr(223), 'ss'), s)""",
+    "filter_search_published": """SELECT s AS search, CAST(doc_id AS VARCHAR) AS id
+  FROM documents, (VALUES ('EßE', 'esse'), ('apache license', 'apache license'),
+    ('licensed under the apache', 'licensed under the apache'), ('555-', '555-')) AS v(s, needle)
+  WHERE contains(replace(lower(text), chr(223), 'ss'), needle)""",
+    "hotspots_published": over_signals(
+        f"SELECT {POINT_COLUMNS} FROM ranked",
+        cell_cte("neighborhood", "count_any_need", PLACES_ONLY), GAZ, located_cte("neighborhood"), ranked_cte("neighborhood"),
+    ),
+    "summary_published": over_signals(SUMMARY.replace(PICKED, PLACES_ONLY), LC.replace(PICKED, PLACES_ONLY)),
+    "replaced_days": over_signals(
+        DAILY.format(where="TRUE").replace("FROM signals", "FROM replaced"),
+        """replaced AS (
+  SELECT * REPLACE (urgency_score + CASE WHEN date BETWEEN '2024-01-10' AND '2024-01-12' THEN 8 ELSE 0 END AS urgency_score)
+  FROM signals WHERE date NOT BETWEEN '2024-01-10' AND '2024-01-12' OR CAST(id AS BIGINT) % 3 > 0)""",
+    ),
     "filter_search_regex": """SELECT conv_id || '-' || turn AS id FROM conversations
   WHERE regexp_matches(lower(text), '(é|e)[a-z]*on[ .]')""",
     "filter_any_need": over_signals("SELECT id FROM signals WHERE pred_any_need = 1"),

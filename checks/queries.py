@@ -41,7 +41,8 @@ from reliefsignals.operators.prepare import (
 from reliefsignals.plans.overview import overview
 from reliefsignals.schema import Dataset, discover_schema
 from reliefsignals.sources.gazetteer import load_gazetteer
-from reliefsignals.sources.predictions import load_predictions, publish_predictions, read_published
+from reliefsignals.sources.predictions import load_predictions, publish_predictions, read_published, replace_days
+from reliefsignals.sources.search import narrowed
 from reliefsignals.streaming.hourly import append_to, open_stream, replay_hourly_signals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -334,6 +335,52 @@ def q_hotspots_known_hour(spark: SparkSession, sf: str) -> DataFrame:
     return hot.hotspots(read_published(spark, folder), A.geo_index(spark, sf), hour="2024-01-10T05:00:00", level="neighborhood")
 
 
+def _published(spark: SparkSession, dataset: Dataset, search: bool = False) -> Dataset:
+    folder = A.folder(A.configure(spark), "published")
+    publish_predictions(dataset, folder, search=search)
+    return read_published(spark, folder)
+
+
+PLACES_ONLY = Filters(start_date=PICKED.start_date, end_date=PICKED.end_date, provinces=PICKED.provinces)
+
+
+def q_hotspots_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Answered by the stored sums: no message is read."""
+    ds = _published(spark, A.signals(spark, sf))
+    return hot.hotspots_timeline(ds, A.geo_index(spark, sf), PLACES_ONLY, level="neighborhood")
+
+
+def q_summary_published(spark: SparkSession, sf: str) -> DataFrame:
+    return agg.summary(_published(spark, A.signals(spark, sf)), PLACES_ONLY)
+
+
+def q_replaced_days(spark: SparkSession, sf: str) -> DataFrame:
+    """A published table of which three days were published anew, with more urgency and fewer messages."""
+    folder, ds = A.folder(A.configure(spark), "published"), A.signals(spark, sf)
+    publish_predictions(ds, folder)
+    some = ds.frame.where("date BETWEEN '2024-01-10' AND '2024-01-12' AND cast(id AS bigint) % 3 > 0")
+    replace_days(replace(ds, frame=some.withColumn("urgency_score", F.col("urgency_score") + 8.0)), folder)
+    return agg.temporal_daily(read_published(spark, folder))
+
+
+SEARCHED = ("EßE", "apache license", "licensed under the apache", "555-")
+
+
+def q_filter_search_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of a published table that hold common and rare words, found by block signatures."""
+    docs = A.table(spark, sf, "documents")
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 60).cast("timestamp_ntz")
+    texts = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("tweet_clean"), at.alias("created_at_local"),
+        F.date_format(at, "yyyy-MM-dd").alias("date"),
+    )
+    ds, parts = _published(spark, Dataset.of(texts), search=True), []
+    for s in SEARCHED:
+        near = narrowed(ds, Filters(search=s))
+        parts.append(apply_filters(near.frame, near.schema, Filters(search=s)).select(F.lit(s).alias("search"), "id"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 def q_provenance_published(spark: SparkSession, sf: str) -> DataFrame:
     """Declared figures travel with a published table."""
     folder = A.folder(A.configure(spark), "published")
@@ -580,7 +627,11 @@ QUERIES: dict[str, Query] = {
     "filter_labels_all": filtered(Filters(labels=("gida_su", "altyapi"), label_mode="ALL")),
     "filter_search": q_filter_search,
     "filter_search_ligatures": q_filter_search_ligatures,
+    "filter_search_published": q_filter_search_published,
     "filter_search_regex": q_filter_search_regex,
+    "hotspots_published": q_hotspots_published,
+    "summary_published": q_summary_published,
+    "replaced_days": q_replaced_days,
     "filter_any_need": filtered(Filters(any_need=True)),
     "filter_hour": q_filter_hour,
     "filter_during": q_filter_during,

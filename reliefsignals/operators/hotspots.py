@@ -20,7 +20,7 @@ from reliefsignals.functions.text import collapse_whitespace
 from reliefsignals.operators.aggregates import Source, hour_preference
 from reliefsignals.operators.filters import Filters, apply_filters, during
 from reliefsignals.operators.geocode import LEVELS, GeoIndex, geocode
-from reliefsignals.operators.measures import Measures, compact, measure
+from reliefsignals.operators.measures import Measures, answered_by_sums, compact, measure
 from reliefsignals.schema import Dataset
 
 MODES = ("count_rows", "count_any_need", "sum_urgency")
@@ -168,9 +168,11 @@ def hour_cells(
 
     A requested hour of messages is looked for first, in its own range of time alone and
     up to the first match.  If there is one, only that range is read; every hour is summed
-    only where none was requested or the requested one has no message.
+    only where none was requested or the requested one has no message.  Stored sums, where they
+    answer, are small enough to be read at once.
     """
-    if hour is not None and isinstance(source, Dataset) and "created_at_local" in source.frame.columns:
+    by_range = isinstance(source, Dataset) and not answered_by_sums(source, filters)
+    if hour is not None and by_range and "created_at_local" in source.frame.columns:
         one = during(source, hour) if _is_hour(hour) else None
         if one is not None and not apply_filters(one.frame, one.schema, filters).isEmpty():
             return cells(one, filters, keys, mode)

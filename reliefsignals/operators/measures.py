@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from reliefsignals.functions.clock import hour_start
 from reliefsignals.functions.places import PLACE_COLUMNS
 from reliefsignals.operators.filters import Filters, apply_filters, date_value
-from reliefsignals.schema import Dataset
+from reliefsignals.schema import Dataset, Published
+from reliefsignals.sources.search import narrowed
 
 KEYS = ("date_value", "hour", *PLACE_COLUMNS)
 
@@ -47,10 +48,43 @@ class Measures:
         return {x: self.flag(x) for x in self.dataset.schema.flagged}
 
 
+def answered_by_sums(source: Dataset | Measures, filters: Filters | None) -> bool:
+    """Whether the stored sums of a published table give the measures under these filters.
+
+    They do where the filters ask for days and places only: these are keys of the sums.  Labels,
+    urgency, need and text are properties of single messages.
+    """
+    if not isinstance(source, Published) or source.sums is None or not source.untouched:
+        return False
+    f = filters or Filters()
+    return not (f.labels or f.any_need or f.search_regex or (f.search or "").strip()) and f.urgency_min is None
+
+
+def _from_sums(source: Published, filters: Filters | None, whole: bool) -> Measures:
+    f, sums = filters or Filters(), source.sums
+    named = sums.withColumnRenamed("date_value", "date")
+    terms = f.terms(named, source.schema)
+    if whole:
+        matched = F.lit(True)
+        for term in terms:
+            matched = matched & term
+        return Measures(named.withColumn("matched", F.coalesce(matched, F.lit(False))).withColumnRenamed("date", "date_value"), source, True)
+    for term in terms:
+        named = named.where(term)
+    return Measures(named.withColumn("matched", F.lit(True)).withColumnRenamed("date", "date_value"), source, False)
+
+
 def measure(source: Dataset | Measures, filters: Filters | None = None, *, whole: bool = False) -> Measures:
-    """Message-level measures; with ``whole`` the filters only mark rows."""
+    """The measures of messages; with ``whole`` the filters only mark rows.
+
+    Of a published table, sums are taken in the place of messages where they can answer.
+    """
     if isinstance(source, Measures):
         return source
+    if answered_by_sums(source, filters):
+        return _from_sums(source, filters, whole)
+    if not whole:
+        source = narrowed(source, filters)
     df, schema = source.frame, source.schema
     matched = F.lit(True)
     if whole and filters is not None:
@@ -91,3 +125,9 @@ def compact(m: Measures, keys: Sequence[str]) -> Measures:
         *[F.sum(c).alias(c) for c in sums], F.max("urgency_top").alias("urgency_top")
     )
     return Measures(frame if m.whole else frame.withColumn("matched", F.lit(True)), m.dataset, m.whole)
+
+
+def summed(dataset: Dataset) -> DataFrame:
+    """The table of sums that is published beside the messages: one row per hour and place."""
+    messages = Dataset(dataset.frame, dataset.schema, dataset.metadata, dataset.name, dataset.kind)
+    return compact(measure(messages), KEYS).frame.drop("matched")

@@ -10,6 +10,7 @@ from reliefsignals.functions.labels import label_names, row_labels
 from reliefsignals.functions.text import collapse_whitespace, ellipsize, strip
 from reliefsignals.operators.filters import Filters, apply_filters
 from reliefsignals.schema import Dataset
+from reliefsignals.sources.search import narrowed
 
 
 def _urgency() -> Column:
@@ -28,7 +29,7 @@ def top_messages(dataset: Dataset, filters: Filters | None = None, limit: int =
     """The ``limit`` most urgent messages with cleaned text, their labels and the labels' names."""
     if limit <= 0:
         raise ValueError(f"limit must be positive, not {limit}")
-    df = apply_filters(dataset.frame, dataset.schema, filters)
+    df = apply_filters(narrowed(dataset, filters).frame, dataset.schema, filters)
     top = df.orderBy(*_most_urgent(df, "pred_label_count")).limit(limit)
 
     def text(name: str) -> Column:
@@ -48,7 +49,7 @@ def top_messages(dataset: Dataset, filters: Filters | None = None, limit: int =
 
 def ticker(dataset: Dataset, filters: Filters | None = None, n: int = fv.TICKER_ITEMS) -> DataFrame:
     """Short one-line items: the ``n`` most urgent messages that have a text."""
-    df = apply_filters(dataset.frame, dataset.schema, filters)
+    df = apply_filters(narrowed(dataset, filters).frame, dataset.schema, filters)
     if "tweet_clean" not in df.columns:
         return df.where(F.lit(False)).select(*[F.lit("").alias(c) for c in ("id", "text", "province")])
     order = _most_urgent(df)
@@ -65,7 +66,7 @@ def ticker(dataset: Dataset, filters: Filters | None = None, n: int = fv.TICKER_
 
 def message_list(dataset: Dataset, filters: Filters | None = None, n: int = fv.MESSAGE_LIST_ROWS) -> DataFrame:
     """The first ``n`` messages by id with the display columns and the label flags."""
-    df = apply_filters(dataset.frame, dataset.schema, filters)
+    df = apply_filters(narrowed(dataset, filters).frame, dataset.schema, filters)
     shown = ("date", "time", "province", "district", "neighborhood", "urgency_score", "tweet_clean")
     flags = [dataset.schema.pred[x] for x in dataset.schema.flagged]
     ordered = df.orderBy("id") if "id" in df.columns else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -90,3 +90,22 @@ class Dataset:
     def declared_positives(self, label: str) -> int | None:
         value = _named_map(self.metadata, "pred_positives").get(label)
         return None if value is None else int(value)
+
+
+@dataclass(frozen=True)
+class Published(Dataset):
+    """A published table: its messages, their sums per hour and place, and text signatures.
+
+    Sums and signatures stand for ``whole``, the frame of all messages; once ``frame`` is another
+    one (``during``, a projection), they are left alone.
+    """
+
+    whole: DataFrame | None = None
+    sums: DataFrame | None = None
+    signatures: DataFrame | None = None
+    #: The messages of some files only, by their names in the signatures.
+    of_files: Callable[[list[str]], DataFrame] | None = None
+
+    @property
+    def untouched(self) -> bool:
+        return self.frame is self.whole
