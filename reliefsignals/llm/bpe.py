@@ -169,7 +169,8 @@ def codec(spark: SparkSession, path: str) -> tuple[Callable[[Column], Column], C
         one = vocabulary().decode
         return pa.array([one(x.as_py() or b"") for x in ids], pa.string())
 
-    return F.arrow_udf(encode, "binary"), F.arrow_udf(decode, "string")
+    # Spark would evaluate a deterministic function once more for each column made from its result.
+    return F.arrow_udf(encode, "binary").asNondeterministic(), F.arrow_udf(decode, "string")
 
 
 def digests(spark: SparkSession, documents: DataFrame, path: str) -> DataFrame:
