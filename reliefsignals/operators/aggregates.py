@@ -290,8 +290,9 @@ def summary(source: Source, filters: Filters | None = None) -> DataFrame:
 def options(dataset: Dataset) -> DataFrame:
     """What a filter panel offers, as rows ``section, item, value``.
 
-    One scan: grouping sets give the distinct provinces, the distinct districts and the
-    overall ranges together.  Distinct values stay rows, however many there are.
+    One scan: messages are summed per place, and grouping sets over these sums give the
+    distinct provinces, the distinct districts and the overall ranges together.  Distinct
+    values stay rows, however many there are.
     """
     df = dataset.frame
     place = {c: strip(F.col(c).cast("string")) if c in df.columns else F.lit("") for c in ("province", "district")}
@@ -301,24 +302,25 @@ def options(dataset: Dataset) -> DataFrame:
         place["district"].alias("district"),
         date_value(df).alias("day"),
         urgency.alias("urgency"),
-        F.lit(1).cast("long").alias("weight"),
+    )
+    ranges_of = [F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.min("low").alias("low"), F.max("high").alias("high")]
+    places = base.groupBy("province", "district").agg(
+        F.count(F.lit(1)).alias("weight"),
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+        F.min("urgency").alias("low"),
+        F.max("urgency").alias("high"),
     )
     # One weightless row keeps the overall group alive for an empty table.
     nothing = df.sparkSession.range(1).select(
         F.lit("").alias("province"),
         F.lit("").alias("district"),
-        F.lit(None).cast("date").alias("day"),
-        F.lit(None).cast("double").alias("urgency"),
         F.lit(0).cast("long").alias("weight"),
+        *[F.lit(None).cast("date").alias(c) for c in ("first_day", "last_day")],
+        *[F.lit(None).cast("double").alias(c) for c in ("low", "high")],
     )
-    base = base.unionByName(nothing)
-    grouped = base.groupingSets([["province"], ["district"], []], "province", "district").agg(
-        F.grouping_id().alias("gid"),
-        F.sum("weight").alias("n"),
-        F.min("day").alias("first_day"),
-        F.max("day").alias("last_day"),
-        F.min("urgency").alias("low"),
-        F.max("urgency").alias("high"),
+    grouped = places.unionByName(nothing).groupingSets([["province"], ["district"], []], "province", "district").agg(
+        F.grouping_id().alias("gid"), F.sum("weight").alias("n"), *ranges_of
     )
     # gid: bit 2 = province summed away, bit 1 = district summed away.
     low, high = fv.URGENCY_RANGE_WHEN_EMPTY

@@ -58,6 +58,13 @@ def test_reports_scan_once(spark, tmp_path):
     assert initial(hot.all_levels(ds)).count("FileScan") == 1
 
 
+def test_options_expand_places_not_messages(spark, tmp_path):
+    """The rows that grouping sets multiply come from an aggregation, never from the scan itself."""
+    plan = initial(agg.options(published(spark, tmp_path)))
+    below = plan[plan.index("Expand") :]
+    assert below.index("HashAggregate") < below.index("FileScan") and below.index("Exchange hashpartitioning(province") < below.index("FileScan")
+
+
 def test_hour_choice_shares_the_aggregation(spark, tmp_path):
     ds = published(spark, tmp_path)
     index = A.geo_index(spark, SF)
