@@ -268,8 +268,11 @@ def _dealt(members: DataFrame) -> DataFrame:
     return small.select("*", whole.alias("lo"), whole.alias("hi")).unionByName(spread)
 
 
-def _surviving_pairs(members: DataFrame, ranges: int) -> DataFrame:
-    """Pairs ``a, b`` of different components from blocks of ``key, node, component, n, m, counts``."""
+def _surviving_pairs(members: DataFrame, ranges: int, most: int) -> DataFrame:
+    """Pairs ``a, b`` of different components from blocks of ``key, node, component, n, m, counts``.
+
+    ``most`` is the size of the largest block: where none is to be dealt out, the plan is spared that part.
+    """
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "lo", "hi", "node"], kind="stable")
@@ -284,7 +287,8 @@ def _surviving_pairs(members: DataFrame, ranges: int) -> DataFrame:
                 found.add((min(a, b), max(a, b)))
         return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
 
-    dealt = _dealt(members).withColumn("block", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(ranges)))
+    cells = _dealt(members) if most > PART_NODES else members.withColumns({x: F.lit(0).cast("long") for x in ("lo", "hi")})
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(ranges)))
     return dealt.groupBy("block").applyInPandas(join, "a bigint, b bigint").distinct()
 
 
@@ -325,9 +329,9 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")
     ).filter("low != high")
     several = written(spark, several.select("key", "m"), "several")
-    rows = several.agg(F.sum("m")).first()[0] or 0
+    rows, most = several.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     members = placed.join(several, "key").join(sets.select("node", "counts"), "node")
-    pairs = written(spark, _surviving_pairs(members, max(1, -(-rows // TASK_ROWS))), "pairs")
+    pairs = written(spark, _surviving_pairs(members, max(1, -(-rows // TASK_ROWS)), most), "pairs")
     links = near.union(_verified(pairs, sets))
     whole = components(spark, links)
 
