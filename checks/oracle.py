@@ -694,6 +694,11 @@ FROM talk WHERE line <> '' ORDER BY urgency DESC, id LIMIT 18""",
         """SELECT hour, province, count(*) AS n_rows, count(*) FILTER (pred_any_need = 1) AS n_need_rows,
   sum(urgency_score) AS urgency FROM signals GROUP BY hour, province"""
     ),
+    "stream_closed_hours": over_signals(
+        """SELECT hour, province, count(*) AS n_rows, count(*) FILTER (pred_any_need = 1) AS n_need_rows,
+  sum(urgency_score) AS urgency FROM signals GROUP BY hour, province"""
+    ),
+    "stream_hotspots": timeline_sql("district", "count_any_need", POINT_COLUMNS),
     "stream_clean": over_raw(f"SELECT {RAW_VIEW.format(text='tweet_clean')} FROM raw"),
     "score_batch": SCORE_BATCH,
     "apply_thresholds": over_plain(f"SELECT id, {PREDICTED_PLAIN} AS predicted FROM plain"),

@@ -43,7 +43,9 @@ from reliefsignals.schema import Dataset, discover_schema
 from reliefsignals.sources.gazetteer import load_gazetteer
 from reliefsignals.sources.predictions import load_predictions, publish_predictions, read_published, replace_days
 from reliefsignals.sources.search import narrowed
+from reliefsignals.streaming.closing import close_hours, hours_so_far
 from reliefsignals.streaming.hourly import append_to, open_stream, replay_hourly_signals
+from reliefsignals.streaming.ranking import current_ranking, rank_hourly
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -536,6 +538,25 @@ def q_stream_hourly_signals(spark: SparkSession, sf: str) -> DataFrame:
     return replay_hourly_signals(messages.select(*needed), folder)
 
 
+def q_stream_closed_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """The events in no order of time, through state that closes hours; late rows count."""
+    folder = A.folder(A.configure(spark), "closing")
+    messages = A.finish(A.signals_from(_event_stream(spark, sf, folder), A._places(spark, sf)))
+    needed = ("created_at_local", "province", "pred_any_need", "urgency_score")
+    close_hours(messages.select(*needed), folder).awaitTermination()
+    return hours_so_far(spark, folder).drop("late_rows", "open")
+
+
+def q_stream_hotspots(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranking of all hours after the last micro-batch; a compaction lies in between."""
+    folder = A.folder(A.configure(spark), "ranking")
+    messages = A.finish(A.signals_from(_event_stream(spark, sf, folder), A._places(spark, sf)))
+    needed = ("created_at_local", "province", "district", "pred_any_need", "urgency_score")
+    index = A.geo_index(spark, sf)
+    rank_hourly(messages.select(*needed), folder, index, level="district", compact_every=3).awaitTermination()
+    return current_ranking(spark, folder)
+
+
 def q_stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     folder = A.folder(A.configure(spark), "clean")
     cleaned = prepare(A.raw_cells_from(_event_stream(spark, sf, folder), A._places(spark, sf)))
@@ -687,6 +708,8 @@ QUERIES: dict[str, Query] = {
     "overview": q_overview,
     # streaming
     "stream_hourly_signals": q_stream_hourly_signals,
+    "stream_closed_hours": q_stream_closed_hours,
+    "stream_hotspots": q_stream_hotspots,
     "stream_clean": q_stream_clean,
     # scoring
     "score_batch": q_score_batch,

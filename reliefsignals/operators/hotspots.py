@@ -36,6 +36,12 @@ def checked_mode(mode: str) -> str:
     return mode if mode in MODES else DEFAULT_MODE
 
 
+def signal_of(mode: str) -> tuple[Column, Column]:
+    """Of a row of sums: its signal, and whether it belongs to the mode's result."""
+    signal = {"count_rows": "n_rows", "count_any_need": "n_need_rows", "sum_urgency": "urgency"}[mode]
+    return F.col(signal).cast("double"), F.col("n_need_rows") > 0 if mode == "count_any_need" else F.lit(True)
+
+
 def cells(source: Source, filters: Filters | None, keys: Sequence[str], mode: str) -> DataFrame:
     """One row per hour and place: ``n_rows, n_need_rows, signal, counts``.
 
@@ -48,14 +54,14 @@ def cells(source: Source, filters: Filters | None, keys: Sequence[str], mode: st
     if set(keys) - set(sums.columns):
         absent = {k: F.lit("") for k in set(keys) - set(sums.columns)}
         sums = sums.withColumns(absent).where(F.lit(False))
-    signal = {"count_rows": "n_rows", "count_any_need": "n_need_rows", "sum_urgency": "urgency"}[mode]
+    signal, counts = signal_of(mode)
     table = sums.select(
         "hour",
         *keys,
         "n_rows",
         "n_need_rows",
-        F.col(signal).cast("double").alias("signal"),
-        (F.col("n_need_rows") > 0 if mode == "count_any_need" else F.lit(True)).alias("counts"),
+        signal.alias("signal"),
+        counts.alias("counts"),
     )
     # True for every row.  It keeps all sums in use wherever the table is read, so that
     # both readers in a plan (hour choice and points) share one aggregation.

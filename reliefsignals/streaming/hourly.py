@@ -15,6 +15,7 @@ from reliefsignals.operators.geocode import LEVELS
 
 #: Files that one micro-batch reads at most.
 FILES_PER_TRIGGER = 64
+SUMS = ("n_rows", "n_need_rows", "urgency")
 
 
 def open_stream(
@@ -32,6 +33,12 @@ def _sums(grouped: GroupedData) -> DataFrame:
     )
 
 
+def hourly_sums(messages: DataFrame, level: str) -> DataFrame:
+    """Sums per hour and place of a batch frame; messages without a time are in no hour."""
+    timed = messages.where(F.col("created_at_local").isNotNull())
+    return _sums(timed.withColumn("hour", hour_text(hour_start(F.col("created_at_local")))).groupBy("hour", *LEVELS[level]))
+
+
 def hourly_signals(messages: DataFrame, level: str = "province", *, delay: str = "2 hours") -> DataFrame:
     """Row, need and urgency sums per wall-clock hour and place.
 
@@ -62,12 +69,9 @@ def sum_hourly(messages: DataFrame, folder: str, level: str = "province") -> Str
     what an interrupted attempt may have left, so every message counts once.  Messages may
     come in any order and at any time: there is no state between batches and no watermark.
     """
-    keys = ("hour", *LEVELS[level])
 
     def add(batch: DataFrame, number: int) -> None:
-        timed = batch.where(F.col("created_at_local").isNotNull())
-        hourly = timed.withColumn("hour", hour_text(hour_start(F.col("created_at_local"))))
-        _sums(hourly.groupBy(*keys)).write.mode("overwrite").parquet(f"{folder}/sums/batch={number}")
+        hourly_sums(batch, level).write.mode("overwrite").parquet(f"{folder}/sums/batch={number}")
 
     writer = messages.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state")
     return writer.trigger(availableNow=True).start()
@@ -77,7 +81,7 @@ def summed_hourly(spark: SparkSession, folder: str, level: str = "province") ->
     """Hourly signals over everything ``sum_hourly`` has added so far."""
     keys = ("hour", *LEVELS[level])
     sums = spark.read.parquet(f"{folder}/sums")
-    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_rows", "n_need_rows", "urgency")])
+    return sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def replay_hourly_signals(messages: DataFrame, folder: str, level: str = "province") -> DataFrame:

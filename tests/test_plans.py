@@ -31,7 +31,7 @@ def published(spark, tmp_path):
 
 
 def test_only_text_composition_and_models_use_python(spark):
-    streams = {"stream_clean", "stream_hourly_signals", "load_predictions", "publish_predictions", "load_gazetteer"}
+    streams = {"stream_clean", "stream_hourly_signals", "stream_closed_hours", "stream_hotspots", "load_predictions", "publish_predictions", "load_gazetteer"}
     streams |= {"overview", "hotspots_known_hour", "provenance_published"}
     streams |= {"filter_search_published", "hotspots_published", "summary_published", "replaced_days"}
     for name in set(QUERIES) - PYTHON_QUERIES - streams:
