@@ -68,6 +68,54 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.assignments(spark, docs.limit(3)).count() == 3
 
 
+def named(spark, n=4000):
+    """Sources that share their first letters, one of which holds a third of all rows."""
+    rows = []
+    for i in range(n):
+        source = None if i % 50 == 0 else "common_crawl_00" if i % 3 == 0 else f"common_crawl_{i * 7 % 12:02d}"
+        rows.append((i if i % 41 else None, "w" * (i * i % 997), ["en", "de", "tr", None][i % 4], source))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_order_equals_brute_force(spark):
+    docs = named(spark)
+    rows = [(r.doc_id, r.source, r.lang, len(r.text)) for r in docs.collect()]
+
+    def text_steps(column):
+        values = sorted((r[column] for r in rows), key=lambda v: (v is not None, v or ""))
+        steps = {v: values.index(v) * 16 // len(values) if v is not None else 0 for v in set(values)}
+        used = sorted(set(steps.values()) | {0})
+        return {v: used.index(step) for v, step in steps.items()}
+
+    sizes = sorted(r[3] for r in rows)
+    cuts = {sizes[math.ceil((i + 1) / 16 * len(sizes)) - 1] for i in range(15)}
+    of_source, of_lang = text_steps(1), text_steps(2)
+    expected = Counter((sharding.hilbert_index((of_source[s], of_lang[x], sum(n > c for c in cuts)), 4), -1 if i is None else i) for i, s, x, n in rows)
+    found = sharding.sharded(spark, docs).orderBy("shard", "slot").collect()
+    seen = [(sharding.hilbert_index((of_source[r.source], of_lang[r.lang], sum(len(r.text) > c for c in cuts)), 4), r) for r in found]
+    assert Counter((h, -1 if r.doc_id is None else r.doc_id) for h, r in seen) == expected
+    assert [h for h, _ in seen] == sorted(h for h, _ in expected.elements())
+    assert len(set(of_source.values())) > 8
+
+
+def test_files_hold_short_ranges(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    sharding.sharded(spark, named(spark)).write.parquet(f"{tmp_path}/out")
+    files = [f.read() for f in map(pq.ParquetFile, sorted(str(f) for f in (tmp_path / "out").glob("*.parquet"))) if f.metadata.num_rows]
+    assert 30 <= len(files) <= 40
+    spans = [(min(x), max(x)) for x in ([v for v in f["source"].to_pylist() if v] for f in files) if x]
+    for wanted in ("common_crawl_03", "common_crawl_10"):
+        assert 1 <= sum(low <= wanted <= high for low, high in spans) <= len(files) // 3
+    assert sum(len(set(f["shard"].to_pylist())) for f in files) / len(files) < 2.5
+
+
+def test_rows_of_one_id_have_decided_slots(spark):
+    docs = spark.createDataFrame([(7, f"t{i % 90}", "en", "s") for i in range(300)], "doc_id long, text string, lang string, source string")
+    read = lambda d: Counter((r.text_crc32, r.shard, r.slot) for r in sharding.assignments(spark, d).collect())
+    assert read(docs) == read(docs.repartition(5, "text"))
+
+
 def test_runs_span_few_values(spark):
     docs = documents(spark)
     per_shard = sharding.sharded(spark, docs).groupBy("shard").agg(F.count_distinct("source").alias("n")).collect()
