@@ -33,9 +33,10 @@ _CONTAMINATION = r"""
 WITH words AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
   UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark),
+runs AS (SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE side = 'i' AND len(w) > 0),
 shingles AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM words WHERE len(w) > 0),
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM words JOIN runs ON len(w) >= k AND (side = 'd' OR k = least(len(w), 5))),
 sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE side = 'i' GROUP BY id),
 shared AS (
   SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared
@@ -158,7 +159,8 @@ FROM folded, root WHERE i = len(p)
 
 _AUDIT = rf"""
 WITH texts AS (
-  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
     min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
 marked AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
 rows AS (
