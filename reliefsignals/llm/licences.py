@@ -5,7 +5,7 @@ sentence that runs over several lines is looked up whole, in segments and line b
 Segments end after lines of marks only (`` *``, ``#``), after lines that close a comment, and
 after copyright lines, which often have no full stop before the text that follows. Sentences are
 normalised: lower case, only ASCII letters and digits, one space between words. A copyright
-notice with any holder and years is one sentence. Known sentences have identifiers, and a
+notice with any holder and years is one sentence, and so is the clause on a holder's name. Known sentences have identifiers, and a
 document's identifiers in order are its sequence; direct repetitions count once. A rule is a
 list of identifiers; a licence is found where a rule's identifiers follow each other in the
 sequence. Rules that are part of a longer rule found in the same document are dropped.
@@ -14,11 +14,14 @@ Only rows with a known sentence are shuffled. The tables of sentences and rules
 values or the caller's, at most ``MOST_RULES`` each, which bounds their broadcast.
 
 Null and empty texts have no sentences. Repeated rows of one id are scanned as one document.
-A null id is one document. Documents without a known sentence give no rows.
+A null id is one document. Documents without a known sentence give no rows, as does an empty
+table. Very long texts are cut whole; extra columns, clashing names included, are not looked at.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +59,23 @@ SENTENCES = {
     28: "this is free and unencumbered software released into the public domain",
     29: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     30: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    31: "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    32: "this library is free software",
+    33: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    34: "either version 2 1 of the license or at your option any later version",
+    35: "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    36: "spdx license identifier",
 }
 
+# Licence identifiers as they follow "SPDX-License-Identifier:".
+SPDX = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause",
+    "BSD-3-Clause", "MPL-2.0", "ISC", "EPL-1.0", "EPL-2.0", "CC0-1.0", "Unlicense",
+)
+FIRST_SPDX = 100
+SENTENCES |= {FIRST_SPDX + i: re.sub("[^a-z0-9]+", " ", name.lower()) for i, name in enumerate(SPDX)}
+
 # Rule, licence, ordered identifiers.
 RULES = (
     ("apache-notice", "Apache-2.0", (3,)),
@@ -78,15 +96,22 @@ RULES = (
     ("cc-by-sa", "CC-BY-SA-4.0", (18,)),
     ("bsd-2", "BSD-2-Clause", (19, 20, 21)),
     ("bsd-3", "BSD-3-Clause", (19, 20, 21, 22)),
+    ("bsd-3-full-stop", "BSD-3-Clause", (19, 20, 21, 31)),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", (32, 33, 34)),
+    ("agpl-3-header", "AGPL-3.0-or-later", (12, 35)),
     ("mpl-2", "MPL-2.0", (24,)),
     ("isc", "ISC", (25,)),
     ("unlicense", "Unlicense", (28,)),
     ("reserved", "Proprietary", (2,)),
     ("reserved-notice", "Proprietary", (1, 2)),
 )
+RULES += tuple((f"spdx-{name.lower()}", name, (36, FIRST_SPDX + i)) for i, name in enumerate(SPDX))
 
 #: ``copyright``, an optional ``c`` and years, then the holder.
 COPYRIGHT = r"^copyright (c )?([0-9]{4} )+.*$"
+#: The clause on names with any holder; one whose name has a full stop cuts it, its rest is sentence 31.
+HOLDER = r"^neither the names? of .* nor the names of (its|the) contributors may "
+ANY_HOLDER = "neither the name of the copyright holder nor the names of its contributors may "
 
 _MARKS = r"[^\p{L}\p{N}\n]"
 #: Lines that end a segment: marks only, copyright with sign or year, rights reserved, end of a comment.
@@ -98,7 +123,7 @@ BREAK = (
 
 def normalised(sentence: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, COPYRIGHT, "copyright notice")
+    return F.regexp_replace(F.regexp_replace(plain, COPYRIGHT, "copyright notice"), HOLDER, ANY_HOLDER)
 
 
 def sentences(text: Column) -> Column:

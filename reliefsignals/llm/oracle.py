@@ -77,7 +77,8 @@ numbered AS (SELECT doc_id, unnest(range(0, len(all_s))) AS i, unnest(all_s) AS
 lined AS (SELECT doc_id, i, CASE WHEN contains(s, chr(10)) THEN list_concat([s], string_split(s, chr(10))) ELSE [s] END AS l FROM numbered),
 lines AS (SELECT doc_id, i, unnest(range(0, len(l))) AS j, unnest(l) AS s FROM lined),
 plain AS (
-  SELECT doc_id, i, j, regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{licences.COPYRIGHT}', 'copyright notice') AS sentence
+  SELECT doc_id, i, j, regexp_replace(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '{licences.COPYRIGHT}', 'copyright notice'),
+    '{licences.HOLDER}', '{licences.ANY_HOLDER}') AS sentence
   FROM lines),
 hits AS (SELECT DISTINCT doc_id, i, j, id FROM plain JOIN known USING (sentence)),
 stepped AS (SELECT *, lag(id) OVER (PARTITION BY doc_id ORDER BY i, j, id) AS before FROM hits),

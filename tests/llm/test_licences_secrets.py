@@ -78,6 +78,30 @@ def secret_rows():
     return rows + [(900, None, "p"), (901, "", "p"), (None, "x password=aaaa1111bbbb22223c y", "p")]
 
 
+def test_named_holders_and_other_families(spark):
+    """A licence with a named holder is never taken for one with fewer clauses."""
+    clause = "Neither the name of the copyright holder nor the names of its"
+    assert clause in " ".join(BSD.split())
+    plain = " ".join(BSD.split("\n\n", 1)[1].split()) if "\n\n" in BSD else " ".join(BSD.split())
+    lgpl = (
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    )
+    agpl = (
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    )
+    texts = [plain.replace(clause, f"Neither the name of {h} nor the names of its") for h in ("Google Inc.", "the University of X", "Foo, Ltd. Co.")]
+    texts += [lgpl, agpl, "// SPDX-License-Identifier: GPL-2.0-only\npackage x", "# SPDX-License-Identifier: MIT", "MIT. Apache-2.0."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in licences.licences(spark, docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.licence)
+    found = {i: x - {"Proprietary"} for i, x in found.items()}
+    assert found == {0: {"BSD-3-Clause"}, 1: {"BSD-3-Clause"}, 2: {"BSD-3-Clause"}, 3: {"LGPL-2.1-or-later"},
+                     4: {"AGPL-3.0-or-later"}, 5: {"GPL-2.0-only"}, 6: {"MIT"}}
+
+
 def test_forest_tells_secrets_from_false_positives(spark):
     docs = spark.createDataFrame([(*r, "k") for r in secret_rows()], "doc_id long, text string, source string, entry string")
     found = secrets.scan(docs).collect()
