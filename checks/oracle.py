@@ -574,6 +574,7 @@ UNION ALL SELECT '1999-01-01T00:00:00', hour, province, count(*) FROM signals
     "geocode_province": located_sql("province"),
     "geocode_district": located_sql("district"),
     "geocode_neighborhood": located_sql("neighborhood"),
+    "geocode_stored": located_sql("neighborhood"),
     "geocode_level_used": over_signals(
         """SELECT level_used, count(*) AS places, sum(signal) AS signal FROM located WHERE placeable
   GROUP BY level_used""",
@@ -618,6 +619,14 @@ UNION ALL SELECT '1999-01-01T00:00:00', hour, province, count(*) FROM signals
     ),
     "provenance_check": provenance_sql(),
     "provenance_published": provenance_sql(),
+    "provenance_duplicates": """WITH kept AS (SELECT text, source FROM documents GROUP BY text, source),
+f AS (SELECT (SELECT count(*) FROM documents) AS before, (SELECT count(*) FROM kept) AS after,
+  (SELECT count(*) FROM (SELECT DISTINCT text FROM documents)) AS contents)
+SELECT 'rows_before' AS item, before AS counted, CAST(10000 AS BIGINT) AS declared, before <> 10000 AS differs FROM f
+UNION ALL SELECT 'rows_after', after, CAST(9900 AS BIGINT), after <> 9900 FROM f
+UNION ALL SELECT 'duplicate_rows_removed', before - contents, CAST(100 AS BIGINT), before - contents <> 100 FROM f
+UNION ALL SELECT 'duplicate_rows_left', after - contents, CAST(0 AS BIGINT), after <> contents FROM f""",
+    "without_duplicates": "SELECT min(conv_id * 1000 + turn) AS id, role FROM conversations GROUP BY role, text",
     "hotspot_signal_count_rows": over_signals(
         "SELECT hour, province, district, signal FROM cell", cell_cte("district", "count_rows")
     ),

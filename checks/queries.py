@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import partial
@@ -20,6 +21,7 @@ from reliefsignals.operators import aggregates as agg
 from reliefsignals.operators import hotspots as hot
 from reliefsignals.operators import messages as msg
 from reliefsignals.operators import scoring
+from reliefsignals.operators.duplicates import duplicate_check, without_duplicates
 from reliefsignals.operators.filters import Filters, apply_filters, during
 from reliefsignals.operators.geocode import (
     LEVELS,
@@ -27,6 +29,7 @@ from reliefsignals.operators.geocode import (
     gazetteer_neighborhoods,
     gazetteer_provinces,
     geocode,
+    store_index,
 )
 from reliefsignals.operators.prepare import (
     add_date_time,
@@ -390,6 +393,21 @@ def q_provenance_published(spark: SparkSession, sf: str) -> DataFrame:
     return agg.provenance_check(read_published(spark, folder))
 
 
+DEDUP_METADATA = {"rows_before": 10000, "rows_after": 9900, "duplicate_rows_removed": 100}
+
+
+def q_provenance_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Declared figures of a deduplication that looked at text and source, audited by text alone."""
+    docs = A.table(spark, sf, "documents").select("doc_id", "text", "source")
+    cleaned = without_duplicates(docs, ["text", "source"], "doc_id")
+    return duplicate_check(Dataset.of(cleaned, DEDUP_METADATA), ["text"], docs)
+
+
+def q_without_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    talk = A.table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return without_duplicates(talk, ["role", "text"]).select("id", "role")
+
+
 def q_filter_search_regex(spark: SparkSession, sf: str) -> DataFrame:
     talk = A.table(spark, sf, "conversations")
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -436,6 +454,15 @@ def q_geocode_level_used(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_geocode_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Places located by a gazetteer that lies in buckets of the join keys, for beyond the broadcast bound."""
+    level, name = "neighborhood", f"gazetteer_{uuid.uuid4().hex}"
+    cells = hot.cells(A.signals(spark, sf), None, LEVELS[level], "count_any_need").where("counts")
+    index = store_index(A.geo_index(spark, sf), A.folder(A.configure(spark), "gazetteer"), name)
+    points = geocode(cells.select("hour", *LEVELS[level], "signal"), level, index)
+    return points.where("placeable").select(hour_text(F.col("hour")).alias("hour"), *LEVELS[level], "signal", "lat", "lon")
+
+
 def q_gazetteer(build: Callable[[DataFrame], DataFrame], spark: SparkSession, sf: str) -> DataFrame:
     return build(A.customer_gazetteer(spark, sf))
 
@@ -480,7 +507,7 @@ def q_hotspot_severity(spark: SparkSession, sf: str) -> DataFrame:
     cells = hot.cells(ds, None, keys, "sum_urgency").where("counts")
     day = F.date_format("hour", "yyyy-MM-dd")
     daily = cells.groupBy(day.alias("day"), *keys).agg(F.sum("signal").alias("signal"))
-    points = hot.rank_points(geocode(daily, "district", A.geo_index(spark, sf)), by="day")
+    points = hot.rank_points(geocode(daily, "district", A.geo_index(spark, sf)), by="day", large_groups=True)
     return points.select("day", *keys, "signal", "severity")
 
 
@@ -662,6 +689,7 @@ QUERIES: dict[str, Query] = {
     "geocode_district": located("district"),
     "geocode_neighborhood": located("neighborhood"),
     "geocode_level_used": q_geocode_level_used,
+    "geocode_stored": q_geocode_stored,
     "gazetteer_neighborhoods": partial(q_gazetteer, gazetteer_neighborhoods),
     "gazetteer_districts": partial(q_gazetteer, gazetteer_districts),
     "gazetteer_provinces": partial(q_gazetteer, gazetteer_provinces),
@@ -685,6 +713,8 @@ QUERIES: dict[str, Query] = {
     "hour_cursor": on_signals(agg.hour_cursor),
     "provenance_check": on_dataset(agg.provenance_check, METADATA),
     "provenance_published": q_provenance_published,
+    "provenance_duplicates": q_provenance_duplicates,
+    "without_duplicates": q_without_duplicates,
     # hotspots
     "hotspot_signal_count_rows": on_signals(hot.signals, None, level="district", mode="count_rows"),
     "hotspot_signal_any_need": on_signals(hot.signals, PICKED, level="neighborhood", mode="count_any_need"),

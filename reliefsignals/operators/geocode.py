@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ LEVELS = {
 
 # Gazetteers of at most this size are broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Column of a stored gazetteer that tells the copies of a row apart.
+SALT = "_salt"
 
 
 def gazetteer_neighborhoods(gazetteer: DataFrame) -> DataFrame:
@@ -95,6 +98,53 @@ class GeoIndex:
         return self._side(table.withColumnsRenamed({"lat": "lat_p", "lon": "lon_p"}))
 
 
+@dataclass(frozen=True)
+class StoredGeoIndex(GeoIndex):
+    """A gazetteer beyond the broadcast bound, stored in buckets of its join keys by ``store_index``.
+
+    Joins read the buckets as they lie: only places are shuffled. Many hours and neighbourhoods of
+    one district or province need the same row, so these rows are stored once per salt and
+    their places are dealt over the salts.
+    """
+
+    tables: Mapping[str, str] = field(default_factory=dict)
+    salts: int = 1
+
+    def neighborhoods(self) -> DataFrame:
+        return self._table("neighborhoods")
+
+    def districts(self) -> DataFrame:
+        return self._table("districts")
+
+    def provinces(self) -> DataFrame:
+        return self._table("provinces")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.gazetteer.sparkSession.table(self.tables[name])
+
+
+def store_index(index: GeoIndex, folder: str, name: str, *, buckets: int = 0, salts: int = 16) -> StoredGeoIndex:
+    """Write the three tables of an index as bucketed tables ``<name>_<level>`` below a shared folder.
+
+    There are at least as many buckets as shuffle partitions: with fewer, Spark would shuffle
+    both sides to use all its partitions.
+    """
+    spark = index.gazetteer.sparkSession
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(SALT)
+    wide = {"districts": ("province", "district"), "provinces": ("province",)}
+    plain = GeoIndex(index.gazetteer, index.centroids, index.dedupe)
+    frames = {"neighborhoods": (plain.neighborhoods(), ["province", "district", "neighborhood_clean"])}
+    frames |= {k: (getattr(plain, k)().select("*", salt), [*keys, SALT]) for k, keys in wide.items()}
+    tables = {}
+    for level, (frame, keys) in frames.items():
+        tables[level] = f"{name}_{level}"
+        # One task writes one bucket, so a bucket is one file.
+        dealt = frame.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+        dealt.option("path", f"{folder.rstrip('/')}/{level}").saveAsTable(tables[level])
+    return StoredGeoIndex(index.gazetteer, index.centroids, index.dedupe, tables, salts)
+
+
 def geocode(places: DataFrame, level: str, index: GeoIndex) -> DataFrame:
     """Add ``lat, lon, level_used, placeable, copy`` to rows of one place each.
 
@@ -103,16 +153,18 @@ def geocode(places: DataFrame, level: str, index: GeoIndex) -> DataFrame:
     neighbourhood level a row without a neighbourhood is not ``placeable`` and gets no
     coordinate.  ``copy`` is 1 for the first (mostly only) point of a place.
     """
-    df = places
-    steps = []
+    df, salt, steps = places, [], []
+    if isinstance(index, StoredGeoIndex):
+        salt = [SALT]
+        df = df.withColumn(SALT, F.pmod(F.xxhash64(*places.columns), F.lit(index.salts)).cast("int"))
     if level == "neighborhood":
         df = df.withColumn("neighborhood_clean", F.lower(strip(F.coalesce("neighborhood", F.lit("")))))
         df = df.join(index.neighborhoods(), ["province", "district", "neighborhood_clean"], "left")
         steps.append("n")
     if level in ("neighborhood", "district"):
-        df = df.join(index.districts(), ["province", "district"], "left")
+        df = df.join(index.districts(), ["province", "district", *salt], "left")
         steps.append("d")
-    df = df.join(index.provinces(), ["province"], "left")
+    df = df.join(index.provinces(), ["province", *salt], "left")
     steps.append("p")
 
     lat = F.coalesce(*[F.col(f"lat_{s}") for s in steps])

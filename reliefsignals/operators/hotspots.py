@@ -21,6 +21,7 @@ from reliefsignals.operators.aggregates import Source, hour_preference
 from reliefsignals.operators.filters import Filters, apply_filters, during
 from reliefsignals.operators.geocode import LEVELS, GeoIndex, geocode
 from reliefsignals.operators.measures import Measures, answered_by_sums, compact, measure
+from reliefsignals.operators.quantiles import group_quantiles
 from reliefsignals.schema import Dataset
 
 MODES = ("count_rows", "count_any_need", "sum_urgency")
@@ -128,21 +129,29 @@ def severity(signal: Column, cuts: Column) -> Column:
     return grade.otherwise(F.lit(fv.SEVERITY_REST))
 
 
-def rank_points(located: DataFrame, by: str = "hour", *, skip_empty: bool = True) -> DataFrame:
+def rank_points(
+    located: DataFrame, by: str = "hour", *, skip_empty: bool = True, large_groups: bool = False
+) -> DataFrame:
     """Rank, share and severity of located places within each ``by`` group.
 
-    A group has one row per place.  Ties rank by name, then by coordinate.
+    A group has one row per place.  Ties rank by name, then by coordinate.  The places of an
+    hour are one window group.  With ``large_groups`` totals and quantiles come from counts of
+    signals (``group_quantiles``), so that no task holds a group, and ranks are numbered along
+    a sort, which spills: the same rows, by more and smaller steps.  Rows without a group are
+    left out then.
     """
     keys = [c for c in PLACE_COLUMNS if c in located.columns]
     points = located.where(_shown())
     group = Window.partitionBy(by)
-    order = group.orderBy(F.desc("signal"), *keys, "lat", "lon")
-    quantiles = F.array(*[F.lit(q) for q, _ in fv.SEVERITY_CUTS])
-    graded = (
-        points.withColumn("rank", F.row_number().over(order))
-        .withColumn("total", F.sum("signal").over(group))
-        .withColumn("cuts", F.percentile("signal", quantiles).over(group))
-    )
+    ranked = points.withColumn("rank", F.row_number().over(group.orderBy(F.desc("signal"), *keys, "lat", "lon")))
+    quantiles = [q for q, _ in fv.SEVERITY_CUTS]
+    if large_groups:
+        # One row per group, dealt by it as the numbered points are.
+        stats = group_quantiles(points, by, "signal", quantiles).withColumnRenamed("group", by)
+        graded = ranked.join(stats.hint("shuffle_hash"), by)
+    else:
+        cuts = F.percentile("signal", F.array(*[F.lit(q) for q in quantiles]))
+        graded = ranked.withColumn("total", F.sum("signal").over(group)).withColumn("cuts", cuts.over(group))
     names = {c: collapse_whitespace(F.col(c)) if c in keys else F.lit("") for c in PLACE_COLUMNS}
     label = location_label([F.col(k) for k in keys], skip_empty=skip_empty)
     return graded.select(
@@ -222,12 +231,14 @@ def hotspots_timeline(
     filters: Filters | None = None,
     level: str = DEFAULT_LEVEL,
     mode: str = DEFAULT_MODE,
+    *,
+    large_groups: bool = False,
 ) -> DataFrame:
     """Ranked hotspots of every hour, in one job."""
     level, mode = checked_level(level), checked_mode(mode)
     table = cells(source, filters, LEVELS[level], mode).where("counts")
     located = geocode(table.select("hour", *LEVELS[level], "signal"), level, index)
-    return _with_hour_text(rank_points(located))
+    return _with_hour_text(rank_points(located, large_groups=large_groups))
 
 
 def top_hotspots(points: DataFrame, n: int = fv.HOTSPOT_LIST_ROWS) -> DataFrame:

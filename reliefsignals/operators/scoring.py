@@ -25,6 +25,28 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, F.lit(1.0) / (F.lit(1.0) + small)).otherwise(small / (F.lit(1.0) + small))
 
 
+def length_batches() -> Callable[..., Iterator[np.ndarray]]:
+    """The function that cuts texts into batches; a nested one, so that it reaches workers by value."""
+
+    def batches(sizes: np.ndarray, batch_size: int, batch_cells: int | None = None) -> Iterator[np.ndarray]:
+        """Positions of texts in batches of texts of like length, shortest first.
+
+        A model pads the texts of a batch to the longest. A batch has at most ``batch_size`` texts
+        and, if given, ``batch_cells`` characters with its padding, but never less than one text.
+        """
+        order = np.argsort(sizes, kind="stable")
+        start = 0
+        while start < len(order):
+            end = min(start + batch_size, len(order))
+            if batch_cells is not None:
+                padded = sizes[order[start:end]].astype(np.int64) * np.arange(1, end - start + 1)
+                end = start + max(1, int(np.searchsorted(padded, batch_cells, side="right")))
+            yield order[start:end]
+            start = end
+
+    return batches
+
+
 def score_batch(
     df: DataFrame,
     load_model: Callable[[], Model],
@@ -33,15 +55,19 @@ def score_batch(
     text_column: str = "tweet",
     clean: bool = True,
     batch_size: int = 256,
+    batch_cells: int | None = None,
 ) -> DataFrame:
     """Add ``scored_text`` and one ``prob_<label>`` column per label.
 
     Only the text travels to Python, whole and in Arrow batches; all other columns stay on
     the JVM.  The model is loaded once per worker process and serves all its tasks.  A model
     that reads a limited window cuts or splits texts itself: that choice is its loader's.
+
+    The model sees texts of like length together (``length_batches``), at most ``batch_size`` at once
+    and, with ``batch_cells``, fewer where they are long; rows keep their order.
     """
     names = [f"l{i}" for i in range(len(labels))]
-    token = uuid.uuid4().hex
+    token, cut = uuid.uuid4().hex, length_batches()
 
     @F.pandas_udf(", ".join(f"{n} float" for n in names))
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -51,11 +77,11 @@ def score_batch(
             loaded[token] = load_model()
         for texts in batches:
             found = np.zeros((len(texts), len(names)), np.float32)
-            for i in range(0, len(texts), batch_size):
-                part = np.asarray(loaded[token](texts.iloc[i : i + batch_size].tolist()), dtype=np.float32)
+            for at in cut(texts.str.len().to_numpy(np.int64), batch_size, batch_cells):
+                part = np.asarray(loaded[token](texts.iloc[at].tolist()), dtype=np.float32)
                 if part.ndim != 2 or part.shape[1] != len(names):
                     raise ValueError(f"the model must return {len(names)} logits per text")
-                found[i : i + batch_size] = part
+                found[at] = part
             yield pd.DataFrame(found, columns=names)
 
     text = clean_text(F.col(text_column)) if clean else F.coalesce(F.col(text_column), F.lit(""))
