@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+#: Text bytes that are cut into words at once: each takes some 60 bytes of arrays meanwhile.
+WORDS_CHUNK = 1 << 17
 #: Text bytes that a task turns into hashes before it passes them on.
 SLICE_BYTES = 8_000_000
 _ODD = 0x9E3779B97F4A7C15
@@ -99,7 +101,7 @@ class Powers:
 
     def to(self, n: int) -> None:
         if len(self.up) < n:
-            n = max(n, CHUNK)
+            n = max(n, WORDS_CHUNK)
             self.up = np.concatenate(([_U(1)], np.cumprod(np.full(n, _ODD, _U))))
             self.down = np.concatenate(([_U(1)], np.cumprod(np.full(n, pow(_ODD, -1, 2**64), _U))))
 

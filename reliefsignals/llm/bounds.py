@@ -29,6 +29,12 @@ def with_small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def with_small_reads(spark: SparkSession) -> SparkSession:
+    """``with_small_batches``, and texts are read in such batches too: a scan holds one batch in arrays that double as they fill."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ARROW_ROWS)
+    return with_small_batches(spark)
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefsignals.llm import blocks
-from reliefsignals.llm.bounds import free_name, with_small_batches, written
+from reliefsignals.llm.bounds import free_name, with_small_reads, written
 
 WIDTH = 5
 THRESHOLD = 0.75
@@ -47,7 +47,7 @@ def _words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashed words of runs of whole texts, with the offsets of the texts among them."""
     data, offsets = blocks.text_bytes(texts)
     classes, powers = blocks.byte_classes("word"), blocks.Powers()
-    for first, last in blocks.spans_of_documents(offsets):
+    for first, last in blocks.spans_of_documents(offsets, blocks.WORDS_CHUNK):
         start = offsets[first]
         yield blocks.tokens(data[start : offsets[last]], offsets[first : last + 1] - start, classes, powers)
 
@@ -146,7 +146,7 @@ def matchers(
     Blocks have at most ``block_items`` items and about ``BLOCK_CHARS`` characters; the driver holds
     one at a time. Items with a null id keep the null.
     """
-    with_small_batches(spark)
+    with_small_reads(spark)
     wanted = items.select(F.col(item_id).cast("long").alias("i"), F.lower(F.col(item_text)).alias("t"))
     block, chars = [], 0
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefsignals.llm import blocks, repeats
-from reliefsignals.llm.bounds import broadcast_if_few, free_name, with_small_batches, written
+from reliefsignals.llm.bounds import broadcast_if_few, free_name, with_small_reads, written
 from reliefsignals.llm.components import components
 
 WIDTH = 5
@@ -65,7 +65,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     data, offsets = blocks.text_bytes(texts)
     data = blocks.ascii_lower()[data]
     classes, powers = blocks.byte_classes("space"), blocks.Powers()
-    for first, last in blocks.spans_of_documents(offsets):
+    for first, last in blocks.spans_of_documents(offsets, blocks.WORDS_CHUNK):
         start = offsets[first]
         words, at = blocks.tokens(data[start : offsets[last]], offsets[first : last + 1] - start, classes, powers)
         values, bounds = blocks.shingles(words, at, WIDTH)
@@ -294,7 +294,7 @@ def _surviving_pairs(members: DataFrame, ranges: int, most: int) -> DataFrame:
 
 def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document."""
-    with_small_batches(spark)
+    with_small_reads(spark)
     slim = documents.select(F.col(id_column).cast("long").alias("doc_id"), "text")
     ranges = repeats.ranges_for(slim)
     passed = written(spark, _marks(slim, ranges), "marks")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefsignals.llm import blocks
-from reliefsignals.llm.bounds import free_name, with_small_batches
+from reliefsignals.llm.bounds import free_name, with_small_reads
 
 BITS = 18
 MAX_LABELLED = 20_000
@@ -43,7 +43,7 @@ def features(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[np.ndarray, np
     data, offsets = blocks.text_bytes(texts)
     classes, powers, shift = blocks.byte_classes("token"), blocks.Powers(), np.uint64(64 - bits)
     repeat = blocks.mixed(np.full(1, 77, np.uint64))[0]
-    for first, last in blocks.spans_of_documents(offsets):
+    for first, last in blocks.spans_of_documents(offsets, blocks.WORDS_CHUNK):
         start = offsets[first]
         h, at = blocks.tokens(data[start : offsets[last]], offsets[first : last + 1] - start, classes, powers)
         pairs = blocks.mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
@@ -125,7 +125,7 @@ def held_out(key: str | Column = "doc_id") -> Column:
 
 def fitted_scorer(spark: SparkSession, documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Callable[[Column], Column]:
     """Learn ``labels.quality`` from the documents that are not held out."""
-    with_small_batches(spark)
+    with_small_reads(spark)
     known = labels.select("doc_id", F.col("quality").alias("label")).filter(F.col("label").isNotNull() & ~held_out())
     chosen = F.broadcast(sampled(known, limit=limit))
     return scorer(spark, train(documents.select("doc_id", "text").join(chosen, "doc_id")))

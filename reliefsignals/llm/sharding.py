@@ -25,6 +25,7 @@ replaced by the new ones, whatever their case; other extra columns are kept.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,12 +66,15 @@ def hilbert_index(point: tuple[int, ...], bits: int) -> int:
 
 
 def curve(spark: SparkSession, dims: int, bits: int) -> DataFrame:
-    """The grid with its curve index: ``cell, h``; its size is fixed by the two parameters."""
+    """The grid with its curve index: ``cell, h``; its size is fixed by the two parameters.
+
+    It is sent as an Arrow table: rows would start Python workers on the executors, that then stay.
+    """
     if dims * bits > 16:
         raise ValueError("the grid has at most 2**16 cells")
     side = 1 << bits
-    rows = [(c, hilbert_index(tuple((c // side**d) % side for d in range(dims)), bits)) for c in range(side**dims)]
-    return spark.createDataFrame(rows, "cell int, h int").coalesce(1)
+    h = [hilbert_index(tuple((c // side**d) % side for d in range(dims)), bits) for c in range(side**dims)]
+    return spark.createDataFrame(pa.table({"cell": pa.array(range(side**dims), pa.int32()), "h": pa.array(h, pa.int32())})).coalesce(1)
 
 
 def text_cuts(spark: SparkSession, values: DataFrame, steps: int) -> dict[str, list[str]]:
