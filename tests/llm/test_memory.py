@@ -51,3 +51,15 @@ def test_texts_are_read_in_small_batches(spark, tmp_path):
     finally:
         for n, value in before.items():
             spark.conf.set(n, value)
+
+
+def test_weights_come_to_the_driver_without_rows(spark):
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), F.col("id") * 300 + i)))
+    labelled = spark.range(300).select(F.col("id").alias("doc_id"), words.alias("text"), (F.col("id") % 2).alias("label"))
+    tracemalloc.start()
+    try:
+        weights = quality.train(labelled)
+        assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    finally:
+        tracemalloc.stop()
+    assert (weights != 0).sum() > 50_000
