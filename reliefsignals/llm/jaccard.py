@@ -153,7 +153,7 @@ def linked(shared: Column, n: Column, m: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``a, b`` that link, decided on whole sets.
+    """Those of the pairs ``a, b`` that link, decided on whole sets, with all columns of ``pairs``.
 
     Few pairs are sent to the sets, rather than the sets shuffled to them.
     """
@@ -161,7 +161,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     wanted = broadcast_if_few(pairs.select("b").distinct())
     joined = side["a"].join(broadcast_if_few(pairs), "a").join(side["b"].join(wanted, "b", "left_semi"), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    return joined.withColumn("shared", shared).filter(linked(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    return joined.withColumn("shared", shared).filter(linked(F.col("shared"), F.col("n_a"), F.col("n_b"))).select(pairs.columns)
 
 
 def overlapping(counts: np.ndarray, sizes: np.ndarray, groups: np.ndarray, own: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
@@ -269,7 +269,7 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def _surviving_pairs(members: DataFrame, ranges: int, most: int) -> DataFrame:
-    """Pairs ``a, b`` of different components from blocks of ``key, node, component, n, m, counts``.
+    """Pairs ``a, b`` and their components ``of_a, of_b``, which differ, from blocks of ``key, node, component, n, m, counts``.
 
     ``most`` is the size of the largest block: where none is to be dealt out, the plan is spared that part.
     """
@@ -283,13 +283,13 @@ def _surviving_pairs(members: DataFrame, ranges: int, most: int) -> DataFrame:
         edges = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]).any(axis=1), [True])))
         for low, high in zip(edges[:-1], edges[1:]):
             for i, j in near_pairs(vectors[low:high], sizes[low:high], parts[low:high]):
-                a, b = nodes[low + i], nodes[low + j]
-                found.add((min(a, b), max(a, b)))
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=np.int64)
+                (a, of_a), (b, of_b) = sorted((nodes[low + x], parts[low + x]) for x in (i, j))
+                found.add((a, b, of_a, of_b))
+        return pd.DataFrame(sorted(found), columns=["a", "b", "of_a", "of_b"], dtype=np.int64)
 
     cells = _dealt(members) if most > PART_NODES else members.withColumns({x: F.lit(0).cast("long") for x in ("lo", "hi")})
     dealt = cells.withColumn("block", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(ranges)))
-    return dealt.groupBy("block").applyInPandas(join, "a bigint, b bigint").distinct()
+    return dealt.groupBy("block").applyInPandas(join, "a bigint, b bigint, of_a bigint, of_b bigint").distinct()
 
 
 def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -319,12 +319,13 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
     keys = written(spark, keyed, "keys")
     block = keys.groupBy("key").agg(F.min(F.struct("apart", "node"))["node"].alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     meets = keys.join(block, "key").filter("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
-    centre = meets.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+    centre = written(spark, meets.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b")), "centre")
     near = written(spark, _verified(centre, sets), "near")
-    parts = written(spark, components(spark, near), "parts")
+    parts = components(spark, near)
 
     of_node = sets.select("node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = keys.join(of_node.select("node", "component"), "node")
+    of_node = written(spark, of_node.select("node", "component"), "parts")
+    placed = keys.join(of_node, "node")
     several = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")
     ).filter("low != high")
@@ -332,11 +333,13 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
     rows, most = several.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     members = placed.join(several, "key").join(sets.select("node", "counts"), "node")
     pairs = written(spark, _surviving_pairs(members, max(1, -(-rows // TASK_ROWS)), most), "pairs")
-    links = near.union(_verified(pairs, sets))
-    whole = components(spark, links)
+    # Components are final but for the links between them, so only those links are left to follow.
+    between = _verified(pairs, sets).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    joined = components(spark, between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
 
-    least = marks.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
-    least = least.withColumn("component", F.coalesce("component", "node"))
+    least = marks.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(of_node, "node", "left")
+    least = least.withColumn("part", F.coalesce("component", "node")).drop("component")
+    least = least.join(broadcast_if_few(joined), "part", "left").withColumn("component", F.coalesce("whole", "part"))
     of_component = least.groupBy("component").agg(F.min("least").alias("component_id"))
     named = least.join(of_component, "component").select("node", "component_id")
     empty = marks.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -77,19 +77,20 @@ class Repeated:
         self.bits, self.width = ranges.bit_length() - 1, width
         self.marks = np.zeros(ranges << (width - 3), np.uint8)
 
-    def plain(self) -> tuple[int, int, np.ndarray]:
-        """What ``of`` makes the same filter from: workers need no class of this package to read it."""
-        return 1 << self.bits, self.width, self.marks
+    def plain(self) -> tuple[int, int, bytes]:
+        """What ``of`` makes the same filter from, compressed: workers need no class of this package to read it."""
+        return 1 << self.bits, self.width, pa.compress(self.marks, codec="zstd", asbytes=True)
 
     @classmethod
-    def of(cls, plain: tuple[int, int, np.ndarray]) -> Repeated:
+    def of(cls, plain: tuple[int, int, bytes]) -> Repeated:
         one = cls.__new__(cls)
-        one.bits, one.width, one.marks = plain[0].bit_length() - 1, plain[1], plain[2]
+        one.bits, one.width = plain[0].bit_length() - 1, plain[1]
+        one.marks = np.frombuffer(pa.decompress(plain[2], plain[0] << (plain[1] - 3), codec="zstd", asbytes=True), np.uint8)
         return one
 
-    def fill(self, number: int, part: bytes) -> None:
+    def fill(self, number: int, part: pa.Buffer) -> None:
         size = 1 << (self.width - 3)
-        self.marks[number * size : (number + 1) * size] = np.frombuffer(part, np.uint8)
+        self.marks[number * size : (number + 1) * size] = np.frombuffer(pa.decompress(part, size, codec="zstd"), np.uint8)
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
         names = (hashes >> np.uint64(32 - self.bits)) & np.uint64(0xFFFFFFFF)
@@ -114,11 +115,13 @@ def repeated(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int =
             marks = np.zeros(1 << width, np.uint8)
             for place in _places(names[first[many >= level]], width):
                 marks[place] = 1
-            slices.append(np.packbits(marks).tobytes())
+            slices.append(pa.compress(np.packbits(marks), codec="zstd", asbytes=True))
         return pd.DataFrame({"range": [int(group["range"].iloc[0])], "slices": [slices]})
 
     whole = [Repeated(ranges, width) for _ in levels]
-    for row in runs.groupBy("range").applyInPandas(count, "range int, slices array<binary>").collect():
-        for one, part in zip(whole, row["slices"]):
-            one.fill(row["range"], bytes(part))
+    # Slices pass the driver's JVM compressed and as Arrow batches: its heap grows by arrays of half a MB and more.
+    for batch in runs.groupBy("range").applyInPandas(count, "range int, slices array<binary>").toArrow().to_batches():
+        for number, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for one, part in zip(whole, parts.values):
+                one.fill(number, part.as_buffer())
     return whole

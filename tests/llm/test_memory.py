@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reliefsignals.llm import bounds, decontaminate, jaccard, quality, sharding
+from reliefsignals.llm import bounds, components, decontaminate, jaccard, quality, repeats, sharding
 
 
 def test_sharding_starts_no_python_workers(spark, monkeypatch, tmp_path):
@@ -63,3 +63,62 @@ def test_weights_come_to_the_driver_without_rows(spark):
     finally:
         tracemalloc.stop()
     assert (weights != 0).sum() > 50_000
+
+
+def test_filters_come_to_the_driver_without_rows(spark):
+    def runs(batches):
+        for batch in batches:
+            hashes = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for r, packed in repeats.split(np.repeat(hashes, 2), 16, 2):
+                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "packed": [packed]})
+
+    sent = spark.range(1, numPartitions=1).mapInArrow(runs, "range int, packed binary")
+    tracemalloc.start()
+    try:
+        twice, often = repeats.repeated(sent, 16, (2, 3), 26)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    known = np.arange(1, 200_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert twice.contains(known).all() and not often.contains(known).any()
+    assert most < twice.marks.nbytes + often.marks.nbytes + 2_000_000
+
+
+@pytest.fixture
+def tables(monkeypatch):
+    """Names of the tables that components and the join write."""
+    names = []
+
+    def noted(spark, frame, name, write=bounds.written):
+        names.append(name)
+        return write(spark, frame, name)
+
+    for module in (components, jaccard):
+        monkeypatch.setattr(module, "written", noted)
+    return names
+
+
+@pytest.mark.parametrize(
+    ("links", "rounds"),
+    [([], 1), ([(5, 1), (1, 7), (6, 2), (2, 2)], 1), ([(2, 1), (3, 2), (3, 3)], 2), ([(1, 9), (9, 4), (4, 8), (8, 3), (30, 20), (20, 10), (10, 30)], 3)],
+    ids=["none", "stars", "chain", "mixed"],
+)
+def test_components_end_without_a_round_that_changes_nothing(spark, tables, links, rounds):
+    least = {x: x for link in links for x in link}
+    for _ in links:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark, spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len({r.node for r in found})
+    assert {r.node: r.component for r in found} == {x: m for x, m in least.items() if x != m}
+    assert tables.count("links") == rounds
+
+
+def test_links_inside_components_are_followed_once(spark, tables):
+    """The first components are stars; what is found between them joins components, not nodes again."""
+    word = [f"w{i}" for i in range(100)]
+    texts = [" ".join(word[:k] + [f"x{k}"] + word[k + 1 :]) for k in range(5, 95, 5)]
+    rows = [(i, t) for i, t in enumerate([" ".join(word), *texts])]
+    found = jaccard.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in found} == {0} and len(found) == len(rows)
+    assert tables.count("centre") == 1 and tables.count("links") <= 3
