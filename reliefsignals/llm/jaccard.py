@@ -11,7 +11,8 @@ is empty and linked with nothing. Two documents link when
    any other set cannot have a link and goes no further.
 3. Shingles have one global order: unshared, shared, frequent, each by hash. Two linked sets
    have a common shingle among the first ``n - ceil(0.75 n) + 1`` of each, so these are the
-   keys; documents meet in the blocks of their keys.
+   keys; documents meet in the blocks of their keys. Blocks of the same nodes (their number, hub
+   and the exclusive or of their names agree) hold the same pairs: one stays, with their number.
 4. A node is first compared with one other node only: of the hubs of its blocks, the one it
    shares most keys with. A block's hub is its node with the smallest share of unshared
    shingles, for copies with edits resemble their origin more than each other. Components are
@@ -22,7 +23,8 @@ is empty and linked with nothing. Two documents link when
    cannot reach the threshold, or lie in one component, are pruned together. Sets without a
    common shingle have half of the bound that a link needs, whatever their size. A block of
    many nodes is cut by size and dealt out by pairs of parts (``_dealt``).
-6. Surviving pairs are verified on whole sets and components joined.
+6. Surviving pairs are verified on whole sets and components joined. Here as in 4, pairs that have
+   too few shared shingles for a link are left out before sets are sent.
 
 The R-tree is built per block because over a whole corpus its boxes overlap too much in so many
 dimensions to prune anything. No step limits partners or candidates.
@@ -52,6 +54,9 @@ PERCENT = 75
 FREQUENT = 64
 #: Size of each of the two filters, 8 MB.
 BITS = 26
+#: Bits of a shingle below its range's number on its way to the filters. A range stands for 2 to 4 MB
+#: of text whatever the input, less than a million shingles, so some 1 % of the unshared ones look shared.
+NAME_BITS = 26
 #: Groups of the count vector of a small set; others have the power of two from their size on.
 LEAST_GROUPS = 64
 LEAF = 16
@@ -113,7 +118,7 @@ def _marks(documents: DataFrame, ranges: int) -> DataFrame:
             )
             once = {k: s for k, s in zip(nodes, sets) if k is not None}
             if once:
-                for r, packed in repeats.split(np.concatenate(list(once.values())), ranges, FREQUENT):
+                for r, packed in repeats.split(np.concatenate(list(once.values())), ranges, FREQUENT, NAME_BITS):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x], t) for x, t in zip((None, None, None, r, packed), schema.types)], schema=schema
                     )
@@ -152,6 +157,15 @@ def linked(shared: Column, n: Column, m: Column) -> Column:
     return F.lit(100) * shared >= F.lit(PERCENT) * (n + m - shared)
 
 
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``a, b`` that can link: what two sets have in common are shared shingles of both."""
+    found = pairs
+    for x in "ab":
+        span = sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), (F.col("n") - F.col("unshared")).alias(f"most_{x}"))
+        found = found.join(span, x)
+    return found.filter(linked(F.least("most_a", "most_b"), F.col("n_a"), F.col("n_b"))).select(pairs.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs ``a, b`` that link, decided on whole sets, with all columns of ``pairs``.
 
@@ -299,7 +313,7 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
     ranges = repeats.ranges_for(slim)
     passed = written(spark, _marks(slim, ranges), "marks")
     marks = passed.filter("range is null").select("doc_id", "n", "node")
-    shared, frequent = repeats.repeated(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT), BITS)
+    shared, frequent = repeats.repeated(passed.filter("range is not null").select("range", "packed"), ranges, (2, FREQUENT), BITS, NAME_BITS)
     sent = spark.sparkContext.broadcast((shared.plain(), frequent.plain()))
     del shared, frequent
     firsts = marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m")).filter("node IS NOT NULL AND m > 1")
@@ -315,24 +329,30 @@ def classes(spark: SparkSession, documents: DataFrame, id_column: str = "doc_id"
 
     first = F.col("n") - F.floor((F.lit(PERCENT) * F.col("n") + 99) / 100).cast("int") + 1 - F.col("unshared")
     apart = F.col("unshared").cast("double") / F.col("n")
-    keyed = sets.filter(first > 0).select("node", "n", apart.alias("apart"), F.explode(F.slice("shingles", F.col("unshared") + 1, first)).alias("key"))
+    keyed = sets.filter(first > 0).select("node", apart.alias("apart"), F.explode(F.slice("shingles", F.col("unshared") + 1, first)).alias("key"))
     keys = written(spark, keyed, "keys")
-    block = keys.groupBy("key").agg(F.min(F.struct("apart", "node"))["node"].alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    meets = keys.join(block, "key").filter("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
-    centre = written(spark, meets.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b")), "centre")
+    block = keys.groupBy("key").agg(
+        F.min(F.struct("apart", "node"))["node"].alias("b"), F.count(F.lit(1)).alias("m"), F.bit_xor("node").alias("nodes")
+    ).filter("m > 1")
+    block = block.groupBy("nodes", "m", "b").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("blocks"))
+    met = written(spark, keys.join(block.select("key", "b", "blocks"), "key").select("key", "node", "b", "blocks"), "met")
+    meets = met.filter("node != b").groupBy(F.col("node").alias("a"), "b").agg(F.sum("blocks").alias("m"))
+    centre = meets.groupBy("a").agg(F.max_by("b", F.struct("m", "b")).alias("b"))
+    centre = written(spark, _possible(centre, sets), "centre")
     near = written(spark, _verified(centre, sets), "near")
     parts = components(spark, near)
 
     of_node = sets.select("node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_node = written(spark, of_node.select("node", "component"), "parts")
-    placed = keys.join(of_node, "node")
+    placed = met.select("key", "node").join(of_node, "node")
     several = placed.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")
     ).filter("low != high")
     several = written(spark, several.select("key", "m"), "several")
     rows, most = several.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
-    members = placed.join(several, "key").join(sets.select("node", "counts"), "node")
-    pairs = written(spark, _surviving_pairs(members, max(1, -(-rows // TASK_ROWS)), most), "pairs")
+    members = placed.join(several, "key").join(sets.select("node", "n", "counts"), "node")
+    survivors = _surviving_pairs(members, max(1, -(-rows // TASK_ROWS)), most)
+    pairs = written(spark, _possible(survivors, sets), "pairs")
     # Components are final but for the links between them, so only those links are left to follow.
     between = _verified(pairs, sets).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     joined = components(spark, between).select(F.col("node").alias("part"), F.col("component").alias("whole"))

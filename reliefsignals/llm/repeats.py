@@ -23,6 +23,8 @@ from reliefsignals.llm import blocks
 BITS = 27
 #: Bits that stand for one hash.
 PROBES = 3
+#: Bits that tell the hashes of one range apart; callers with whole texts behind them send fewer.
+NAME_BITS = 32
 #: Text bytes that one range of hashes stands for.
 RANGE_BYTES = 4_000_000
 MOST_RANGES = 1 << 20
@@ -46,18 +48,24 @@ def from_planes(packed: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(body.reshape(size, n).T).view(kind).ravel()
 
 
-def split(hashes: np.ndarray, ranges: int, level: int) -> Iterator[tuple[int, bytes]]:
-    """Runs of sorted hashes, 32 bits below the range number, as ``(range, packed)``.
+def _names(hashes: np.ndarray, bits: int, name_bits: int) -> np.ndarray:
+    """The ``name_bits`` bits below the ``bits`` of the range number."""
+    return (hashes >> np.uint64(64 - name_bits - bits)) & np.uint64((1 << name_bits) - 1)
+
+
+def split(hashes: np.ndarray, ranges: int, level: int, name_bits: int = NAME_BITS) -> Iterator[tuple[int, bytes]]:
+    """Runs of sorted hashes, ``name_bits`` bits below the range number, as ``(range, packed)``.
 
     A hash is sent ``level`` times at most: that decides whether it reaches the level just as
-    well, and a hash of every document is a few numbers from each part.
+    well, and a hash of every document is a few numbers from each part. Hashes of one name count
+    together, so fewer bits only make more of them look repeated.
     """
     bits = ranges.bit_length() - 1
     ordered, many = np.unique(hashes, return_counts=True)
     ordered = np.repeat(ordered, np.minimum(many, level))
     cuts = np.searchsorted(ordered, np.arange(ranges, dtype=np.uint64) << np.uint64(64 - bits))
     cuts = np.append(cuts, len(ordered))
-    names = ((ordered >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    names = _names(ordered, bits, name_bits).astype(np.uint32)
     for r in np.flatnonzero(np.diff(cuts)):
         run = names[cuts[r] : cuts[r + 1]]
         yield int(r), planes(np.diff(run, prepend=np.uint32(0)))
@@ -73,18 +81,18 @@ def _places(names: np.ndarray, width: int) -> Iterator[np.ndarray]:
 class Repeated:
     """Hashes that occur so often at least; one slice of ``2 ** width`` bits for each range."""
 
-    def __init__(self, ranges: int, width: int) -> None:
-        self.bits, self.width = ranges.bit_length() - 1, width
+    def __init__(self, ranges: int, width: int, name_bits: int = NAME_BITS) -> None:
+        self.bits, self.width, self.name_bits = ranges.bit_length() - 1, width, name_bits
         self.marks = np.zeros(ranges << (width - 3), np.uint8)
 
-    def plain(self) -> tuple[int, int, bytes]:
+    def plain(self) -> tuple[int, int, bytes, int]:
         """What ``of`` makes the same filter from, compressed: workers need no class of this package to read it."""
-        return 1 << self.bits, self.width, pa.compress(self.marks, codec="zstd", asbytes=True)
+        return 1 << self.bits, self.width, pa.compress(self.marks, codec="zstd", asbytes=True), self.name_bits
 
     @classmethod
-    def of(cls, plain: tuple[int, int, bytes]) -> Repeated:
+    def of(cls, plain: tuple[int, int, bytes, int]) -> Repeated:
         one = cls.__new__(cls)
-        one.bits, one.width = plain[0].bit_length() - 1, plain[1]
+        one.bits, one.width, one.name_bits = plain[0].bit_length() - 1, plain[1], plain[3]
         one.marks = np.frombuffer(pa.decompress(plain[2], plain[0] << (plain[1] - 3), codec="zstd", asbytes=True), np.uint8)
         return one
 
@@ -93,7 +101,7 @@ class Repeated:
         self.marks[number * size : (number + 1) * size] = np.frombuffer(pa.decompress(part, size, codec="zstd"), np.uint8)
 
     def contains(self, hashes: np.ndarray) -> np.ndarray:
-        names = (hashes >> np.uint64(32 - self.bits)) & np.uint64(0xFFFFFFFF)
+        names = _names(hashes, self.bits, self.name_bits)
         base = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) << self.width
         found = np.ones(len(hashes), bool)
         for place in _places(names, self.width):
@@ -102,8 +110,8 @@ class Repeated:
         return found
 
 
-def repeated(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int = BITS) -> list[Repeated]:
-    """For each level, the hashes that occur so often at least. ``runs``: ``range, packed``."""
+def repeated(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int = BITS, name_bits: int = NAME_BITS) -> list[Repeated]:
+    """For each level, the hashes that occur so often at least. ``runs``: ``range, packed``, split with ``name_bits``."""
     width = max(3, bits - (ranges.bit_length() - 1))
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
@@ -118,7 +126,7 @@ def repeated(runs: DataFrame, ranges: int, levels: tuple[int, ...], bits: int =
             slices.append(pa.compress(np.packbits(marks), codec="zstd", asbytes=True))
         return pd.DataFrame({"range": [int(group["range"].iloc[0])], "slices": [slices]})
 
-    whole = [Repeated(ranges, width) for _ in levels]
+    whole = [Repeated(ranges, width, name_bits) for _ in levels]
     # Slices pass the driver's JVM compressed and as Arrow batches: its heap grows by arrays of half a MB and more.
     for batch in runs.groupBy("range").applyInPandas(count, "range int, slices array<binary>").toArrow().to_batches():
         for number, parts in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reliefsignals.llm import jaccard
 
@@ -132,6 +133,46 @@ def test_overlapping_finds_every_pair_within_the_bound():
     assert all(groups[i] != groups[j] for i, j in found)
 
 
+def test_blocks_of_the_same_nodes_are_compared_once(spark, monkeypatch):
+    """Texts that share a passage meet under each of its shingles; what is compared is one such block."""
+    rng = random.Random(4)
+    rows, lists = [], []
+    for g in range(4):
+        passage = [f"p{g}w{i}" for i in range(30)]
+        for k in range(3):
+            own = [f"g{g}k{k}w{i}" for i in range(12)]
+            rows += [(len(rows) + j, " ".join(own[: 12 - j] + ["x"] * j + passage)) for j in range(2)]
+    rng.shuffle(rows)
+    compare = jaccard._surviving_pairs
+
+    def noted(members, *rest):
+        lists.extend(tuple(sorted(r.nodes)) for r in members.groupBy("key").agg(F.collect_list("node").alias("nodes")).collect())
+        return compare(members, *rest)
+
+    monkeypatch.setattr(jaccard, "_surviving_pairs", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in jaccard.classes(spark, docs).collect()} == brute(rows)
+    assert lists and len(lists) == len(set(lists))
+
+
+def test_sets_are_sent_only_for_pairs_that_can_link(spark, monkeypatch):
+    """A short text inside a long one shares all its shingles with it, and is still too small for a link."""
+    word = [f"w{i}" for i in range(200)]
+    near = [*word[:90], "new", *word[91:]]
+    rows = [(1, " ".join(word)), (2, " ".join(near)), (3, " ".join(word[:50])), (4, " ".join(word[100:140]))]
+    sent, verify = [], jaccard._verified
+
+    def noted(pairs, sets):
+        size = {r.node: r.n for r in sets.collect()}
+        sent.extend((size[r.a], size[r.b]) for r in pairs.collect())
+        return verify(pairs, sets)
+
+    monkeypatch.setattr(jaccard, "_verified", noted)
+    found = {tuple(r) for r in jaccard.classes(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == brute(rows) and len({c for *_, c in found}) == 3
+    assert sent and all(100 * min(x) >= 75 * max(x) for x in sent)
+
+
 def test_representatives_keep_one_of_each_group(spark):
     text = " ".join(f"w{i}" for i in range(100))
     near = text.replace("w50", "other")

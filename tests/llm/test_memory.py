@@ -84,6 +84,19 @@ def test_filters_come_to_the_driver_without_rows(spark):
     assert most < twice.marks.nbytes + often.marks.nbytes + 2_000_000
 
 
+def test_shingles_take_little_on_their_way(spark):
+    """Fewer bits of a hash lose none that repeats, and hardly any other looks repeated."""
+    rng = np.random.default_rng(9)
+    hashes = rng.integers(0, 2**64, 2_000_000, dtype=np.uint64)
+    parts = [hashes[:1_000_000], np.concatenate((hashes[1_000_000:], hashes[:100_000]))]
+    runs = [run for part in parts for run in repeats.split(part, 256, 64, jaccard.NAME_BITS)]
+    assert sum(len(packed) for _, packed in runs) < 2.25 * 2_100_000
+    sent = spark.createDataFrame([(r, bytearray(p)) for r, p in runs], "range int, packed binary")
+    (twice,) = repeats.repeated(sent, 256, (2,), jaccard.BITS, jaccard.NAME_BITS)
+    read = repeats.Repeated.of(twice.plain())
+    assert read.contains(hashes[:100_000]).all() and read.contains(hashes[100_000:]).mean() < 0.02
+
+
 @pytest.fixture
 def tables(monkeypatch):
     """Names of the tables that components and the join write."""
