@@ -6,13 +6,16 @@ import math
 import os
 import sys
 import time
+from typing import TYPE_CHECKING
 
-import duckdb
 from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
 
+if TYPE_CHECKING:
+    import duckdb
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
     " conversations"
@@ -38,6 +41,8 @@ def local_session(cores: int = 8) -> SparkSession:
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    import duckdb  # only the comparison needs it, not those that take the session
+
     con = duckdb.connect()
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):

@@ -30,3 +30,10 @@ def test_operators_run_without_the_package_on_workers(tmp_path):
     assert done.returncode == 0, done.stderr[-3000:]
     a, b, n = done.stdout.split("ROWS")[1].split()
     assert a == b == n
+
+
+def test_the_session_of_the_checks_needs_no_duckdb(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"import sys; sys.modules['duckdb'] = None; sys.path.insert(0, {repo!r}); from checks.compare import local_session"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-3000:]
